@@ -24,9 +24,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "rejected_by")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
+def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wavelet import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard_tree": op2_shard_tree,
     "op4_quality_rules": op4_quality_rules,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op10_wavelet_shards": op10_wavelet_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}

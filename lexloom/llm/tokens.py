@@ -46,7 +46,7 @@ def _spaces_beyond(buf: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes batches of texts. bits: 2 ** bits slots for known pieces; at half of them, all are forgotten."""
 
-    def __init__(self, path: str, bits: int = 20):
+    def __init__(self, path: str, bits: int = 22):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -102,30 +102,23 @@ class Encoder:
             slot[left] = (slot[left] + np.uint64(1)) & mask
         self.known += len(key)
 
-    def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, and the number of each. Pieces with a separator are encoded in runs, cut by byte lengths."""
-        runs, counts = [], np.zeros(len(pieces), np.int64)
-        lone = [i for i, p in enumerate(pieces) if p[0] not in (_SPACE, _NEWLINE)]
-        rest = [i for i, p in enumerate(pieces) if p[0] in (_SPACE, _NEWLINE)]
-        got: dict[int, np.ndarray] = {}
-        for i, ids in zip(lone, self.whole([pieces[i].decode() for i in lone]), strict=True):
-            got[i] = ids
-        for a in range(0, len(rest), 8192):
-            run = rest[a : a + 8192]
-            ids = self.whole([b"".join([pieces[i] for i in run]).decode()])[0]
-            ends, reached = np.cumsum([len(pieces[i]) for i in run]), np.cumsum(self.lengths[ids])
+    def _encode_pieces(self, pieces: list[bytes], lone: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and the number of each. After the first `lone`, each begins with a separator; those are encoded in runs, cut by byte lengths."""
+        ids = self.whole([p.decode() for p in pieces[:lone]])
+        counts = [np.array([len(x) for x in ids], np.int64)]
+        for a in range(lone, len(pieces), 8192):
+            run = pieces[a : a + 8192]
+            own = self.whole([b"".join(run).decode()])[0]
+            ends, reached = np.cumsum([len(p) for p in run]), np.cumsum(self.lengths[own])
             cut = np.searchsorted(reached, ends)
             if len(reached) and reached[-1] == ends[-1] and (reached[cut] == ends).all():
-                before = 0
-                for i, c in zip(run, (cut + 1).tolist(), strict=True):
-                    got[i] = ids[before:c]
-                    before = c
+                ids.append(own)
+                counts.append(np.diff(cut, prepend=-1))
             else:
-                got.update(zip(run, self.whole([pieces[i].decode() for i in run]), strict=True))
-        for i in range(len(pieces)):
-            runs.append(got[i])
-            counts[i] = len(got[i])
-        return (np.concatenate(runs) if runs else np.zeros(0, np.uint32)), counts
+                each = self.whole([p.decode() for p in run])
+                ids += each
+                counts.append(np.array([len(x) for x in each], np.int64))
+        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), np.concatenate(counts)
 
     def _chunk(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in buf (of at most CHUNK bytes), and the number of each. offsets: start of each text, and the end."""
@@ -167,9 +160,11 @@ class Encoder:
             if self.known + len(new) > 1 << (self.bits - 1):
                 self._forget()
                 new = np.unique(key, return_index=True)[1]
+            alone = ~separator[starts[new]]
+            new = np.concatenate([new[alone], new[~alone]])
             raw = buf.tobytes()
             pieces = [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            ids, n = self._encode_pieces(pieces)
+            ids, n = self._encode_pieces(pieces, int(alone.sum()))
             at = self.used + np.cumsum(n) - n
             if self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
