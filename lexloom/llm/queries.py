@@ -17,6 +17,12 @@ def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), 16)
 
 
+def op3_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_cnn import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_filter
 
@@ -30,6 +36,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import severity
+
+    return severity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
@@ -44,8 +56,10 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard_tree": op2_shard_tree,
+    "op3_byte_cnn_language": op3_byte_cnn_language,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_ordinal_toxicity": op8_ordinal_toxicity,
     "op9_tensored_minhash": op9_tensored_minhash,
     "op10_wavelet_shards": op10_wavelet_shards,
 }

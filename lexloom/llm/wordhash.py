@@ -43,12 +43,17 @@ def lower(buf: np.ndarray) -> np.ndarray:
     return np.where((buf >= 65) & (buf <= 90), buf | 32, buf)
 
 
-def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and how many each text has."""
+#: Bytes of words: all but the six spaces; and of words without ASCII punctuation.
+NOT_SPACE = np.array([not (i == 32 or 9 <= i <= 13) for i in range(256)])
+LETTERS = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
+
+
+def word_bounds(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are in a table, and how many each text has."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    word = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
+    word = table[buf]
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True  # a text ends its last word
     first = word.copy()
