@@ -13,6 +13,7 @@ Defined results: a text that is null or has no letter is "und" with score 0; wit
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,32 +127,53 @@ def train(docs: DataFrame, per_class: int = 600, windows_per_text: int = 3, id_c
     return ByteCnn(names).fit(x[which], y)
 
 
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def classify(texts: pa.Array, model: ByteCnn) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text: the softmax of the mean log probabilities of its windows."""
+    buf, offsets = utf8(texts)
+    x, counts = windows(lower(buf), offsets, model.window)
+    sums = np.zeros((len(texts), len(model.labels)))
+    parts = [model.log_probabilities(x[a : a + 1024]) for a in range(0, len(x), 1024)]
+    full = np.flatnonzero(counts)
+    if len(full):
+        sums[full] = np.add.reduceat(np.concatenate(parts).astype(float), (np.cumsum(counts) - counts)[full])
+    sums /= np.maximum(counts, 1)[:, None]
+    best = sums.argmax(axis=1).tolist()
+    letters = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+    score = np.where(letters, 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
+    return [model.labels[i] if ok else UNKNOWN for i, ok in zip(best, letters.tolist(), strict=True)], score
+
+
 def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of every row: the softmax of the windows' mean log probabilities."""
+    """doc_id, lang_pred, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in chunks(big, 1, 1 << 20):
-                buf, offsets = utf8(batch.column(1))
-                sums = np.zeros((batch.num_rows, len(model.labels)))
-                x, counts = windows(lower(buf), offsets, model.window)
-                parts = [model.log_probabilities(x[a : a + 1024]) for a in range(0, len(x), 1024)]
-                full = np.flatnonzero(counts)
-                if len(full):
-                    sums[full] = np.add.reduceat(np.concatenate(parts).astype(float), (np.cumsum(counts) - counts)[full])
-                sums /= np.maximum(counts, 1)[:, None]
-                best = sums.argmax(axis=1)
-                score = np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-                score, letters = 1 / score, batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.labels[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letters, strict=True)]), pa.array(np.where(letters, score, 0.0))], ["doc_id", "lang_pred", "score"])
+                names, score = classify(batch.column(1), model)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = rows.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, model: ByteCnn | None, languages: list[str] | None = None, least: float = 0.4, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in one of the languages (any learned one by default) with a score of at least `least`."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in chunks(big, at, 1 << 20):
+                names, score = classify(batch.column(at), model)
+                yield batch.filter(pa.array([s >= least and n != UNKNOWN and (languages is None or n in languages) for n, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema) if model is not None else docs.limit(0)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that training leaves out."""
     return crc32_of_id(F.col(id_col)) % 3 == 1

@@ -245,3 +245,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 12,
     out = signed.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, that are kept: one of each group of near-duplicates.
+
+    Rows of equal id and text are one document, of which one row stays.
+    """
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("not kept").select(F.col("doc_id").alias(id_col))
+    gone = materialize(gone.distinct(), "dropped")
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)
+    unique = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty()
+    return out if unique else out.filter(F.col(id_col).isNull()).unionByName(out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))

@@ -36,6 +36,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_lm import score_documents
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_cnn_language": op3_byte_cnn_language,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_simhash_decontamination": op6_simhash_decontamination,
     "op7_suffix_tree_lm": op7_suffix_tree_lm,
     "op8_ordinal_toxicity": op8_ordinal_toxicity,
     "op9_tensored_minhash": op9_tensored_minhash,

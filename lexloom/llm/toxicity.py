@@ -169,6 +169,20 @@ def grade(docs: DataFrame, model: Ordinal | None, threshold: float | None = None
     return rows.mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
 
 
+def accept(docs: DataFrame, model: Ordinal | None, threshold: float | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are not toxic; all rows if nothing was learned."""
+    if model is None:
+        return docs
+    at, threshold = docs.columns.index(text_col), model.cut if threshold is None else threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in chunks(big, at, 1 << 20):
+                yield batch.filter(pa.array(model.above(model.scores(*features_of(batch.column(at))))[:, 0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Trains on labelled documents and grades all documents."""
     return grade(docs, train(docs, labels, id_col=id_col, text_col=text_col, **options), id_col=id_col, text_col=text_col)
