@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lstm_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shard_tree import shard_documents
 
@@ -67,6 +73,7 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lstm_html_extraction": op1_lstm_html_extraction,
     "op2_shard_tree": op2_shard_tree,
     "op3_byte_cnn_language": op3_byte_cnn_language,
     "op4_quality_rules": op4_quality_rules,
