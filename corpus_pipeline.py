@@ -19,23 +19,33 @@ from lexloom.llm import decontaminate, lang_cnn, near_dup, packing, toxicity
 from lexloom.llm.common import shared_dir
 
 
+def lean(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes: texts can be long, and both sides of a Python worker hold a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return lang_cnn.accept(docs, lang_cnn.train(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return toxicity.accept(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return near_dup.deduplicate(docs, k=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return packing.pack_documents(docs, capacity=1024, end_id=2)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Large tables of this worker process; those of one operator at a time.
+_held: dict[str, object] = {}
+
+
+def held(name: str | None, make: Callable[[], object] | None = None) -> object:
+    """The table of a name, made at first use; all others are given up. None gives up all."""
+    for k in [k for k in _held if k != name]:
+        del _held[k]
+    if name is not None and name not in _held:
+        _held[name] = make()
+    return _held.get(name)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Bounds Arrow batches to and from Python workers by bytes while a table is written: rows of text can be large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet below the shared folder and reads it again.
 
@@ -31,7 +58,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from .common import held
 from .wordhash import LETTERS, chunks, lower, mix, utf8, word_bounds, word_hashes
 
 K = 5
@@ -198,6 +199,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, radius: int = 15, least
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held(None)
             for big in batches:
                 for batch in chunks(big, 1, 1 << 20):
                     if got := find(shared.value, batch, 1, least):
@@ -217,6 +219,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, radius: int = 15, least: float
         shared, at = docs.sparkSession.sparkContext.broadcast(items), docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+            held(None)
             for big in batches:
                 for batch in chunks(big, at, 1 << 20):
                     keep = np.ones(batch.num_rows, bool)

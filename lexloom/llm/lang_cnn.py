@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import crc32_of_id, hashed_sample
+from .common import crc32_of_id, hashed_sample, held
 from .wordhash import chunks, lower, utf8
 
 WINDOW, DIM, WIDTHS, FILTERS = 128, 6, (2, 3, 4), 8
@@ -150,6 +150,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
     """doc_id, lang_pred, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         for big in batches:
             for batch in chunks(big, 1, 1 << 20):
                 names, score = classify(batch.column(1), model)
@@ -166,6 +167,7 @@ def accept(docs: DataFrame, model: ByteCnn | None, languages: list[str] | None =
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         for big in batches:
             for batch in chunks(big, at, 1 << 20):
                 names, score = classify(batch.column(at), model)

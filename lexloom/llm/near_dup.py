@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import materialize
+from .common import held, materialize
 from .components import connected_components
 from .wordhash import chunks, lower, mix, shingles, utf8, word_bounds, word_hashes
 
@@ -73,8 +73,9 @@ def signatures(docs: DataFrame, k: int, m: int, t: int, id_col: str = "doc_id",
     """Set size, a 128-bit digest of the set and its half keys, for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         for big in batches:
-            for batch in chunks(big, 1):
+            for batch in chunks(big, 1, 1 << 20):
                 sets = shingle_sets(batch.column(1), k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 half = np.zeros((len(sets), 2 * m), np.int64)
@@ -110,15 +111,16 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, id_col: str = "doc_id", te
     both = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, of = None, None  # pairs of one y lie together
+        held(None)
+        other, of = None, None  # pairs of one y lie together
         for batch in batches:
-            for part in chunks(batch, 2):
+            for part in chunks(batch, 2, 1 << 20):
                 sets, out = shingle_sets(part.column(2), k), []
                 for s, y, text in zip(sets, part.column(1).to_pylist(), part.column(3), strict=True):
                     if of is None or of != (y, text):
-                        held, of = shingle_sets(pa.array([text.as_py()], pa.large_string()), k)[0], (y, text)
-                    inter = len(np.intersect1d(s, held, assume_unique=True))
-                    out.append((inter, len(s) + len(held) - inter))
+                        other, of = shingle_sets(pa.array([text.as_py()], pa.large_string()), k)[0], (y, text)
+                    inter = len(np.intersect1d(s, other, assume_unique=True))
+                    out.append((inter, len(s) + len(other) - inter))
                 inter, union = zip(*out, strict=True) if out else ((), ())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["x", "y", "inter", "union_"])
 
@@ -131,8 +133,9 @@ def full_sets(ids: DataFrame, docs: DataFrame, k: int, id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(small, "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         for big in batches:
-            for batch in chunks(big, 1):
+            for batch in chunks(big, 1, 1 << 20):
                 sets = [x.tobytes() for x in shingle_sets(batch.column(1), k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
 
@@ -143,6 +146,7 @@ def lone_shingles(sets: DataFrame) -> DataFrame:
     """(rep, lone): how many shingles of a set no other one has; no row for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         for batch in batches:
             for rep, own in zip(batch.column(0), batch.column(1), strict=True):
                 each = np.frombuffer(own.as_py(), np.int64)
@@ -152,16 +156,17 @@ def lone_shingles(sets: DataFrame) -> DataFrame:
     return each.filter("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
 
 
-def links_across(rest: DataFrame, sets: DataFrame, m: int, percent: int, outer: int = 128, inner: int = 512) -> DataFrame:
+def links_across(rest: DataFrame, sets: DataFrame, m: int, percent: int, outer: int = 64_000, inner: int = 256_000) -> DataFrame:
     """Links (a, b) between documents of different components that share table buckets.
 
     rest: rep, n, s (shingles that others have too), component, half. In each bucket of the first collection, the
     members outside its most frequent component are compared with all others, in cells of two hashed blocks; a cell
-    holds some `outer` + `inner` documents, however large the bucket. What leaves a cell are links alone.
+    holds some `outer` + `inner` shingles, however large the bucket. What leaves a cell are links alone.
     """
     rows = rest.select("rep", "n", "s", "component", "half", F.posexplode(F.slice("half", 1, m)).alias("pos", "h"))
-    by = rows.groupBy("pos", "h", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("pos", "h")
-    by = by.agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    by = rows.groupBy("pos", "h", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("size")).groupBy("pos", "h")
+    by = by.agg(F.max(F.struct("c", "component", "size")).alias("m"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    by = by.select("pos", "h", F.col("m.component").alias("main"), F.col("m.size").alias("n_main"), "all")
     rows = rows.join(by, ["pos", "h"])
     ob, mb = F.ceil((F.col("all") - F.col("n_main")) / outer).cast("int"), F.ceil(F.col("n_main") / inner).cast("int")
     rows = rows.withColumn("out", F.col("component") != F.col("main")).withColumn("ob", ob).withColumn("mb", mb)

@@ -5,8 +5,8 @@ The pre-tokenizer always cuts before a space or newline that stands alone betwee
 white space is of that kind only is cut there into pieces, each with its leading separator; the ids of the text are
 those of its pieces in turn. Any other text is encoded in one go. Strings of special tokens count as ordinary text.
 
-Pieces are found, hashed and looked up with numpy over the bytes of a whole Arrow batch. A piece is known by two
-64-bit polynomial hashes of its bytes with different bases, and its length.
+Pieces are found, hashed and looked up with numpy over the bytes of a whole Arrow batch. A piece is known by 96
+bits of two polynomial hashes of its bytes with different bases, and its length.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from .common import held
+
 _SPACE, _NEWLINE = 32, 10
 #: Bytes of text handled at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -46,7 +48,7 @@ def _spaces_beyond(buf: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes batches of texts. bits: 2 ** bits slots for known pieces; at half of them, all are forgotten."""
 
-    def __init__(self, path: str, bits: int = 22):
+    def __init__(self, path: str, bits: int = 21):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,6 +58,7 @@ class Encoder:
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: the vocabulary writes a byte as one character
         for token, i in vocab.items():
             self.lengths[i] = len(token)
+        self.kind = np.uint16 if len(self.lengths) <= 1 << 16 else np.uint32
         n = CHUNK + 8
         self.pows = [_powers(b, n) for b in _BASES]
         self.inverses = [_powers(np.uint64(pow(int(b), -1, 1 << 64)), n) for b in _BASES]
@@ -64,9 +67,9 @@ class Encoder:
 
     def _forget(self) -> None:
         n = 1 << self.bits
-        self.key, self.check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        self.at, self.n = np.zeros(n, np.int64), np.zeros(n, np.int32)
-        self.ids, self.used, self.known = np.zeros(1 << 20, np.uint32), 0, 0
+        self.key, self.check = np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+        self.at, self.n = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        self.ids, self.used, self.known = np.zeros(1 << 20, self.kind), 0, 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts, each encoded in one go."""
@@ -147,12 +150,13 @@ class Encoder:
             np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * pows[: len(buf)], out=total[1:])
             hashes.append((total[ends] - total[starts]) * inverses[starts])
         lengths = (ends - starts).astype(np.uint64)
+        check = (hashes[1] >> np.uint64(32)).astype(np.uint32)
         key = hashes[0] ^ (lengths * _ODD)
         key = (key ^ (key >> np.uint64(31))) * _ODD
         key ^= key >> np.uint64(29)
         key *= _BASES[0]
         key |= np.uint64(1)
-        slot = self._slots(key, hashes[1])
+        slot = self._slots(key, check)
         new = np.flatnonzero(slot < 0)
         if len(new):
             _, first = np.unique(key[new], return_index=True)
@@ -167,17 +171,17 @@ class Encoder:
             ids, n = self._encode_pieces(pieces, int(alone.sum()))
             at = self.used + np.cumsum(n) - n
             if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(ids)), self.kind)])
             self.ids[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-            self._store(key[new], hashes[1][new], at, n)
-            slot = self._slots(key, hashes[1])
+            self._store(key[new], check[new], at, n)
+            slot = self._slots(key, check)
         clash = slot < 0  # equal first hashes of different pieces: their texts are encoded in one go
         text_of = np.searchsorted(begin, starts, "right") - 1
         odd[text_of[clash]] = True
         n = np.where(clash, 0, self.n[slot]).astype(np.int64)
         before = np.cumsum(n) - n
-        ids = self.ids[np.repeat(self.at[slot] - before, n) + np.arange(int(n.sum()))]
+        ids = self.ids[np.repeat(self.at[slot].astype(np.int64) - before, n) + np.arange(int(n.sum()))].astype(np.uint32)
         first = np.searchsorted(starts, begin)
         counts[full] = np.add.reduceat(n, first)
         if odd.any():
@@ -214,14 +218,9 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(counts)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of this process for a file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def default_path() -> str:

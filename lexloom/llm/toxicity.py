@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import hashed_sample
+from .common import hashed_sample, held
 from .wordhash import LETTERS, chunks, lower, mix, utf8, word_bounds, word_hashes
 
 GRADES = 3
@@ -81,22 +81,28 @@ class Ordinal:
         return _sigmoid(scores[:, None] - self.thresholds[None])
 
 
-def grades_of(hashes: np.ndarray, doc: np.ndarray, n_docs: int, toxic: np.ndarray, least: int = 4, lift: float = 6.0) -> np.ndarray:
-    """Grades 0 to GRADES of training documents."""
+def cells_of(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct features, cells (feature * n + text) and the count of each cell."""
     words, index = np.unique(hashes, return_inverse=True)
-    pairs = np.unique(doc * len(words) + index)
-    df = [np.bincount(pairs[toxic[pairs // len(words)] == y] % len(words), minlength=len(words)) for y in (0, 1)]
-    n = [max(1, int((toxic == y).sum())) for y in (0, 1)]
-    marked = (df[1] >= least) & ((df[1] + 0.5) / n[1] > lift * (df[0] + 0.5) / n[0])
-    found = np.bincount(doc, marked[index], minlength=n_docs)
+    cells, times = np.unique(index * n + doc, return_counts=True)
+    return words, cells, times.astype(np.int32)
+
+
+def grades_of(words: np.ndarray, cells: np.ndarray, times: np.ndarray, n: int, toxic: np.ndarray, least: int = 4, lift: float = 6.0) -> np.ndarray:
+    """Grades 0 to GRADES of training documents."""
+    word = cells // n
+    seen = np.bincount(word, toxic[cells % n], minlength=len(words))
+    df = np.bincount(word, minlength=len(words))
+    n1 = max(1, int(toxic.sum()))
+    marked = (seen >= least) & ((seen + 0.5) / n1 > lift * (df - seen + 0.5) / max(1, n - n1))
+    keep = marked[word]
+    found = np.bincount(cells[keep] % n, times[keep], minlength=n)
     cuts = np.quantile(found[toxic == 1], [g / GRADES for g in range(1, GRADES)])
     return np.where(toxic == 1, 1 + np.searchsorted(cuts, found, "left"), 0)
 
 
-def fit(hashes: np.ndarray, doc: np.ndarray, n: int, grades: np.ndarray, least: int = 5, deviation: float = 5.0, rounds: int = 2000, rate: float = 1.0, penalty: float = 0.0002, cost: float = 10.0) -> Ordinal:
+def fit(words: np.ndarray, cells: np.ndarray, times: np.ndarray, n: int, grades: np.ndarray, least: int = 5, deviation: float = 5.0, rounds: int = 2000, rate: float = 1.0, penalty: float = 0.0002, cost: float = 10.0) -> Ordinal:
     """Proximal AdaGrad on the mean negative log-likelihood with an L1 penalty."""
-    words, index = np.unique(hashes, return_inverse=True)
-    cells, times = np.unique(index * n + doc, return_counts=True)
     df = np.bincount(cells // n, minlength=len(words))
     # only features more frequent in toxic texts than chance allows
     toxic, rate_ = grades > 0, float((grades > 0).mean())
@@ -128,7 +134,7 @@ def fit(hashes: np.ndarray, doc: np.ndarray, n: int, grades: np.ndarray, least:
         t = np.maximum.accumulate(t - rate * gt / np.sqrt(t2) - gaps) + gaps
     used = w != 0
     model = Ordinal(words[features[used]], w[used], t)
-    p = model.above(model.scores(hashes, doc, n))[:, 0]
+    p = model.above(np.bincount(row, x * w[col], minlength=n))[:, 0]
     order = np.argsort(-p, kind="stable")
     last = np.append(p[order][1:] != p[order][:-1], True)  # a cut lies between different values
     gain = np.where(last, np.cumsum(toxic[order]) / max(1, toxic.sum()) - cost * np.cumsum(~toxic[order]) / max(1, (~toxic).sum()), -np.inf)
@@ -138,7 +144,7 @@ def fit(hashes: np.ndarray, doc: np.ndarray, n: int, grades: np.ndarray, least:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal | None:
     """The model learned from labelled documents; None without labels of both kinds."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     y = F.broadcast(hashed_sample(y, "id", per_class, "y"))  # bounded by the sample's size
@@ -146,8 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, id_col: str
     toxic = got.column("y").to_numpy()
     if len(set(toxic.tolist())) < 2:
         return None
-    found = features_of(got.column("text").combine_chunks())
-    return fit(*found, grades_of(*found, toxic))
+    hashes, doc, n = features_of(got.column("text").combine_chunks())
+    cells = cells_of(hashes, doc, n)
+    del hashes, doc, got
+    return fit(*cells, n, grades_of(*cells, n, toxic))
 
 
 def grade(docs: DataFrame, model: Ordinal | None, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,6 +163,7 @@ def grade(docs: DataFrame, model: Ordinal | None, threshold: float | None = None
     threshold = threshold if threshold is not None or model is None else model.cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         for big in batches:
             for batch in chunks(big, 1, 1 << 20):
                 above = model.above(model.scores(*features_of(batch.column(1))))
@@ -176,6 +185,7 @@ def accept(docs: DataFrame, model: Ordinal | None, threshold: float | None = Non
     at, threshold = docs.columns.index(text_col), model.cut if threshold is None else threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None)
         for big in batches:
             for batch in chunks(big, at, 1 << 20):
                 yield batch.filter(pa.array(model.above(model.scores(*features_of(batch.column(at))))[:, 0] < threshold))
