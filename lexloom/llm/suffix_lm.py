@@ -115,7 +115,7 @@ def build_tree(k: np.ndarray, code: np.ndarray, n: np.ndarray, depth: int, diver
     width = len(seen) + 1
     ctx = code >> BITS
     first = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    ends, cols = np.append(first[1:], len(k)), column[code & 511]
+    ends, cols = np.append(first, len(k))[1:], column[code & 511]
     retained: dict[tuple[int, int], np.ndarray] = {(0, 0): np.full(width, 1.0 / SYMBOLS)}
     for a, b in zip(first.tolist(), ends.tolist(), strict=True):
         size, own = int(k[a]), int(ctx[a])
