@@ -49,6 +49,8 @@ class Encoder:
     """Encodes batches of texts. bits: 2 ** bits slots for known pieces; at half of them, all are forgotten."""
 
     def __init__(self, path: str, bits: int = 21):
+        if CHUNK // 2 > 1 << (bits - 1):
+            raise ValueError("half of the slots must hold the pieces of a chunk")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
