@@ -3,13 +3,14 @@
 A text (A-Z lower-cased) is read as its words [^\\x20\\x09-\\x0D]+ joined by single spaces, and one end symbol. The
 tree predicts each byte, and the end, from the longest retained context of up to `depth` bytes before it.
 
-Learning: every document counts (context, next byte) cells of the full depth in numpy, per batch; Spark sums them,
-derives the shorter contexts and keeps those with a share of at least `p_min` of all symbols - at most 1 / p_min
-contexts for each depth, however large the corpus. Of these, a context is retained if its next-symbol distribution
-diverges from that of its longest retained shorter context: twice the log-likelihood ratio exceeds `divergence` for
-each free symbol. Distributions are smoothed by interpolation with the shorter context's, down to a uniform one, so
-that every text has a positive probability. Scoring runs an automaton whose states are the retained contexts and
-their beginnings, over many stretches of text at once.
+Learning: every document counts (context, next byte) cells of the full depth in numpy, per chunk of text; Spark sums
+them, derives the shorter contexts and walks down from the shortest, one level of contexts at a time. A context that
+was seen `least` times (a fixed number, whatever the corpus) is retained if its next-symbol distribution diverges from
+that of its longest retained shorter context: twice the log-likelihood ratio exceeds `divergence` for each free symbol.
+Distributions are smoothed by interpolation with the shorter context's, down to a uniform one, so that every text has
+a positive probability. The tree is a table of cells that grows with the corpus and is never gathered in one place: a
+chunk of text asks for its distinct cells, which meet the table in a join and come back to the chunk. `build_tree` is
+the same tree in one process, for small tables.
 
 Word counts grow with the corpus: they are summed by a shuffle. The `frequent` commonest words (a bound)
 are broadcast; the other words of a document are joined to their counts.
@@ -26,9 +27,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 
 from .common import crc32_of_id, materialize, words_py
 from .wordhash import chunks
@@ -149,35 +153,86 @@ def build_tree(k: np.ndarray, code: np.ndarray, n: np.ndarray, depth: int, diver
     return Tree(step, logp, column, depth, len(retained))
 
 
-def learn(train: DataFrame, depth: int = 6, p_min: float = 3e-6, divergence: float = 4.0, text_col: str = "text", block: int = 1 << 24) -> Tree:
-    """Counts contexts over all rows of train and builds the tree."""
+def in_chunks(rows: DataFrame, block: int = 1 << 24) -> DataFrame:
+    """Rows with the number of their chunk, about `block` bytes of texts each; chunks that are not scored are negative."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(4)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            ends = at + np.cumsum(size)
+            chunk, scored = part + (ends - size) // block, batch.column(3).to_numpy(zero_copy_only=False)
+            at = int(ends[-1]) if len(ends) else at
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(scored, chunk, ~chunk))], [*batch.schema.names, "chunk"])
+
+    return rows.mapInArrow(tag, "row long, doc_id long, trains boolean, scored boolean, text string, chunk long")
+
+
+def chunk_cells(rows: DataFrame, depth: int) -> DataFrame:
+    """(chunk, code, n): the cells of the full depth in a chunk, and how often they stand in its training rows."""
 
-        def counted() -> pa.RecordBatch:
-            code, n = run_lengths(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        at = None
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            other, code = (np.concatenate(codes) for codes in held)
+            code, n = run_lengths(code) if len(code) else (code, code)
+            other = np.setdiff1d(other, code)
+            code, n = np.append(code, other), np.append(n, np.zeros(len(other), np.int64))
+            for i in range(0, len(code), 1 << 19):
+                part = code[i : i + (1 << 19)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at)), pa.array(part), pa.array(n[i : i + (1 << 19)])], ["chunk", "code", "n"])
 
         for big in batches:
-            for batch in chunks(big, 0, 1 << 20):
-                sym, counts, _ = symbols(raw_texts(batch.column(0)))
-                held.append(context_codes(sym, counts, depth))
-                size += len(sym)
-                if size >= block:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
-
-    full = train.select(F.col(text_col).alias("text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    full = materialize(full, "contexts")
-    total = full.agg(F.sum("n")).first()[0] or 0
-    cells = full.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit((1 << (BITS * (k + 1))) - 1)).alias("code")) for k in range(depth + 1)])).alias("c"))
-    cells = cells.groupBy("c.k", "c.code").agg(F.sum("n").alias("n")).withColumn("ctx", F.shiftright("code", BITS))
-    frequent = cells.groupBy("k", "ctx").agg(F.sum("n").alias("m")).filter(F.col("m") >= max(2.0, p_min * total)).select("k", "ctx")
-    kept = cells.join(frequent, ["k", "ctx"], "left_semi").select("k", "code", "n").orderBy("k", "code").toArrow()  # bounded: 1 / p_min contexts a depth
-    return build_tree(*(kept.column(c).to_numpy() for c in ("k", "code", "n")), depth, divergence)
+            for batch in chunks(big, 2, 1 << 20):
+                own, trains = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+                sym, counts, _ = symbols(raw_texts(batch.column(2)))
+                codes = context_codes(sym, counts, depth)
+                own_all, trains_all = np.repeat(own, counts), np.repeat(trains, counts)
+                for c in own[np.sort(np.unique(own, return_index=True)[1])].tolist():
+                    if c != at:
+                        if at is not None:
+                            yield from counted()
+                        held, at = ([], []), c
+                    for flag in (0, 1):
+                        held[flag].append(codes[(own_all == c) & (trains_all == flag)])
+        if at is not None:
+            yield from counted()
+
+    return rows.select("chunk", "trains", "text").mapInArrow(count, "chunk long, code long, n long")
+
+
+def learn(full: DataFrame, depth: int = 6, least: int = 2, divergence: float = 4.0) -> DataFrame:
+    """(code, p): the probability of each cell's symbol after its longest retained context.
+
+    full: (code, n), distinct cells of the full depth and how often they stand in training rows (0: in others alone).
+    """
+    levels = [full]
+    for k in range(depth - 1, -1, -1):
+        shorter = levels[-1].groupBy(F.col("code").bitwiseAND(F.lit((1 << (BITS * (k + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n"))
+        levels.append(materialize(shorter, f"cells-{k}"))
+    tree = None
+    for k, cells in enumerate(reversed(levels)):
+        if tree is None:
+            cells = cells.withColumn("q", F.lit(1.0 / SYMBOLS))
+        else:
+            parents = tree.select(F.col("code").alias("up"), F.col("p").alias("q"))
+            cells = cells.withColumn("up", F.col("code").bitwiseAND(F.lit((1 << (BITS * k)) - 1))).join(parents, "up").drop("up")
+        of = Window.partitionBy(F.shiftright("code", BITS))  # a context has at most 257 symbols
+        cells = cells.select(
+            "code", "n", "q",
+            F.sum("n").over(of).alias("total"),
+            F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).over(of).alias("kinds"),
+            F.sum(F.when(F.col("n") > 0, F.col("n") * F.ln(F.col("n") / F.col("q"))).otherwise(0.0)).over(of).alias("s"),
+        )
+        ratio = 2 * (F.col("s") - F.col("total") * F.ln("total"))
+        kept = (F.col("total") >= least) & (ratio > divergence * F.col("kinds")) & (F.shiftright("code", BITS * k) != PAD) if k else F.col("total") > 0
+        mixed = (F.col("q") * F.col("kinds") + F.col("n")) / (F.col("total") + F.col("kinds"))  # Witten-Bell
+        tree = cells.select("code", F.when(kept, mixed).otherwise(F.col("q")).cast("float").alias("p"))
+        if k < depth:
+            tree = materialize(tree, f"tree-{k}")
+    return tree
 
 
 def held_out(id_col: str = "doc_id"):
@@ -204,11 +259,24 @@ def word_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
     return train.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, train: DataFrame, frequent: int = 100_000, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def flagged(docs: DataFrame, id_col: str, text_col: str, trains: Column, scored: bool) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), trains.alias("trains"), F.lit(scored).alias("scored"), F.col(text_col).alias("text"))
+
+
+def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
-    spark = docs.sparkSession
-    tree = learn(train, text_col=text_col, **options)
-    counts = materialize(word_counts(train, text_col), "word-counts")
+    return score_flagged(flagged(docs, id_col, text_col, F.lit(False), True).union(flagged(train, id_col, text_col, F.lit(True), False)), **options)
+
+
+def score_flagged(rows: DataFrame, frequent: int = 100_000, depth: int = 6, block: int = 1 << 24, **options) -> DataFrame:
+    """Scores of the rows that are `scored`, learned from those that are `trains`."""
+    spark = rows.sparkSession
+    rows = materialize(in_chunks(rows.select(F.monotonically_increasing_id().alias("row"), "*"), block), "chunks")
+    asked = materialize(chunk_cells(rows, depth), "chunk-cells")
+    full = materialize(asked.groupBy("code").agg(F.sum("n").alias("n")), "contexts")
+    answers = asked.filter("chunk >= 0").select("chunk", "code").join(learn(full, depth, **options), "code").select("chunk", "code", F.log10("p").cast("float").alias("logp"))
+    train = rows.filter("trains")
+    counts = materialize(word_counts(train), "word-counts")
     n_docs = train.count()
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = words + n_docs, kinds + (1 if n_docs else 0)
@@ -221,15 +289,18 @@ def score(docs: DataFrame, train: DataFrame, frequent: int = 100_000, id_col: st
         room, least = room - by[c], c
     top = counts.filter(F.col("c") >= least).toArrow()
     known = dict(zip(top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((tree, known))
+    shared = spark.sparkContext.broadcast(known)
     log_all, end_count = float(np.log10(n + v + 1)), n_docs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, common = shared.value
-        for big in batches:
+    def run(texts: pa.Table, cells: pa.Table) -> pa.Table:
+        common, out = shared.value, []
+        code, first = np.unique(cells.column("code").to_numpy(), return_index=True)  # a chunk read by two tasks asks twice
+        logp, index = cells.column("logp").to_numpy()[first], pd.Index(code)
+        for big in texts.to_batches():
             for batch in chunks(big, 2, 1 << 20):
                 sym, sizes, doc_words = symbols(raw_texts(batch.column(2)))
-                scores = model.score(sym, sizes)
+                each = logp[index.get_indexer(context_codes(sym, sizes, depth))].astype(np.float64)
+                scores = np.add.reduceat(each, np.cumsum(sizes) - sizes)
                 per = np.array([len(w) for w in doc_words], np.int64)
                 flat = [w for own in doc_words for w in own]
                 c = np.array([common.get(w, 0) for w in flat], np.float64)
@@ -240,10 +311,12 @@ def score(docs: DataFrame, train: DataFrame, frequent: int = 100_000, id_col: st
                 cuts = pa.array(np.append(0, np.cumsum(np.bincount(doc[rare], minlength=len(per)))).astype(np.int32))
                 names = pa.ListArray.from_arrays(cuts, pa.array([flat[i] for i in rare.tolist()], pa.binary()).cast(pa.string()))
                 cols = [batch.column(0), batch.column(1), pa.array(per + 1), pa.array(seen), pa.array(sums), pa.array(scores), names]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_known", "s", "score", "words"])
+                out.append(pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_known", "s", "score", "words"]))
+        return pa.Table.from_batches(out)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, s double, score double, words array<string>"), "scores")
+    texts = rows.filter("scored").select("row", "doc_id", "text", "chunk").groupBy("chunk")
+    schema = "row long, doc_id long, n_tokens long, n_known long, s double, score double, words array<string>"
+    rows = materialize(texts.cogroup(answers.groupBy("chunk")).applyInArrow(run, schema), "scores")
     # the other words of a document meet their counts; a word without one adds log10(1) = 0
     rare = rows.select("row", F.explode("words").alias("word"))
     found = rare.join(counts.filter(F.col("c") < least), "word").groupBy("row").agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("s2"))
@@ -260,5 +333,5 @@ def score(docs: DataFrame, train: DataFrame, frequent: int = 100_000, id_col: st
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Scores of all documents, learned from those that are not held out."""
-    out = score(docs, docs.filter(~held_out(id_col)), id_col=id_col, text_col=text_col, **options)
+    out = score_flagged(flagged(docs, id_col, text_col, ~held_out(id_col), True), **options)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -132,6 +132,28 @@ def test_tree_scores_equal_a_plain_walk():
     assert total == pytest.approx(one[0], abs=1e-4)
 
 
+def test_scores_equal_a_tree_of_all_contexts_whatever_the_size(spark):
+    r = random.Random(9)
+    rare = [(i, "zqj kvx wpy") for i in range(4)]  # few among many: a floor that rises with the corpus lost them
+    common = [(10 + i, " ".join(r.choice(["the", "man", "and", "sea"]) for _ in range(60))) for i in range(9000)]
+    train = spark.createDataFrame(rare + common, "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "zqj kvx wpy"), (2, "the sea and"), (3, "unseen zqj"), (4, None)], "doc_id long, text string")
+    got = {x.doc_id: x.score for x in suffix_lm.score(docs, train, block=1 << 16).collect()}
+    sym, counts, _ = suffix_lm.symbols([t.encode() for _, t in rare + common])
+    code, n = suffix_lm.run_lengths(suffix_lm.context_codes(sym, counts, 6))
+    cells = Counter()
+    for c, m in zip(code.tolist(), n.tolist(), strict=True):
+        for k in range(7):
+            cells[k, c & ((1 << 9 * (k + 1)) - 1)] += m
+    seen = Counter()
+    for (k, c), m in cells.items():
+        seen[k, c >> 9] += m
+    items = sorted((key, m) for key, m in cells.items() if seen[key[0], key[1] >> 9] >= 2)
+    tree = suffix_lm.build_tree(np.array([k for (k, _), _ in items]), np.array([c for (_, c), _ in items], np.int64), np.array([m for _, m in items]), 6)
+    for i, t in [(1, b"zqj kvx wpy"), (2, b"the sea and"), (3, b"unseen zqj"), (4, b"")]:
+        assert got[i] == pytest.approx(tree.score(*suffix_lm.symbols([t])[:2])[0], abs=1e-3)
+
+
 def test_language_model_without_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
