@@ -9,7 +9,8 @@ The network is trained on generated pages (`page_samples`): random words in rand
 footers, sidebars, notices, adverts, forms and reader comments, marked up by semantic tags or by classes alone.
 
 Defined results: a null or empty page has the empty text; script, style, comments and the head are never text; tags
-left open or cut off are closed by what follows; repeated rows get equal results; further columns are not read.
+left open or cut off are closed by what follows, a head by what cannot stand in it; script, style and comments alone
+run to the end of a page that does not close them; repeated rows get equal results; further columns are not read.
 """
 
 from __future__ import annotations
@@ -30,10 +31,17 @@ PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 96, 32, 8, 16
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|head)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|head)\b(?P<own>[^>]*)>|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^\"'>])*)(?:>|\Z)",
     re.S | re.I,
 )
+#: What can stand in a head, up to its end tag or to what cannot.
+_HEAD = re.compile(
+    r"(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<held>noscript|template|object)\b[^>]*>.*?</(?P=held)\s*>"
+    r"|<title\b[^>]*>(?:(?:(?!</?(?:title|head|body|meta|link|base|script|style)\b).)*+</title\s*>|[^<]*)|</?(?:title|meta|link|base|basefont|bgsound)\b[^>]*>)*+(?:</head\s*>)?",
+    re.S | re.I,
+)
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style noscript template svg iframe object".split()}
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _WORD = re.compile(r"\w+|©")
@@ -64,7 +72,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     now, links, at = _Open(), 0, 0
-    page = page or ""
+    page, unclosed = page or "", set()
 
     def flush() -> None:
         nonlocal now
@@ -80,9 +88,21 @@ def blocks(page: str | None) -> list[Block]:
             now.size += len(text)
             now.linked += len(text) if links else 0
 
-    for m in _TOKEN.finditer(page):
+    def end_of(raw: str, own: str, at: int) -> int:
+        """Where an element that is never text ends. Without an end tag, script and style run to the end; others are their tag alone."""
+        if raw == "head":
+            return _HEAD.match(page, at).end()
+        to_end = raw in ("script", "style")
+        if raw in unclosed or (own.endswith("/") and not to_end):
+            return at
+        end = _END[raw].search(page, at)
+        if not end:
+            unclosed.add(raw)
+        return end.end() if end else len(page) if to_end else at
+
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
-        at = m.end()
+        at = end_of(m["raw"].lower(), m["own"], m.end()) if m["raw"] else m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             if m["raw"]:

@@ -29,6 +29,21 @@ def test_html_blocks_and_labels(spark):
     assert he.extract(df.limit(0)).count() == 0
 
 
+def test_html_unclosed_elements_lose_no_text():
+    def texts(page):
+        return [b.text for b in he.blocks(page)]
+
+    assert texts("<head><title>t</title><body><article><p>One</p></article>") == ["One"]
+    assert texts("<head><meta charset=x><title>t<link rel=y><style>p{}</style><p>One<p>Two") == ["One", "Two"]
+    assert texts("<head><title>t<p>One") == ["One"]
+    assert texts('<p>One <svg class="i"/> two</p><p>Three</p>') == ["One", "two", "Three"]
+    for tag in ("svg", "iframe", "object", "noscript", "template"):
+        assert texts(f"<p>One</p><{tag} a=b><p>Two</p><{tag}><p>Three") == ["One", "Two", "Three"]
+        assert texts(f"<p>One</p><{tag}>x</{tag}><p>Two") == ["One", "Two"]
+    for cut in ("<script>x", "<style>x", "<!-- x"):
+        assert texts(f"<p>One</p>{cut}<p>Two") == ["One"]
+
+
 def test_html_held_out_generated_pages():
     model, right, total = he.trained(), 0, 0
     for page, labels in he.page_samples(150, seed=77):
