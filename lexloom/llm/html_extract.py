@@ -1,7 +1,7 @@
 """Main text of web pages: a bidirectional LSTM in numpy labels the blocks of a page in their sequence.
 
 A page is cut into leaf blocks: runs of text between block-level tags. Each block is read as a vector of its tag
-path (tags, classes, ids and roles of all elements around it, hashed), of its words (hashed) and of some measures
+path (tags, classes, ids and roles of all elements around it, hashed), of all its words (hashed) and of some measures
 (length, share of link text, place on the page). Two LSTMs run over the blocks of the page in either direction, so
 that the label of a block depends on the whole page. Blocks labelled as main text are joined by newlines.
 
@@ -131,33 +131,34 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-_hashes: dict[str, tuple[int, float]] = {}
+_hashes: dict[str, int] = {}
 
 
-def _slot(name: str, dim: int) -> tuple[int, float]:
-    got = _hashes.get(name)
-    if got is None:
+def _hash(name: str) -> int:
+    h = _hashes.get(name)
+    if h is None:
         if len(_hashes) > 200_000:
             _hashes.clear()
-        h = zlib.crc32(name.encode("utf-8", "replace"))
-        got = _hashes[name] = (h, 1.0 if h >> 31 else -1.0)
-    return got[0] % dim, got[1]
+        h = _hashes[name] = zlib.crc32(name.encode("utf-8", "replace"))
+    return h
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """One row for each block."""
+    """One row for each block, of all its words."""
     out = np.zeros((len(page), INPUT), np.float32)
+    words = [_WORD.findall(b.text.lower()) for b in page]
+    per = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter((_hash(w) for own in words for w in own), np.int64, per.sum())
+    cell = np.repeat(np.arange(len(page)) * WORD_DIM, per) + h % WORD_DIM
+    sums = np.bincount(cell, np.where(h >> 31, 1.0, -1.0), len(page) * WORD_DIM).reshape(len(page), WORD_DIM)
+    out[:, PATH_DIM : PATH_DIM + WORD_DIM] = sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1)  # bounded, also where one word repeats
     for i, b in enumerate(page):
         row = out[i]
         for name in b.path:
-            j, sign = _slot(name, PATH_DIM)
-            row[j] = sign
-        words = _WORD.findall(b.text[:240].lower()) + _WORD.findall(b.text[-80:].lower() if len(b.text) > 240 else "")
-        for w in words:
-            j, sign = _slot(w, WORD_DIM)
-            row[PATH_DIM + j] += sign / (len(words) ** 0.5 + 1)
+            h = _hash(name)
+            row[h % PATH_DIM] = 1.0 if h >> 31 else -1.0
         n = len(b.text)
-        row[PATH_DIM + WORD_DIM :] = (np.log1p(n) / 5, b.link, i / len(page), 1 / (1 + i), 1 / (len(page) - i), "©" in b.text, b.text[-1] in ".!?", min(1, len(words) / 20))
+        row[PATH_DIM + WORD_DIM :] = (np.log1p(n) / 5, b.link, i / len(page), 1 / (1 + i), 1 / (len(page) - i), "©" in b.text, b.text[-1] in ".!?", min(1, len(words[i]) / 20))
     return out
 
 

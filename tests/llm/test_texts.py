@@ -44,6 +44,12 @@ def test_html_unclosed_elements_lose_no_text():
         assert texts(f"<p>One</p>{cut}<p>Two") == ["One"]
 
 
+def test_html_features_read_the_middle_of_a_block():
+    ends = "word " * 60
+    one, two = (he.features([he.Block(f"{ends}{middle} {ends}end", ("p",))])[0] for middle in ("cookie consent notice " * 9, "river valley morning " * 9))
+    assert len(ends) > 240 and not np.allclose(one[he.PATH_DIM : he.PATH_DIM + he.WORD_DIM], two[he.PATH_DIM : he.PATH_DIM + he.WORD_DIM])
+
+
 def test_html_held_out_generated_pages():
     model, right, total = he.trained(), 0, 0
     for page, labels in he.page_samples(150, seed=77):
