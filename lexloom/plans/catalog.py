@@ -17,6 +17,8 @@ from lexloom.operators import cache, decode, evaluate, index, prepare, rank, ret
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Characters of a context by the reference's default.
+CONTEXT_CHARS = 12_000
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -223,6 +225,12 @@ def prompt_format(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.format_string("câu hỏi: %s ngữ cảnh: %s", "text", F.substring("text", 1, 20)).alias("prompt"))
 
 
+@query(f"SELECT item_id, 'câu hỏi: ' || text || ' ngữ cảnh: ' || left(text, {CONTEXT_CHARS}) AS prompt FROM benchmark")
+def prompt_format_full(spark, sf_dir):
+    """prompt_format with the reference's limit of a context."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.format_string("câu hỏi: %s ngữ cảnh: %s", "text", F.substring("text", 1, CONTEXT_CHARS)).alias("prompt"))
+
+
 @query("SELECT item_id, left(sha256(text), 16) AS key FROM benchmark")
 def cache_key_sha2(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.sha2("text", 256), 1, 16).alias("key"))
@@ -505,6 +513,23 @@ def context_concat(spark, sf_dir):
     return parts.select("id", F.array_join(F.transform("c", lambda s: s["t"]), "\n\n").alias("context"))
 
 
+FULL = f"full_refs AS (SELECT id, pos::INTEGER AS pos, doc_id, left(trim(regexp_replace(text, {SP}, ' ', 'g')), {CONTEXT_CHARS}) AS passage FROM refs JOIN docs USING (doc_id))"
+
+
+@query(_with(DOCS, REFS, FULL, "SELECT * FROM full_refs WHERE passage <> ''"))
+def gold_context_lookup_full(spark, sf_dir):
+    """gold_context_lookup with the reference's limit of a context."""
+    found = corpus(spark, sf_dir).join(index.small(_references(spark, sf_dir)), "doc_id")
+    return found.select("id", "pos", "doc_id", F.substring(text.single_spaced("text"), 1, CONTEXT_CHARS).alias("passage")).filter("passage <> ''")
+
+
+@query(_with(DOCS, REFS, FULL, "SELECT id, string_agg(passage, chr(10) || chr(10) ORDER BY pos) AS context FROM full_refs WHERE passage <> '' GROUP BY id"))
+def context_concat_full(spark, sf_dir):
+    """context_concat with the reference's limit of a context."""
+    parts = gold_context_lookup_full(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "passage"))).alias("c"))
+    return parts.select("id", F.array_join(F.transform("c", lambda s: s["passage"]), "\n\n").alias("context"))
+
+
 @query(_with(DOCS, "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 4 = 0 THEN ' ' END), ''), CASE WHEN doc_id % 2 = 0 THEN 'field ' || doc_id END, nullif(trim(name), ''), 'lookup') AS context FROM docs"))
 def field_coalesce(spark, sf_dir):
     fields = [F.when(F.col("doc_id") % 4 == 0, F.lit(" ")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("field "), F.col("doc_id").cast("string"))), F.trim("name"), F.lit("lookup")]

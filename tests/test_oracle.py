@@ -50,3 +50,13 @@ def test_runs(spark, name):
 def test_metrics_are_not_zero(spark):
     row = catalog.QUERIES["retrieval_metrics_mean"](spark, DATA).first()
     assert row.queries >= 1 and row.mrr > 0
+
+
+def test_full_contexts_have_the_references_limit(spark):
+    cut, full = ({(r.id, r.pos): r.passage for r in catalog.QUERIES[n](spark, DATA).collect()} for n in ("gold_context_lookup", "gold_context_lookup_full"))
+    assert {k: v[:200] for k, v in full.items()} == {k: v for k, v in cut.items() if v}
+    assert 200 < max(map(len, full.values())) <= 12_000
+    joined = {r.id: r.context for r in catalog.QUERIES["context_concat_full"](spark, DATA).collect()}
+    assert joined == {i: "\n\n".join(full[k] for k in sorted(full) if k[0] == i) for i in {k[0] for k in full}}
+    prompts = {r.item_id: r.prompt for r in catalog.QUERIES["prompt_format_full"](spark, DATA).collect()}
+    assert all(prompts[r.query_id].endswith(" ngữ cảnh: " + r.text[:12_000]) for r in catalog.asked(spark, DATA).collect())
