@@ -220,7 +220,7 @@ def best_overlap_span(tokens: Column | str, answer: Column | str) -> Column:
     return _spans(lambda t, a: _best_overlap_span(list(t), list(a)), tokens, answer)
 
 
-def extractive_records(examples: DataFrame, max_passages: int = 8, passage_len: int = 128, most_chars: int = 12_000) -> DataFrame:
+def extractive_records(examples: DataFrame, max_passages: int = 6, passage_len: int = 256, most_chars: int = 12_000) -> DataFrame:
     """Training records with token spans: an exact span of characters, else the answer's run of tokens, else the best overlap.
 
     examples: id, question, answer, context, and answer_start / answer_end (null where not given).

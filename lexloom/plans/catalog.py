@@ -574,6 +574,19 @@ def chunk_budget_select(spark, sf_dir):
     return prepare.select_within_budget(df, 50, 300).select("id", "selected").filter("selected <> ''")
 
 
+@query(
+    _with(
+        *CHUNK,
+        "od AS (SELECT ch.id, tok, row_number() OVER (PARTITION BY ch.id ORDER BY score DESC, chunk, p) AS r FROM ch JOIN sco ON ch.id = sco.id AND ch.c = sco.chunk)",
+        "SELECT id, string_agg(tok, ' ' ORDER BY r) AS selected FROM od WHERE r <= 1200 GROUP BY id",
+    )
+)
+def chunk_budget_select_full(spark, sf_dir):
+    """chunk_budget_select with the reference's budget."""
+    df = examples(spark, sf_dir).select("id", F.col("question").alias("query"), "context")
+    return prepare.select_within_budget(df, 50, 1200).select("id", "selected").filter("selected <> ''")
+
+
 @query("SELECT e::INTEGER AS epoch, greatest(0::DOUBLE, 0.8::DOUBLE - (e - 1) * 0.15::DOUBLE) AS easy_ratio FROM range(1, 9) t(e)")
 def curriculum_schedule(spark, sf_dir):
     return spark.range(1, 9).select(F.col("id").cast("int").alias("epoch")).withColumn("easy_ratio", prepare.easy_ratio("epoch", 0.8, 0.15))
@@ -581,7 +594,7 @@ def curriculum_schedule(spark, sf_dir):
 
 @query()
 def curriculum_records(spark, sf_dir):
-    return prepare.curriculum_records(examples(spark, sf_dir), [50, 100, 200], 300, 0.5)
+    return prepare.curriculum_records(examples(spark, sf_dir), [50, 100, 200, 500], 1200, 0.5)
 
 
 VOCAB = [
@@ -612,6 +625,29 @@ def encode_padded(spark, sf_dir):
     return prepare.encode(rows.select("id", text.words_and_marks("prediction").alias("tokens")), vocab, 32, bos_eos=True)
 
 
+VOCAB_FULL = [*VOCAB[:-1], "vocab30000 AS (SELECT * FROM vocab WHERE idx < 30000)"]
+
+
+@query(_with(*VOCAB_FULL, "SELECT token, idx, freq FROM vocab30000"))
+def vocab_topn_full(spark, sf_dir):
+    """vocab_topn with the reference's size."""
+    return prepare.vocabulary(pairs(spark, sf_dir), ["prediction", "reference"], 2, 30_000)
+
+
+@query(
+    _with(
+        *VOCAB_FULL,
+        f"e AS (SELECT id, generate_subscripts(t, 1) AS p, unnest(t) AS token FROM (SELECT id, {_marks('prediction')} AS t FROM pairs))",
+        "l AS (SELECT id, list_concat([2], list_concat(list(coalesce(idx, 1) ORDER BY p), [3])) AS ids FROM e LEFT JOIN vocab30000 USING (token) GROUP BY id)",
+        "SELECT id, list_transform(range(1, 1201), lambda i: coalesce(ids[i], 0)::INTEGER) AS ids FROM l",
+    )
+)
+def encode_padded_full(spark, sf_dir):
+    """encode_padded with the reference's vocabulary and length of a context."""
+    rows = pairs(spark, sf_dir)
+    return prepare.encode(rows.select("id", text.words_and_marks("prediction").alias("tokens")), vocab_topn_full(spark, sf_dir), 1200, bos_eos=True)
+
+
 @query(
     _with(
         EXAMPLES,

@@ -60,3 +60,12 @@ def test_full_contexts_have_the_references_limit(spark):
     assert joined == {i: "\n\n".join(full[k] for k in sorted(full) if k[0] == i) for i in {k[0] for k in full}}
     prompts = {r.item_id: r.prompt for r in catalog.QUERIES["prompt_format_full"](spark, DATA).collect()}
     assert all(prompts[r.query_id].endswith(" ngữ cảnh: " + r.text[:12_000]) for r in catalog.asked(spark, DATA).collect())
+
+
+def test_records_have_the_references_limits(spark):
+    text = " ".join(f"w{i}" for i in range(1200)) + " the answer stands here."
+    row = spark.createDataFrame([(1, "what", "the answer stands here.", text, None, None)], "id long, question string, answer string, context string, answer_start int, answer_end int")
+    got = catalog.prepare.extractive_records(row).first()
+    assert got.start == 1200 and [len(p) for p in got.passage_tokens] == [256] * 4 + [181]
+    chosen = {n: {r.id: len(r.selected.split(" ")) for r in catalog.QUERIES[n](spark, DATA).collect()} for n in ("chunk_budget_select", "chunk_budget_select_full")}
+    assert max(chosen["chunk_budget_select"].values()) == 300 and 300 < max(chosen["chunk_budget_select_full"].values()) <= 1200
