@@ -257,8 +257,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows of equal id and text are one document, of which one row stays.
     """
+    # an id alone is not a key: where one repeats, rows of equal id and text are numbered together, by the least id and text
+    if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
+        return without_near_duplicates(docs, id_col, text_col, **options)
+    named = docs.filter(F.col(id_col).isNotNull())
+    keys = named.select(id_col, F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("_digest"), F.col(text_col).isNull().alias("_null")).distinct()
+    parts = materialize(keys.repartitionByRange(id_col, "_digest").sortWithinPartitions(id_col, "_digest", "_null").withColumn("_key", F.monotonically_increasing_id()), "keys")
+    rows = named.withColumn("_digest", F.sha2(F.coalesce(text_col, F.lit("")), 256)).withColumn("_null", F.col(text_col).isNull())
+    rows = rows.join(parts, [id_col, "_digest", "_null"]).dropDuplicates(["_key"])
+    rows = materialize(rows.select("_key", *docs.columns), "keyed")
+    kept = without_near_duplicates(rows, "_key", text_col, **options).select(*docs.columns)
+    return docs.filter(F.col(id_col).isNull()).unionByName(kept)
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """Rows that are kept, where no id repeats."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("not kept").select(F.col("doc_id").alias(id_col))
     gone = materialize(gone.distinct(), "dropped")
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)
-    unique = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty()
-    return out if unique else out.filter(F.col(id_col).isNull()).unionByName(out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)

@@ -174,3 +174,11 @@ def test_pipeline_stages_filter(spark):
 def test_all_queries_are_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+
+
+def test_an_id_that_repeats_keeps_different_texts(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, one), (3, three), (3, None), (None, "x"), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in near_dup.deduplicate(df, k=4).collect())
+    assert got == sorted([(1, one), (1, two), (3, three), (3, ""), (0, "x"), (0, "x")])
