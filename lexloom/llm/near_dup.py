@@ -12,8 +12,8 @@ compared across components, in cells of bounded size, but for pairs that sizes r
 alone has cannot be shared); so no link that a bucket holds is lost, whatever the bucket's size.
 
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing; a text of fewer than
-k words is one shingle; rows of equal id count as one node; a row with a null id is linked with nothing and has a
-null component; an empty table gives an empty table; further columns are not read.
+k words is one shingle; rows of equal id count as one node, which has the links of all their texts; a row with a null
+id is linked with nothing and has a null component; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from .common import held, materialize
 from .components import connected_components
 from .wordhash import chunks, lower, mix, shingles, utf8, word_bounds, word_hashes
 
-#: Ids up to this number are broadcast (16 MB), more are joined by shuffles.
-BROADCAST_IDS = 2_000_000
+#: Ids up to this number are broadcast (8 MB), more are joined by shuffles.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -156,19 +156,21 @@ def lone_shingles(sets: DataFrame) -> DataFrame:
     return each.filter("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
 
 
-def links_across(rest: DataFrame, sets: DataFrame, m: int, percent: int, outer: int = 64_000, inner: int = 256_000) -> DataFrame:
+def links_across(rest: DataFrame, sets: DataFrame, m: int, percent: int, outer: int = 64_000, inner: int = 256_000, outer_rows: int = 256, inner_rows: int = 1024) -> DataFrame:
     """Links (a, b) between documents of different components that share table buckets.
 
     rest: rep, n, s (shingles that others have too), component, half. In each bucket of the first collection, the
     members outside its most frequent component are compared with all others, in cells of two hashed blocks; a cell
-    holds some `outer` + `inner` shingles, however large the bucket. What leaves a cell are links alone.
+    holds some `outer` + `inner` shingles and some `outer_rows` + `inner_rows` rows, however large the bucket. What
+    leaves a cell are links alone.
     """
     rows = rest.select("rep", "n", "s", "component", "half", F.posexplode(F.slice("half", 1, m)).alias("pos", "h"))
     by = rows.groupBy("pos", "h", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("size")).groupBy("pos", "h")
-    by = by.agg(F.max(F.struct("c", "component", "size")).alias("m"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    by = by.select("pos", "h", F.col("m.component").alias("main"), F.col("m.size").alias("n_main"), "all")
+    by = by.agg(F.max(F.struct("c", "component", "size")).alias("m"), F.sum("size").alias("all"), F.sum("c").alias("rows"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    by = by.select("pos", "h", F.col("m.component").alias("main"), F.col("m.size").alias("n_main"), "all", F.col("m.c").alias("c_main"), "rows")
     rows = rows.join(by, ["pos", "h"])
-    ob, mb = F.ceil((F.col("all") - F.col("n_main")) / outer).cast("int"), F.ceil(F.col("n_main") / inner).cast("int")
+    ob = F.greatest(F.ceil((F.col("all") - F.col("n_main")) / outer), F.ceil((F.col("rows") - F.col("c_main")) / outer_rows)).cast("int")
+    mb = F.greatest(F.ceil(F.col("n_main") / inner), F.ceil(F.col("c_main") / inner_rows)).cast("int")
     rows = rows.withColumn("out", F.col("component") != F.col("main")).withColumn("ob", ob).withColumn("mb", mb)
     own = F.when(F.col("out"), F.pmod(F.xxhash64("rep"), "ob")).otherwise(F.pmod(F.xxhash64("rep"), "mb")).cast("int")
     rows = rows.withColumn("own", own)
@@ -185,9 +187,9 @@ def links_across(rest: DataFrame, sets: DataFrame, m: int, percent: int, outer:
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         pos, kind = key[0].as_py(), key[2].as_py()
-        rep, n, s, part, out = (np.array(table.column(c).to_pylist()) for c in ("rep", "n", "s", "component", "out"))
-        half = np.array(table.column("half").to_pylist())
-        data = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        rep, n, s, part, out = (table.column(c).to_numpy() for c in ("rep", "n", "s", "component", "out"))
+        half = table.column("half").combine_chunks().flatten().to_numpy().reshape(-1, 2 * m)
+        data = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
         root, links = {c: c for c in part.tolist()}, []
 
         def find(c: int) -> int:
@@ -219,22 +221,52 @@ def links_across(rest: DataFrame, sets: DataFrame, m: int, percent: int, outer:
     return cells.groupBy("pos", "h", "kind", "a", "b").applyInArrow(run, "a long, b long")
 
 
+def ids_repeat(docs: DataFrame, id_col: str) -> bool:
+    """Whether some id stands in several rows."""
+    return not docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Where an id alone is no key: rows of docs with _key, a number of their id and text (rows without id leave), and (_key, doc_id)."""
+    rows = docs.filter(F.col(id_col).isNotNull()).withColumn("_digest", F.sha2(F.coalesce(text_col, F.lit("")), 256)).withColumn("_null", F.col(text_col).isNull())
+    order = [id_col, "_digest", "_null"]  # numbers follow it, so that the least of a group does not depend on the rows' places
+    keys = materialize(rows.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_key", F.monotonically_increasing_id()), "keys")
+    return rows.join(keys, order).drop("_digest", "_null"), keys.select("_key", F.col(id_col).cast("long").alias("doc_id"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 12, t: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links of at least `percent` similarity), kept."""
-    spark = docs.sparkSession
+    if not ids_repeat(docs, id_col):
+        return linked(docs, k, percent, m, t, id_col, text_col)
+    # texts of one id are linked by it: each is a document of its own, with an edge to the first one of the id
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, names = keyed(docs, "doc_id", "text")
+    rows = materialize(rows, "keyed")
+    same = names.groupBy("doc_id").agg(F.min("_key").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id", "b")
+    same = names.join(same, "doc_id").filter("_key <> b").select(F.col("_key").alias("a"), "b")
+    got = materialize(linked(rows.select("_key", "text").dropDuplicates(["_key"]), k, percent, m, t, "_key", "text", same).withColumnRenamed("doc_id", "_key"), "keyed-classes")
+    least = got.join(names, "_key").groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    out = rows.select("doc_id", "_key").join(got.join(least, "component_id").select("_key", "n_shingles", F.col("least").alias("component_id")), "_key")
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(linked(docs.filter("doc_id is null"), k, percent, m, t))
+
+
+def linked(docs: DataFrame, k: int, percent: int, m: int, t: int, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
+    """near_duplicates() where no id repeats. more: further edges (a, b) between ids."""
     signed = materialize(signatures(docs, k, m, t, id_col, text_col), "signatures")
-    full = signed.filter("n > 0 and doc_id is not null")
-    classes = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    members = materialize(full.join(classes, ["d1", "d2", "n"]).select("doc_id", "rep"), "classes")
-    reps = full.join(classes, ["d1", "d2", "n"]).filter("doc_id = rep").select("rep", "n", "half").dropDuplicates(["rep", "n"])
-    tables = materialize(table_keys(reps, m), "tables")
+    reps = signed.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half"))
+    reps = materialize(reps, "classes")  # equal sets have equal half keys
+    tables = materialize(table_keys(reps.select("rep", "n", "half"), m), "tables")
     least = tables.groupBy("key").agg(F.min("rep").alias("y"), F.min_by("n", "rep").alias("ny"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "y", "ny")
     stars = tables.join(least, "key").filter("rep <> y")
     pairs = materialize(stars.filter(F.least("n", "ny") * 100 >= percent * F.greatest("n", "ny")).select(F.col("rep").alias("x"), "y").distinct(), "pairs")
-    checked = materialize(verify(pairs, docs, k, id_col, text_col), "checked")
-    good = checked.filter(F.col("inter") * 100 >= percent * F.col("union_")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    good = good.union(members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    parts = materialize(connected_components(good), "components")
+    good = verify(pairs, docs, k, id_col, text_col).filter(F.col("inter") * 100 >= percent * F.col("union_")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if more is not None:
+        # classes that an id joins
+        of = signed.select("doc_id", "d1", "d2", "n").join(reps.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+        more = more.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
+        good = good.union(more.select("ra", "rb"))
+    parts = connected_components(good)
     # buckets in which several components are left
     named = tables.select("key", "rep", "n").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
@@ -246,32 +278,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 12,
         rest = materialize(rest.filter(F.col("s") * 100 >= percent * F.col("n")).join(reps.select("rep", "n", "half"), ["rep", "n"]), "rest")
         found = materialize(links_across(rest, sets, m, percent), "links")
         if not found.isEmpty():
-            parts = materialize(connected_components(found.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
-    out = signed.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+            parts = connected_components(found.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    # an id that `more` alone knows (of an empty set) is a node, but of no class
+    classes = reps.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+    out = signed.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
+    if more is not None:
+        out = out.join(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("own")), "doc_id", "left").withColumn("component", F.coalesce("component", "own"))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, m: int = 12, t: int = 3) -> DataFrame:
     """The rows of docs, with all their columns, that are kept: one of each group of near-duplicates.
 
-    Rows of equal id and text are one document, of which one row stays.
+    Rows of equal id and text are one document, of which one row stays; rows of equal id and different texts are
+    documents of their own here. Rows without id stay.
     """
-    # an id alone is not a key: where one repeats, rows of equal id and text are numbered together, by the least id and text
-    if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
-        return without_near_duplicates(docs, id_col, text_col, **options)
-    named = docs.filter(F.col(id_col).isNotNull())
-    keys = named.select(id_col, F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("_digest"), F.col(text_col).isNull().alias("_null")).distinct()
-    parts = materialize(keys.repartitionByRange(id_col, "_digest").sortWithinPartitions(id_col, "_digest", "_null").withColumn("_key", F.monotonically_increasing_id()), "keys")
-    rows = named.withColumn("_digest", F.sha2(F.coalesce(text_col, F.lit("")), 256)).withColumn("_null", F.col(text_col).isNull())
-    rows = rows.join(parts, [id_col, "_digest", "_null"]).dropDuplicates(["_key"])
-    rows = materialize(rows.select("_key", *docs.columns), "keyed")
-    kept = without_near_duplicates(rows, "_key", text_col, **options).select(*docs.columns)
+    if not ids_repeat(docs, id_col):
+        return without_near_duplicates(docs, id_col, text_col, k, percent, m, t)
+    rows = materialize(keyed(docs, id_col, text_col)[0].dropDuplicates(["_key"]), "keyed")
+    kept = without_near_duplicates(rows, "_key", text_col, k, percent, m, t).select(*docs.columns)
     return docs.filter(F.col(id_col).isNull()).unionByName(kept)
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, m: int, t: int) -> DataFrame:
     """Rows that are kept, where no id repeats."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("not kept").select(F.col("doc_id").alias(id_col))
-    gone = materialize(gone.distinct(), "dropped")
+    gone = linked(docs, k, percent, m, t, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col))
+    gone = materialize(gone, "dropped")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti").select(*docs.columns)

@@ -182,3 +182,28 @@ def test_an_id_that_repeats_keeps_different_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.text or "") for r in near_dup.deduplicate(df, k=4).collect())
     assert got == sorted([(1, one), (1, two), (3, three), (3, ""), (0, "x"), (0, "x")])
+
+
+def test_links_of_all_texts_of_an_id(spark):
+    one, two = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join([*one, "x"])), (3, " ".join([*two, "y"])), (4, None), (4, " ".join([*two, "z"])), (5, ""), (5, "only this"), (6, "only THIS"), (7, None), (None, " ".join(one)), (1, " ".join(one))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(df, k=4).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter({(1, 1, True): 3, (2, 1, False): 1, (3, 1, False): 1, (4, 1, False): 2, (5, 5, True): 2, (6, 5, False): 1, (7, 7, True): 1, (None, None, True): 1})
+    assert {(r.doc_id, r.n_shingles) for r in got} >= {(4, 0), (5, 0), (5, 1), (7, 0), (1, 57)}
+
+
+def test_hot_buckets_lose_no_link(spark):
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(400):  # two families that share enough shingles to meet in buckets, and a few texts between them
+        own = base[:]
+        for j in r.sample(range(40), 2 if i % 2 else 6):
+            own[j] = f"v{i % 7}"
+        rows.append((i, " ".join(own)))
+    sets = {i: {tuple(w[j : j + 4]) for w in [t.split()] for j in range(len(w) - 3)} for i, t in rows}
+    links = [(a, b) for a in sets for b in range(a + 1, 400) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(links, list(sets))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert {x.doc_id: x.component_id for x in got} == want
