@@ -40,26 +40,34 @@ def held(name: str | None, make: Callable[[], object] | None = None) -> object:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """Bounds Arrow batches to and from Python workers by bytes while a table is written: rows of text can be large."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, size)
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Sets session settings for a while."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Bounds Arrow batches to and from Python workers by bytes while a table is written: rows of text can be large."""
+    return settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": size})
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Cuts lineage: writes df as Parquet below the shared folder and reads it again.
 
-    The files survive the loss of executors. Each call writes to a fresh path.
+    The files survive the loss of executors. Each call writes to a fresh path. by: a column to deal rows out by, where a
+    scan's many tasks would each write a small file; adaptive execution then makes files of the advisory size, also
+    after other shuffles, and splits hot values.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.parquet(path)
+    with small_batches(spark), settings(spark, {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}):
+        (df if by is None else df.hint("rebalance", by)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

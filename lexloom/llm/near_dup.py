@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 12,
 
 def linked(docs: DataFrame, k: int, percent: int, m: int, t: int, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
     """near_duplicates() where no id repeats. more: further edges (a, b) between ids."""
-    signed = materialize(signatures(docs, k, m, t, id_col, text_col), "signatures")
+    signed = materialize(signatures(docs, k, m, t, id_col, text_col), "signatures", "doc_id")
     reps = signed.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half"))
     reps = materialize(reps, "classes")  # equal sets have equal half keys
     tables = materialize(table_keys(reps.select("rep", "n", "half"), m), "tables")
@@ -273,7 +273,7 @@ def linked(docs: DataFrame, k: int, percent: int, m: int, t: int, id_col: str =
     rest = materialize(named.join(open_, "key", "left_semi").select("rep", "n", "component").distinct(), "rest")
     if not rest.isEmpty():
         # a shingle that one document alone has cannot be in an intersection
-        sets = materialize(full_sets(rest.select("rep"), docs, k, id_col, text_col), "sets")
+        sets = materialize(full_sets(rest.select("rep"), docs, k, id_col, text_col), "sets", "rep")
         rest = rest.join(lone_shingles(sets), "rep", "left").withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0)).cast("int")).drop("lone")
         rest = materialize(rest.filter(F.col("s") * 100 >= percent * F.col("n")).join(reps.select("rep", "n", "half"), ["rep", "n"]), "rest")
         found = materialize(links_across(rest, sets, m, percent), "links")
