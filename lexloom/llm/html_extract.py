@@ -56,7 +56,7 @@ CLOSES |= dict.fromkeys("div section article main aside nav header footer form u
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: tuple[str, ...] | np.ndarray  # names, or path_vector() of them
     link: float = 0.0
 
 
@@ -67,10 +67,21 @@ class _Open:
     linked: int = 0
 
 
+def path_vector(names: tuple[str, ...], out: np.ndarray | None = None) -> np.ndarray:
+    """Hashed names of the elements around a block, the inner ones over `out`, that of the outer ones."""
+    out = np.zeros(PATH_DIM, np.int8) if out is None else out.copy()
+    for name in names:
+        h = _hash(name)
+        out[h % PATH_DIM] = 1 if h >> 31 else -1
+    return out
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order, character references decoded and white space turned into single spaces."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    vectors: list[np.ndarray] = [path_vector(())]  # of the outer elements, as far as blocks needed them: each element costs one
+    is_open: dict[str, int] = {}
     now, links, at = _Open(), 0, 0
     page, unclosed = page or "", set()
 
@@ -79,9 +90,17 @@ def blocks(page: str | None) -> list[Block]:
         if now.parts:
             text = " ".join(_html.unescape("".join(now.parts)).split())
             if text:
-                out.append(Block(text, tuple(x for _, names in stack for x in names), now.linked / max(1, now.size)))
+                while len(vectors) <= len(stack):
+                    vectors.append(path_vector(stack[len(vectors) - 1][1], vectors[-1]))
+                out.append(Block(text, vectors[-1], now.linked / max(1, now.size)))
             now = _Open()
 
+    def leave() -> str:
+        tag = stack.pop()[0]
+        is_open[tag] -= 1
+        del vectors[len(stack) + 1 :]
+        return tag
+
     def add(text: str) -> None:
         if text:
             now.parts.append(text)
@@ -114,18 +133,18 @@ def blocks(page: str | None) -> list[Block]:
             continue
         flush()
         if m["close"]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if is_open.get(tag):
+                while leave() != tag:
                     pass
             links = 0
         elif tag not in VOID:
             while stack and stack[-1][0] in CLOSES.get(tag, ()):
-                stack.pop()
+                leave()
             names = [tag]
             for a in _ATTR.finditer(m["attrs"] or ""):
                 names += ["." + x.lower() for x in _PART.findall(a[1] or a[2] or a[3] or "")]
-            if len(stack) < 200:
-                stack.append((tag, tuple(names)))
+            stack.append((tag, tuple(names)))
+            is_open[tag] = is_open.get(tag, 0) + 1
     add(page[at:])
     flush()
     return out
@@ -154,9 +173,7 @@ def features(page: list[Block]) -> np.ndarray:
     out[:, PATH_DIM : PATH_DIM + WORD_DIM] = sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1)  # bounded, also where one word repeats
     for i, b in enumerate(page):
         row = out[i]
-        for name in b.path:
-            h = _hash(name)
-            row[h % PATH_DIM] = 1.0 if h >> 31 else -1.0
+        row[:PATH_DIM] = b.path if isinstance(b.path, np.ndarray) else path_vector(b.path)
         n = len(b.text)
         row[PATH_DIM + WORD_DIM :] = (np.log1p(n) / 5, b.link, i / len(page), 1 / (1 + i), 1 / (len(page) - i), "©" in b.text, b.text[-1] in ".!?", min(1, len(words[i]) / 20))
     return out
