@@ -17,10 +17,12 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one, but on a cluster an error."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), f"lexloom-{uuid.uuid4().hex}")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -96,8 +98,6 @@ def hashed_sample(df: DataFrame, id_col: str, rows: int, per: str | None = None,
     if per is None:
         n = df.count()
         return df if n <= rows else df.filter(draw < F.lit(rows / n))
-    counts = {r[0]: r[1] for r in df.groupBy(per).count().orderBy(F.desc("count"), F.col(per)).limit(512).collect()}
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | (F.col(per).eqNullSafe(F.lit(value)) & (draw < F.lit(min(1.0, rows / n))))
-    return df.filter(keep)
+    # the counts of the values, however many there are, come back to the rows by a join; a hot value is split by adaptive execution
+    share = df.groupBy(F.col(per).alias("_per")).agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
+    return df.join(share, F.col(per).eqNullSafe(F.col("_per"))).filter(draw < F.col("_share")).select(*df.columns)

@@ -5,20 +5,22 @@ max-pooled over its window, and a softmax follows. A text is cut into windows si
 zero bytes), so every byte of the whole text is read; the mean of the windows' log probabilities decides.
 
 Training uses a bounded, hash-chosen sample of labelled texts (`per_class` for each language, `windows_per_text`
-windows of each); everything else reads all data.
+windows of each, drawn by a hash of the text; only they reach the driver); everything else reads all data.
 
-Defined results: a text that is null or has no letter is "und" with score 0; without labelled rows every text is
-"und"; ties go to the language first in order; repeated rows get equal results; further columns are not read.
+Defined results: a text that is null or has no letter (Unicode category L) is "und" with score 0; without labelled
+rows every text is "und" and accept() keeps every row; ties go to the language first in order; repeated rows get equal
+results; further columns are not read.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
+import regex
 from pyspark.sql import DataFrame
 
 from .common import crc32_of_id, hashed_sample, held
@@ -111,23 +113,31 @@ def windows(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray
 def train(docs: DataFrame, per_class: int = 600, windows_per_text: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ByteCnn | None:
     """The network learned from labelled rows of docs; None if there are none."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter("label is not null and text rlike '\\\\p{L}'")
-    got = hashed_sample(rows, "id", per_class, "label").orderBy("id", "text").toArrow()
-    names = sorted(set(got.column("label").to_pylist()))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in chunks(big, 0, 1 << 20):
+                x, counts = windows(lower(utf8(batch.column(0))[0]), utf8(batch.column(0))[1], WINDOW)
+                rows, first, names = [], 0, []
+                for n, text, label in zip(counts.tolist(), batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    own = np.random.default_rng(zlib.crc32(text.as_buffer())).permutation(n)[:windows_per_text]
+                    rows += [x[first + i].tobytes() for i in own.tolist()]
+                    names += [label] * len(own)
+                    first += n
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(names, pa.string())], ["window", "label"])
+
+    sample = hashed_sample(rows, "id", per_class, "label").select("text", F.col("label").cast("string"))
+    got = sample.mapInArrow(cut, "window binary, label string").orderBy("label", "window").toArrow()
+    labels = got.column("label").to_pylist()
+    names = sorted(set(labels))
     if not names:
         return None
-    buf, offsets = utf8(got.column("text").combine_chunks())
-    x, counts = windows(lower(buf), offsets, WINDOW)
-    rng, keep, start = np.random.default_rng(7), [], 0
-    for n in counts.tolist():
-        keep.append(start + rng.permutation(n)[:windows_per_text])
-        start += n
-    which = np.concatenate(keep)
     index = {k: i for i, k in enumerate(names)}
-    y = np.repeat(np.array([index[k] for k in got.column("label").to_pylist()]), [len(k) for k in keep])
-    return ByteCnn(names).fit(x[which], y)
+    x = np.frombuffer(b"".join(got.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
+    return ByteCnn(names).fit(x, np.array([index[k] for k in labels]))
 
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def classify(texts: pa.Array, model: ByteCnn) -> tuple[list[str], np.ndarray]:
@@ -163,7 +173,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
 
 
 def accept(docs: DataFrame, model: ByteCnn | None, languages: list[str] | None = None, least: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, in one of the languages (any learned one by default) with a score of at least `least`."""
+    """The rows of docs, with all their columns, in one of the languages (any learned one by default) with a score of at least `least`; all rows without a model."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +183,7 @@ def accept(docs: DataFrame, model: ByteCnn | None, languages: list[str] | None =
                 names, score = classify(batch.column(at), model)
                 yield batch.filter(pa.array([s >= least and n != UNKNOWN and (languages is None or n in languages) for n, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if model is not None else docs.limit(0)
+    return docs.mapInArrow(run, docs.schema) if model is not None else docs
 
 
 def held_out(id_col: str = "doc_id"):
