@@ -5,8 +5,11 @@ Pieces are placed in order of falling length into the open bin that fits under e
 rule "norm" takes the smallest weighted norm of what would be left, rule "dot" the largest weighted dot product of
 the piece with what is left. If none fits, a bin is opened.
 
-Pieces are dealt by a hash into blocks of about `block_pieces`, each packed on its own, so that no task holds more
-than a block; a block wastes about one bin. Pieces that fill a sequence alone need no search.
+Pieces are dealt by a hash of the row and its place into blocks of about `block_pieces`, each packed on its own, so
+that no task holds more than a block, also where rows are equal; a block wastes about one bin. Pieces that fill a
+sequence alone need no search. With the default capacities tokens alone can bind, since the squares of lengths that
+sum to at most 1,024 sum to at most 1,024 squared; the others bind where they are set lower (`max_docs`,
+`max_attention`).
 
 Defined results: a null text is an empty one, of the end id alone; repeated rows are packed as rows of their own;
 an empty table gives an empty table; further columns are not read. A document of more than `capacity` ids is cut
@@ -109,7 +112,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int = 1024, max_atte
     alone = pieces.filter(F.col("length") >= capacity).select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity)
     blocks = max(1, math.ceil(rest.count() / block_pieces))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+    # the row's place in the stored table parts equal rows, too
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks)))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
@@ -122,4 +126,4 @@ def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int = 1024, max_atte
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Encodes, cuts and packs documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Texts are encoded once."""
-    return pack(materialize(encode_pieces(docs, capacity, end_id, path, id_col, text_col), "pieces"), capacity, **options)
+    return pack(materialize(encode_pieces(docs, capacity, end_id, path, id_col, text_col), "pieces", "doc_id"), capacity, **options)
