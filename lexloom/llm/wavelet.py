@@ -5,12 +5,12 @@ be read, counted and looked up from it without the others. Shards are rows of a
 commits, so they reach any store and survive lost executors; `WaveletMatrix.from_bytes` also reads a blob from a
 plain file.
 
-Format, little-endian: magic "LWM1"; uint32 header size; a JSON header {n, levels, zeros, docs, block, sizes};
-then, each zstd-compressed: the doc_ids (int64), the number of ids of each document (uint32), and for each level
+Format, little-endian: magic "LWM1"; uint32 header size; a JSON header {n, levels, zeros, docs, nulls, block, sizes},
+nulls being how many documents, the first ones, have no doc_id; then, each zstd-compressed: the doc_ids (int64), the number of ids of each document (uint32), and for each level
 its bit-plane in blocks of `block` bytes. Cumulated ones before each block are kept in the header's `ones`.
 
 Defined results: a null text is an empty one, of the end id alone; documents of equal doc_id lie side by side,
-ordered by their text's hash; a null doc_id is stored as -1, before all others; an empty table gives an empty table; further columns are not read.
+ordered by their text's hash; those without doc_id stand before all others; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -41,13 +41,14 @@ class WaveletMatrix:
         self.n, self.levels, self.zeros = header["n"], header["levels"], header["zeros"]
         self.block, self.ones = header["block"], [np.array(x, np.int64) for x in header["ones"]]
         self.doc_ids, self.doc_counts, self.planes = doc_ids, doc_counts, planes
+        self.nulls = header["nulls"]
         self._open: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     # ---- building and storing
 
     @staticmethod
-    def build(ids: np.ndarray, doc_ids: np.ndarray, doc_counts: np.ndarray, levels: int | None = None) -> bytes:
-        """The blob of a shard."""
+    def build(ids: np.ndarray, doc_ids: np.ndarray, doc_counts: np.ndarray, levels: int | None = None, nulls: int = 0) -> bytes:
+        """The blob of a shard. nulls: how many of the first documents have no id."""
         n = len(ids)
         levels = levels or max(1, int(ids.max()).bit_length() if n else 1)
         kind = np.uint16 if levels <= 16 else np.uint32
@@ -63,7 +64,7 @@ class WaveletMatrix:
             parts.append([press(plane[a : a + BLOCK].tobytes()) for a in cuts])
             seq = np.concatenate([seq[low], seq[high]])
         docs = [press(doc_ids.astype("<i8").tobytes()), press(doc_counts.astype("<u4").tobytes())]
-        header = {"n": n, "levels": levels, "zeros": zeros, "ones": ones, "block": BLOCK, "docs": [len(doc_ids), *map(len, docs)], "sizes": [[len(x) for x in p] for p in parts]}
+        header = {"n": n, "levels": levels, "zeros": zeros, "ones": ones, "block": BLOCK, "docs": [len(doc_ids), *map(len, docs)], "nulls": nulls, "sizes": [[len(x) for x in p] for p in parts]}
         head = json.dumps(header, separators=(",", ":")).encode()
         return b"".join([MAGIC, struct.pack("<I", len(head)), head, *docs, *(x for p in parts for x in p)])
 
@@ -170,7 +171,7 @@ class WaveletMatrix:
 
 
 def build_shards(docs: DataFrame, end_id: int = 2, path: str | None = None, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """Shards in order of (part, seq). A shard ends with the document that brings it to shard_tokens ids.
+    """Shards in order of (part, seq). A shard ends with the batch (256 documents at most) that brings it to shard_tokens ids.
 
     Texts are dealt by ranges of doc_id (equal ids by the text's hash), sorted within each part, encoded and stored.
     """
@@ -182,14 +183,14 @@ def build_shards(docs: DataFrame, end_id: int = 2, path: str | None = None, shar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seq, part = encoder(path), 0, 0
-        ids, docs_, counts, held = [], [], [], 0
+        ids, docs_, counts, held, nulls = [], [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
-            nonlocal seq, ids, docs_, counts, held
+            nonlocal seq, ids, docs_, counts, held, nulls
             d, c = np.concatenate(docs_), np.concatenate(counts)
-            blob = WaveletMatrix.build(np.concatenate(ids), d, c)
-            row = [[part], [seq], [int(d[0])], [len(d)], [int(c.sum())], [blob]]
-            seq, ids, docs_, counts, held = seq + 1, [], [], [], 0
+            blob = WaveletMatrix.build(np.concatenate(ids), d, c, nulls=nulls)
+            row = [[part], [seq], [None if nulls else int(d[0])], [len(d)], [int(c.sum())], [blob]]
+            seq, ids, docs_, counts, held, nulls = seq + 1, [], [], [], 0, 0
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "first_doc", "n_docs", "n_tokens", "blob"])
 
         for big in batches:
@@ -199,7 +200,8 @@ def build_shards(docs: DataFrame, end_id: int = 2, path: str | None = None, shar
                 own, n = enc.encode(batch.column(1))
                 own = np.insert(own, np.cumsum(n), end_id)
                 ids.append(own)
-                docs_.append(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False))
+                docs_.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+                nulls += batch.column(0).null_count  # they come first
                 counts.append(n + 1)
                 held += len(own)
                 if held >= shard_tokens:
@@ -236,7 +238,8 @@ def digest(shards: DataFrame) -> DataFrame:
                 ends = np.cumsum(n)
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * (b - k) : 4 * b]) for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(w.doc_ids), pa.array(base + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                named = pa.array(w.doc_ids, mask=np.arange(len(n)) < w.nulls)
+                yield pa.RecordBatch.from_arrays([named, pa.array(base + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.select("base", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
