@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyspark.sql.functions as F
 import pytest
 
 import __spark_entry__
@@ -141,15 +142,15 @@ def test_wavelet_queries():
 
 
 def test_token_files_round_trip(spark):
-    rows = [(i * 3, t) for i, t in enumerate([*TRICKY, "word " * 5000])] + [(6, "equal id"), (None, "no id")]
+    rows = [(i * 3, t) for i, t in enumerate([*TRICKY, "word " * 5000])] + [(6, "equal id"), (None, "no id"), (-1, "below none")]
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, part int").repartition(5)
     got = wavelet.round_trip(df, shard_tokens=3000).orderBy("start").collect()
     start = 0
     for x in got:
         assert x.start == start
         start += x.n_tokens
-    assert [x.doc_id for x in got] == sorted(-1 if i is None else i for i, _ in rows)
-    want = Counter((-1 if i is None else i, len(plain_ids(t)), zlib.crc32(plain_ids(t).tobytes())) for i, t in rows)
+    assert [x.doc_id for x in got] == [None] + sorted(i for i, _ in rows if i is not None)
+    want = Counter((i, len(plain_ids(t)), zlib.crc32(plain_ids(t).tobytes())) for i, t in rows)
     assert Counter((x.doc_id, x.n_tokens, x.ids_crc32) for x in got) == want
     assert wavelet.round_trip(df.limit(0)).count() == 0
 
@@ -207,3 +208,11 @@ def test_hot_buckets_lose_no_link(spark):
     want = components(links, list(sets))
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
     assert {x.doc_id: x.component_id for x in got} == want
+
+
+def test_equal_pieces_are_dealt_to_many_blocks(spark):
+    same = spark.range(100_000).selectExpr("1L doc_id", "0 piece", "0L start", "10L length", "7L ids_crc32").repartition(4)
+    got = packing.pack(same, capacity=100, block_pieces=2000).selectExpr("sequence_id >> 24 block", "sequence_id", "length")
+    sizes = [r.n for r in got.groupBy("block").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 50 and max(sizes) < 3000 and sum(sizes) == 100_000
+    assert got.select("sequence_id").distinct().count() <= 10_000 + 50

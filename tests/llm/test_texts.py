@@ -241,3 +241,26 @@ def test_chunks_cover_all_rows():
 def test_extra_columns_do_not_clash(spark):
     df = sample(spark, 30).withColumn("severity", F.lit(1)).withColumn("part", F.lit("x"))
     assert toxicity.grade(df, None).columns == ["doc_id", "severity", "grade", "p_toxic", "toxic"]
+
+
+def test_elements_are_counted_at_any_depth():
+    # a menu below 300 open elements: its end tags must close its own elements alone
+    page = '<main class="content">' + "<div>" * 300 + "<nav><ul><li>menu</ul></nav>" + "</div>" * 300 + "<p>Text.</p></main><footer>foot</footer>"
+    got = {b.text: b.path for b in he.blocks(page)}
+    main, foot = he.path_vector(("main", ".content", "p")), he.path_vector(("footer",))
+    assert (got["Text."] == main).all() and (got["foot"] == foot).all()
+    assert (got["menu"] == he.path_vector(("main", ".content", *["div"] * 300, "nav", "ul", "li"))).all()
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    model = lang_cnn.ByteCnn(["a", "b"])
+    df = spark.createDataFrame([(1, "² ½ Ⅷ", 1.0), (2, "٣ ①", 1.0), (3, "² ª", 1.0)], EDGE)
+    assert {r.doc_id: r.lang_pred == "und" for r in lang_cnn.predict(df, model).collect()} == {1: True, 2: True, 3: False}
+    assert {r.doc_id for r in lang_cnn.accept(df, model, least=0.0).collect()} == {3}
+    assert lang_cnn.accept(df, None).count() == 3
+
+
+def test_language_learns_any_number_of_labels(spark):
+    rows = [(i, f"word {i}", f"l{i % 600:03}") for i in range(1200)]
+    model = lang_cnn.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_class=2)
+    assert len(model.labels) == 600
