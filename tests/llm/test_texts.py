@@ -190,15 +190,18 @@ def test_hamming_index_finds_all_within_radius():
     for i in range(200):
         for b in rng.choice(64, rng.integers(0, 24), replace=False):
             queries[i] ^= np.uint64(1) << np.uint64(b)
-    index = dc.HammingIndex(values, 15)
     want = {(q, v) for q in range(200) for v in range(300) if int(queries[q] ^ values[v]).bit_count() <= 15}
-    assert set(zip(*(x.tolist() for x in index.search(queries)[:2]), strict=True)) == want and want
+    for blocks in (None, 4, 5, 16):
+        index = dc.HammingIndex(values, 15, blocks)
+        for at_once in (1 << 20, 700):
+            assert set(zip(*(x.tolist() for x in index.search(queries, at_once)[:2]), strict=True)) == want and want
+    assert len(dc.variants(16, 3)) == 697 and dc.HammingIndex(values[:0], 15).search(queries)[0].size == 0
 
 
 def test_contamination_equals_brute_force(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(2, 6)))
-    items = [(i, " ".join(word() for _ in range(r.randint(5, 40)))) for i in range(25)] + [(90, "too short"), (91, None), (92, "")]
+    items = [(i, " ".join(word() for _ in range(r.randint(5, 40)))) for i in range(25)] + [(90, "four words ffee dd"), (91, None), (92, ""), (None, "no id")]
     rows = []
     for i in range(200):
         own = [word() for _ in range(r.randint(0, 150))]
@@ -209,7 +212,7 @@ def test_contamination_equals_brute_force(spark):
             at = r.randint(0, len(own))
             own[at:at] = passage
         rows.append((i, " ".join(own).upper() if i % 5 == 0 else ", ".join(own)))
-    rows += [(500, None), (501, ""), (502, items[0][1]), (502, items[0][1])]
+    rows += [(500, None), (501, ""), (502, items[0][1]), (502, items[0][1]), (503, "a FOUR words, ffee dd b four words ffee dd"), (504, "four words ffee"), (505, "dd")]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = Counter((x.doc_id, x.item_id, round(x.similarity, 9)) for x in dc.contamination(docs, bench).collect())
 
@@ -228,8 +231,17 @@ def test_contamination_equals_brute_force(spark):
                 best = max(dc.similarity(weighted(w[s : s + len(n)]), weighted(n)) for s in range(max(1, len(w) - len(n) + 1)))
                 if best >= 0.8:
                     want[d, i, round(best, 9)] += 1
+            elif i is not None and n and any(w[s : s + len(n)] == n for s in range(len(w))):
+                want[d, i, 1.0] += 1
     assert got == want and len(want) > 20
     assert {x.doc_id for x in dc.clean(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _, _ in want}
+    assert want[503, 90, 1.0] == 1
+    dc.ITEMS = 7  # blocks of items, one at a time
+    try:
+        assert Counter((x.doc_id, x.item_id, round(x.similarity, 9)) for x in dc.contamination(docs, bench).collect()) == got
+        assert {x.doc_id for x in dc.clean(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _, _ in want}
+    finally:
+        dc.ITEMS = 10_000
     assert dc.contamination(docs, bench.limit(0)).count() == 0 and dc.contamination(docs.limit(0), bench).count() == 0
 
 
