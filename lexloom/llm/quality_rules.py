@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled thresholds. DataFrame functions only.
 
-Per document, rule metrics are computed from its whole text; from labelled documents, the cutoff of every rule is
-chosen for each stratum such that, with confidence 1 - delta over all rules and strata together, the rules reject
-at most a share alpha of the stratum's good documents. A cutoff is certified if the exact binomial tail
-P[Bin(n, alpha_rule) <= k] for its k rejected among n good documents is at most delta / (rules * strata)
-(Bonferroni; within one rule and stratum the cutoffs form a fixed sequence from lax to strict, tested until the
-first failure, which needs no further correction). alpha is dealt evenly to the rules. Among the certified cutoffs
-the one with the best gain (share of bad rejected less `cost` times the share of good rejected) is taken, the laxer
-of equals; a rule without certified gain rejects nothing in that stratum.
+Per document, rule metrics are computed from its whole text. All rules share one cutoff, which moves along a fixed path
+from lax to strict; a document is rejected if any metric exceeds it. From labelled documents the cutoff of every stratum
+is chosen such that, with confidence 1 - delta over all strata together, the rules reject at most a share alpha of the
+stratum's good documents that pass the base rule. A cutoff is certified if the exact binomial tail P[Bin(n, alpha) <= k]
+for its k rejected among n good documents is at most delta / strata (Bonferroni); the path does not depend on the data
+and is tested until the first failure, which needs no further correction and leaves alpha whole for all rules together.
+Among the certified cutoffs the one with the best gain (share of bad rejected less `cost` times the share of good
+rejected) is taken, the laxer of equals; a stratum without certified gain rejects nothing. With alpha 0.02, delta 0.05
+and four strata, 217 good documents of which none is rejected certify a cutoff, 320 with one.
 
 Defined results: a null or empty text has no words and fails the base rule; null strata form a stratum "none";
 rows of labels without a label or document are ignored, of several labels of one document the best counts; without
@@ -29,7 +30,7 @@ RULES = {
     "capitals": "n_upper / greatest(word_chars, 1)",
     "long_words": "word_chars / greatest(n_words, 1) / 100",
 }
-#: Cutoffs from strict to lax; fixed, so that they do not depend on the labels.
+#: The path of cutoffs, from strict to lax; fixed, so that it does not depend on the labels.
 GRID = [round(0.01 * 1.12**i, 6) for i in range(48)]
 
 
@@ -87,45 +88,48 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     )
 
 
+def base_failed() -> Column:
+    """Whether a document of base_metrics() fails the base rule."""
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def thresholds(metrics: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, cost: float = 5.0, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """Certified cutoffs: stratum, rule, cutoff, n_good, k_good (rejected good), n_bad, k_bad, tail.
+    """Certified cutoffs: stratum, cutoff, n_good, k_good (rejected good), n_bad, k_bad, tail; a row for each stratum that has one.
 
-    All labelled documents count. What leaves the join is one row per stratum, rule, cutoff and label, counted
-    before it is shuffled.
+    All labelled documents that pass the base rule count. What leaves the join is one row per stratum, place on the path
+    and label, counted before it is shuffled.
     """
     y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    rule = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.expr(v).cast("double").alias("m")) for k, v in RULES.items()])).alias("r")
-    grid = F.array(*[F.lit(float(c)) for c in GRID])
-    cells = metrics.join(y, "doc_id").select("stratum", "y", rule).select("stratum", "y", "r.rule", F.size(F.filter(grid, lambda c: F.col("r.m") > c)).alias("above"))
-    cells = cells.groupBy("stratum", "rule", "above").agg(F.sum(F.col("y").cast("long")).alias("good"), F.sum(1 - F.col("y").cast("long")).alias("bad"))
+    strata = metrics.select("stratum").distinct().count()
+    worst = F.greatest(*[F.expr(v).cast("double") for v in RULES.values()])
+    above = F.size(F.filter(F.array(*[F.lit(float(c)) for c in GRID]), lambda c: F.col("m") > c))
+    cells = metrics.filter(~base_failed()).select("doc_id", "stratum", worst.alias("m")).join(y, "doc_id").select("stratum", "y", above.alias("above"))
+    cells = cells.groupBy("stratum", "above").agg(F.sum(F.col("y").cast("long")).alias("good"), F.sum(1 - F.col("y").cast("long")).alias("bad"))
     # every cutoff gets a row, with what lies above it: cutoff i rejects the cells with above > i
-    each = cells.select("stratum", "rule", "above", "good", "bad", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))).alias("i"))
-    each = each.groupBy("stratum", "rule", "i").agg(
-        F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.sum(F.when(F.col("above") > F.col("i"), F.col("good")).otherwise(0)).alias("k_good"), F.sum(F.when(F.col("above") > F.col("i"), F.col("bad")).otherwise(0)).alias("k_bad")
-    )
-    a, strata = alpha / len(RULES), metrics.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    each = each.crossJoin(F.broadcast(strata))  # one row
-    each = each.withColumn("tail", F.when((F.col("n_good") > 0) & (F.col("k_good") <= F.col("n_good") * a), binomial_tail(F.col("k_good").cast("long"), F.col("n_good"), a)).otherwise(1.0))
-    lax_first = Window.partitionBy("stratum", "rule").orderBy(F.desc("i"))
-    each = each.withColumn("failed", F.max(F.when(F.col("tail") > delta / len(RULES) / F.col("strata"), 1).otherwise(0)).over(lax_first))
+    each = cells.select("stratum", "above", "good", "bad", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))).alias("i"))
+    hit = lambda c: F.sum(F.when(F.col("above") > F.col("i"), F.col(c)).otherwise(0))
+    each = each.groupBy("stratum", "i").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), hit("good").alias("k_good"), hit("bad").alias("k_bad"))
+    each = each.withColumn("tail", F.when((F.col("n_good") > 0) & (F.col("k_good") <= F.col("n_good") * alpha), binomial_tail(F.col("k_good").cast("long"), F.col("n_good"), alpha)).otherwise(1.0))
+    lax_first = Window.partitionBy("stratum").orderBy(F.desc("i"))
+    each = each.withColumn("failed", F.max(F.when(F.col("tail") > delta / max(1, strata), 1).otherwise(0)).over(lax_first))
     each = each.withColumn("gain", F.col("k_bad") / F.greatest("n_bad", F.lit(1)) - cost * F.col("k_good") / F.greatest("n_good", F.lit(1)))
-    best = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), F.desc("i"))
+    best = Window.partitionBy("stratum").orderBy(F.desc("gain"), F.desc("i"))
     cutoff = F.element_at(F.array(*[F.lit(float(c)) for c in GRID]), F.col("i") + 1)
-    return each.filter("failed = 0 and gain > 0").withColumn("b", F.row_number().over(best)).filter("b = 1").select("stratum", "rule", cutoff.alias("cutoff"), "n_good", "k_good", "n_bad", "k_bad", "tail")
+    return each.filter("failed = 0 and gain > 0").withColumn("b", F.row_number().over(best)).filter("b = 1").select("stratum", cutoff.alias("cutoff"), "n_good", "k_good", "n_bad", "k_bad", "tail")
 
 
 def apply_rules(metrics: DataFrame, cuts: DataFrame, max_broadcast_rows: int = 20_000) -> DataFrame:
-    """Adds base_failed, rejected_by (names of the rules) and kept. cuts: from thresholds(), with a row per stratum and rule."""
-    by = cuts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
-    by = F.broadcast(by) if cuts.count() <= max_broadcast_rows else by
-    hit = F.array(*[F.when(F.expr(v).cast("double") > F.col("cuts")[k], F.lit(k)) for k, v in RULES.items()])
+    """Adds base_failed, rejected_by (names of the rules) and kept. cuts: from thresholds(), with a row per stratum."""
+    by = cuts.select("stratum", "cutoff")
+    by = F.broadcast(by) if by.count() <= max_broadcast_rows else by
+    hit = F.array(*[F.when(F.expr(v).cast("double") > F.col("cutoff"), F.lit(k)) for k, v in RULES.items()])
     df = metrics.join(by, "stratum", "left").withColumn("rejected_by", F.filter(hit, lambda x: x.isNotNull()))
-    df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("cuts")
+    df = df.withColumn("base_failed", base_failed())
+    return df.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("cutoff")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, stratum_col: str | None = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Metrics, base_failed, rejected_by and kept of every document. Metrics are computed once, into a shared table."""
-    metrics = materialize(base_metrics(docs, id_col, text_col, stratum_col), "quality-metrics")
+    metrics = materialize(base_metrics(docs, id_col, text_col, stratum_col), "quality-metrics", "doc_id")
     cuts = materialize(thresholds(metrics, labels, alpha, delta), "quality-cutoffs")
     return apply_rules(metrics, cuts)

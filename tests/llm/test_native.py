@@ -93,6 +93,79 @@ def test_rules_reject_junk_and_keep_good(spark):
     assert qr.quality_filter(docs.limit(0), labels).count() == 0
 
 
+def tail(k, n, p):
+    return float(sum(math.comb(n, j) * Fraction(p) ** j * (1 - Fraction(p)) ** (n - j) for j in range(k + 1)))
+
+
+def metrics_of(spark, rows):
+    """rows: doc_id, stratum, symbols a word; nothing else is remarkable."""
+    df = spark.createDataFrame(rows, "doc_id long, stratum string, s double")
+    return df.selectExpr("doc_id", "stratum", "100L n_words", "500L word_chars", "cast(round(s * 100) as long) n_symbols", "5L n_upper", "9L n_lines", "0L n_dup_lines", "0L n_repeat_words")
+
+
+def test_thresholds_equal_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    rows, good = [], {}
+    for i in range(2400):
+        stratum = "abcd"[i % 4]  # good documents of d spread widely, those of c are few
+        y = int(r.random() < (0.05 if stratum == "c" else 0.8))
+        rows.append((i, stratum, round(r.betavariate(1, 40 if stratum != "d" else 2) if y else r.random(), 2)))
+        good[i] = y
+    labels = spark.createDataFrame([(*x, 0) for x in good.items()] + [(None, 1, 0), (5, None, 0), (99999, 1, 0)], "doc_id long, quality int, stratum int")
+    got = {x.stratum: x for x in qr.thresholds(metrics_of(spark, rows), labels, alpha=0.05).collect()}
+    want = {}
+    for s in "abcd":
+        own = [(max(int(round(v * 100)) / 100, 0.05), good[i]) for i, t, v in rows if t == s]
+        n, bad = sum(y for _, y in own), sum(1 - y for _, y in own)
+        best = (0.0, -1.0)
+        for c in reversed(qr.GRID):
+            k, b = sum(y for v, y in own if v > c), sum(1 - y for v, y in own if v > c)
+            if tail(k, n, 0.05) > 0.05 / 4:
+                break
+            gain = b / bad - 5 * k / n
+            best = max(best, (gain, c)) if gain > 0 else best
+        if best[1] >= 0:
+            want[s] = best[1]
+    assert {k: v.cutoff for k, v in got.items()} == want and "a" in want and "c" not in want
+
+
+def test_false_rejections_stay_below_alpha_on_fresh_rows():
+    """The law of thresholds() in plain Python, many times: cutoffs learned from a sample, tried on the whole population."""
+    import random
+
+    r = random.Random(8)
+    broken = 0
+    for _ in range(400):
+        scores = sorted(r.betavariate(1, 8) for _ in range(300))
+        cut = None
+        for c in reversed(qr.GRID):
+            k = sum(x > c for x in scores)
+            if k > 6 or tail(k, 300, 0.02) > 0.05:
+                break
+            cut = c
+        broken += cut is not None and (1 - min(cut, 1.0)) ** 8 > 0.02  # P[score > cut]
+    assert broken <= 400 * 0.05 + 3 * math.sqrt(400 * 0.05 * 0.95)
+
+
+def test_rules_reject_in_every_stratum_of_the_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = qr.quality_filter(docs, labels).filter("not base_failed").join(labels.groupBy("doc_id").agg(F.max("quality").alias("y")), "doc_id", "left")
+    by = {r.stratum: r for r in rows.groupBy("stratum").agg(F.count_if(~F.col("kept")).alias("gone"), F.avg((~F.col("kept") & (F.col("y") == 1)).cast("int")).alias("x"), F.count_if(F.col("y") == 1).alias("n"), F.count_if(~F.col("kept") & (F.col("y") == 1)).alias("k")).collect()}
+    assert set(by) == {"de", "en", "es", "fr"}
+    assert all(r.gone > 0 and r.k <= 0.02 * r.n for r in by.values())
+
+
+def test_quality_edges(spark):
+    rows = [(1, None, None, 7), (1, "x" * 2_000_000 + " y" * 30, "en", 7), (2, " ".join(f"w{i}" for i in range(25)), "en", 7), (2, " ".join(f"w{i}" for i in range(25)), "en", 7), (None, "", "en", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, stratum int")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1)], "doc_id long, quality int")
+    got = sorted((r.doc_id or 0, r.stratum, r.n_words, r.base_failed, r.kept) for r in qr.quality_filter(docs, labels).collect())
+    assert got == [(0, "en", 0, True, False), (1, "en", 31, True, False), (1, "none", 0, True, False), (2, "en", 25, False, True), (2, "en", 25, False, True)]
+
+
 def test_helpers(spark):
     assert words_py("A b\x0bÉ c".encode()) == ["a b".encode(), "É".encode(), b"c"]
     df = spark.createDataFrame([(12,), (None,)], "i long")
