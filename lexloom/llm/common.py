@@ -59,7 +59,7 @@ def small_batches(spark: SparkSession, size: str = "8m"):
     return settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": size})
 
 
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Cuts lineage: writes df as Parquet below the shared folder and reads it again.
 
     The files survive the loss of executors. Each call writes to a fresh path. by: a column to deal rows out by, where a
@@ -69,7 +69,7 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
     with small_batches(spark), settings(spark, {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}):
-        (df if by is None else df.hint("rebalance", by)).write.parquet(path)
+        (df if by is None else df.hint("rebalance", by)).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,14 +3,16 @@
 A text (A-Z lower-cased) is read as its words [^\\x20\\x09-\\x0D]+ joined by single spaces, and one end symbol. The
 tree predicts each byte, and the end, from the longest retained context of up to `depth` bytes before it.
 
-Learning: every document counts (context, next byte) cells of the full depth in numpy, per chunk of text; Spark sums
-them, derives the shorter contexts and walks down from the shortest, one level of contexts at a time. A context that
-was seen `least` times (a fixed number, whatever the corpus) is retained if its next-symbol distribution diverges from
-that of its longest retained shorter context: twice the log-likelihood ratio exceeds `divergence` for each free symbol.
-Distributions are smoothed by interpolation with the shorter context's, down to a uniform one, so that every text has
-a positive probability. The tree is a table of cells that grows with the corpus and is never gathered in one place: a
-chunk of text asks for its distinct cells, which meet the table in a join and come back to the chunk. `build_tree` is
-the same tree in one process, for small tables.
+Learning: texts are kept in chunks; each chunk counts its (context, next byte) cells of the full depth in numpy and
+deals them to buckets by a hash of the last `LOW` bytes of the context, as compressed arrays. A bucket holds all cells
+of its contexts: their sums over the chunks, and every longer context's parents. The short contexts (up to `LOW` bytes)
+are summed and learned as DataFrames; then each bucket walks down from them, one level of contexts at a time. A context
+that was seen `least` times (a fixed number, whatever the corpus) is retained if its next-symbol distribution diverges
+from that of its longest retained shorter context: twice the log-likelihood ratio exceeds `divergence` for each free
+symbol. Distributions are smoothed by interpolation with the shorter context's, down to a uniform one, so that every
+text has a positive probability. The tree grows with the corpus and is never gathered in one place: a bucket answers
+the chunks that asked for its cells, row by row, and a chunk looks its texts up in the answers. `build_tree` is the same
+tree in one process, for small tables.
 
 Word counts grow with the corpus: they are summed by a shuffle. The `frequent` commonest words (a bound)
 are broadcast; the other words of a document are joined to their counts.
@@ -27,18 +29,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyspark.sql.functions as F
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 
 from .common import crc32_of_id, materialize, words_py
-from .wordhash import chunks
+from .wordhash import chunks, mix
 
 #: Symbols: bytes, and the end of a text. Codes of contexts have 9 bits a symbol; PAD stands before a text.
 END, PAD, SYMBOLS, BITS = 256, 257, 257, 9
+#: Contexts of up to so many bytes are learned as DataFrames, longer ones in buckets by their last LOW bytes.
+LOW = 4
 
 
 def raw_texts(texts: pa.Array) -> list[bytes]:
@@ -168,45 +172,232 @@ def in_chunks(rows: DataFrame, block: int = 1 << 24) -> DataFrame:
     return rows.mapInArrow(tag, "row long, doc_id long, trains boolean, scored boolean, text string, chunk long")
 
 
-def chunk_cells(rows: DataFrame, depth: int) -> DataFrame:
-    """(chunk, code, n): the cells of the full depth in a chunk, and how often they stand in its training rows."""
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Compressed numbers: the bytes of each place together."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def unpack_numbers(blob: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
+class Sums:
+    """Counts by code, merged whenever many have come in: memory follows the distinct codes."""
+
+    def __init__(self, most: int = 1 << 22):
+        self.parts, self.held, self.most = [], 0, most
+
+    def add(self, code: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((code, n))
+        self.held += len(code)
+        if self.held > self.most:
+            code, n = self.total()
+            self.parts, self.held, self.most = [(code, n)], len(code), max(self.most, 2 * len(code))
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct codes, rising, and their counts."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        code, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else order
+        return code[first], np.add.reduceat(n[order], first) if len(code) else n
+
+
+def bucket_of(context: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of the last LOW bytes of a context."""
+    return (mix((context & ((1 << (BITS * LOW)) - 1)).astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+def chunk_cells(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """(bucket, chunk, codes, n): the cells of the full depth in a chunk, rising, and how often they stand in its training rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
-        at = None
+        sums, at = Sums(), None
 
         def counted() -> Iterator[pa.RecordBatch]:
-            other, code = (np.concatenate(codes) for codes in held)
-            code, n = run_lengths(code) if len(code) else (code, code)
-            other = np.setdiff1d(other, code)
-            code, n = np.append(code, other), np.append(n, np.zeros(len(other), np.int64))
-            for i in range(0, len(code), 1 << 19):
-                part = code[i : i + (1 << 19)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at)), pa.array(part), pa.array(n[i : i + (1 << 19)])], ["chunk", "code", "n"])
+            code, n = sums.total()
+            of = bucket_of(code >> BITS, buckets)
+            order = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of, minlength=buckets))
+            full = np.flatnonzero(np.diff(ends, prepend=0))
+            code, n, starts = code[order], n[order], np.append(0, ends)
+            cuts = [(int(b), slice(int(starts[b]), int(ends[b]))) for b in full]
+            cols = [pa.array([b for b, _ in cuts], pa.int32()), pa.array(np.full(len(cuts), at)), pa.array([pack_numbers(code[x]) for _, x in cuts], pa.binary()), pa.array([pack_numbers(n[x]) for _, x in cuts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", "codes", "n"])
 
         for big in batches:
-            for batch in chunks(big, 2, 1 << 20):
+            for batch in chunks(big, 2, 1 << 22):
                 own, trains = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
                 sym, counts, _ = symbols(raw_texts(batch.column(2)))
                 codes = context_codes(sym, counts, depth)
-                own_all, trains_all = np.repeat(own, counts), np.repeat(trains, counts)
                 for c in own[np.sort(np.unique(own, return_index=True)[1])].tolist():
                     if c != at:
                         if at is not None:
                             yield from counted()
-                        held, at = ([], []), c
+                        sums, at = Sums(), c
                     for flag in (0, 1):
-                        held[flag].append(codes[(own_all == c) & (trains_all == flag)])
+                        mine = (own == c) & (trains == flag)
+                        if mine.any():
+                            code, n = run_lengths(codes.copy() if mine.all() else codes[np.repeat(mine, counts)])
+                            sums.add(code, n * flag)
         if at is not None:
             yield from counted()
 
-    return rows.select("chunk", "trains", "text").mapInArrow(count, "chunk long, code long, n long")
+    return rows.select("chunk", "trains", "text").mapInArrow(count, "bucket int, chunk long, codes binary, n binary")
+
+
+def bucket_sums(cells: DataFrame) -> DataFrame:
+    """(bucket, codes, n): the cells of all chunks, summed as they come in."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, at = Sums(), None
 
-def learn(full: DataFrame, depth: int = 6, least: int = 2, divergence: float = 4.0) -> DataFrame:
-    """(code, p): the probability of each cell's symbol after its longest retained context.
+        def row() -> pa.RecordBatch:
+            code, n = sums.total()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pack_numbers(code)], pa.binary()), pa.array([pack_numbers(n)], pa.binary())], ["bucket", "codes", "n"])
 
-    full: (code, n), distinct cells of the full depth and how often they stand in training rows (0: in others alone).
+        for batch in batches:
+            for b, codes, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if b != at:
+                    if at is not None:
+                        yield row()
+                    sums, at = Sums(), b
+                sums.add(unpack_numbers(codes.as_buffer(), np.int64), unpack_numbers(n.as_buffer(), np.int64))
+        if at is not None:
+            yield row()
+
+    return cells.select("bucket", "codes", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, codes binary, n binary")
+
+
+def low_cells(sums: DataFrame) -> DataFrame:
+    """(code, n): the cells of contexts of LOW bytes. A bucket has all of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, n in zip(batch.column(0), batch.column(1), strict=True):
+                code, total = shorter(unpack_numbers(codes.as_buffer(), np.int64), unpack_numbers(n.as_buffer(), np.int64), LOW)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total)], ["code", "n"])
+
+    return sums.select("codes", "n").mapInArrow(run, "code long, n long")
+
+
+def shorter(code: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of contexts of k bytes."""
+    sums = Sums()
+    sums.add(code & ((1 << (BITS * (k + 1))) - 1), n)
+    return sums.total()
+
+
+def walk_down(code: np.ndarray, n: np.ndarray, low: np.ndarray, p: np.ndarray, depth: int, least: int, divergence: float) -> np.ndarray:
+    """Probabilities of the cells of the full depth. low, p: cells of contexts of LOW bytes, rising, and their probabilities."""
+    for k in range(LOW + 1, depth + 1):
+        own, times = (code, n) if k == depth else shorter(code, n, k)
+        q = p[np.searchsorted(low, own & ((1 << (BITS * k)) - 1))]
+        if not len(own):
+            return q
+        context = own >> BITS
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        size = np.diff(np.append(first, len(own)))
+        seen = times > 0
+        total, kinds = np.add.reduceat(times, first).astype(float), np.add.reduceat(seen.astype(np.int64), first).astype(float)
+        s = np.add.reduceat(np.where(seen, times * np.log(np.maximum(times, 1) / q), 0.0), first)
+        ratio = 2 * (s - total * np.log(np.maximum(total, 1)))
+        kept = (total >= least) & (ratio > divergence * kinds) & (context[first] >> (BITS * (k - 1)) != PAD)
+        total, kinds = np.repeat(total, size), np.repeat(kinds, size)
+        mixed = (q * kinds + times) / np.maximum(total + kinds, 1)  # Witten-Bell
+        low, p = own, np.where(np.repeat(kept, size), mixed, q)
+    return p
+
+
+def answers(sums: DataFrame, base: DataFrame, asked: DataFrame, depth: int, buckets: int, least: int = 2, divergence: float = 4.0) -> DataFrame:
+    """(chunk, codes, logp): log10 probabilities of the cells that the chunks ask for.
+
+    A bucket's rows come in order: its short contexts (base: code, p), its cells, and then the chunks' questions, of
+    which one at a time is in memory.
+    """
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(batch.column(0).to_numpy() >> BITS, buckets)), *batch.columns], ["bucket", "code", "p"])
+
+    none = F.lit(None)
+    low = base.mapInArrow(place, "bucket int, code long, p double").select("bucket", F.lit(0).alias("kind"), none.cast("long").alias("chunk"), "code", "p", none.cast("binary").alias("x"), none.cast("binary").alias("y"))
+    own = sums.select("bucket", F.lit(1), none, none, none, "codes", "n")
+    questions = asked.filter("chunk >= 0").select("bucket", F.lit(2), "chunk", none, none, "codes", none)
+    rows = low.union(own).union(questions).repartition("bucket").sortWithinPartitions("bucket", "kind", "code")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: list[np.ndarray] = []
+        p: list[np.ndarray] = []
+        code, logp, at = np.zeros(0, np.int64), np.zeros(0, np.float32), None
+        for batch in batches:
+            bucket, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1]))) if len(bucket) else []
+            for a, b in zip(cuts, np.append(cuts, len(bucket))[1:], strict=True):
+                if bucket[a] != at:
+                    low, p, at = [], [], bucket[a]
+                if kind[a] == 0:
+                    low.append(batch.column(3)[a:b].to_numpy())
+                    p.append(batch.column(4)[a:b].to_numpy())
+                    continue
+                for i in range(a, b):
+                    x = unpack_numbers(batch.column(5)[i].as_buffer(), np.int64)
+                    if kind[a] == 1:
+                        n = unpack_numbers(batch.column(6)[i].as_buffer(), np.int64)
+                        code, logp = x, np.log10(walk_down(x, n, np.concatenate(low), np.concatenate(p), depth, least, divergence)).astype(np.float32)
+                    else:
+                        blob = pack_numbers(logp[np.searchsorted(code, x)])
+                        yield pa.RecordBatch.from_arrays([batch.column(2)[i : i + 1], batch.column(5)[i : i + 1], pa.array([blob], pa.binary())], ["chunk", "codes", "logp"])
+
+    return rows.mapInArrow(run, "chunk long, codes binary, logp binary")
+
+
+class Lookup:
+    """Values by code, in hash tables: codes whose place another one took go to the next, smaller table."""
+
+    def __init__(self, code: np.ndarray, value: np.ndarray):
+        self.code, self.value, self.tables = code, value, []
+        left = np.arange(len(code))
+        while len(left):
+            bits = max(4, int(4 * len(left) - 1).bit_length())
+            odd, table = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.tables)), np.zeros(1 << bits, np.int32)
+            place = self._place(code[left], odd, bits)
+            table[place] = left
+            self.tables.append((odd, bits, table))
+            left = left[table[place] != left]
+
+    @staticmethod
+    def _place(code: np.ndarray, odd: np.uint64, bits: int) -> np.ndarray:
+        x = code.view(np.uint64)
+        return ((x ^ (x >> np.uint64(31))) * odd) >> np.uint64(64 - bits)
+
+    def get(self, code: np.ndarray) -> np.ndarray:
+        """Values of codes, all of which are known."""
+        out, left = np.empty(len(code), np.float64), None
+        for odd, bits, table in self.tables:
+            own = code if left is None else code[left]
+            at = table[self._place(own, odd, bits)]
+            hit = self.code[at] == own
+            if left is None:
+                out[:] = self.value[at]
+                left = np.flatnonzero(~hit)
+            else:
+                out[left[hit]] = self.value[at[hit]]
+                left = left[~hit]
+            if not len(left):
+                return out
+        if left is None or len(left):
+            raise KeyError("a code without an answer")
+        return out
+
+
+def learn(full: DataFrame, depth: int, least: int = 2, divergence: float = 4.0) -> DataFrame:
+    """(code, p): the probability of each cell's symbol after its longest retained context of at most `depth` bytes.
+
+    full: (code, n), distinct cells of contexts of `depth` bytes and how often they stand in training rows (0: in others alone).
     """
     levels = [full]
     for k in range(depth - 1, -1, -1):
@@ -229,7 +420,7 @@ def learn(full: DataFrame, depth: int = 6, least: int = 2, divergence: float = 4
         ratio = 2 * (F.col("s") - F.col("total") * F.ln("total"))
         kept = (F.col("total") >= least) & (ratio > divergence * F.col("kinds")) & (F.shiftright("code", BITS * k) != PAD) if k else F.col("total") > 0
         mixed = (F.col("q") * F.col("kinds") + F.col("n")) / (F.col("total") + F.col("kinds"))  # Witten-Bell
-        tree = cells.select("code", F.when(kept, mixed).otherwise(F.col("q")).cast("float").alias("p"))
+        tree = cells.select("code", F.when(kept, mixed).otherwise(F.col("q")).alias("p"))
         if k < depth:
             tree = materialize(tree, f"tree-{k}")
     return tree
@@ -268,13 +459,16 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     return score_flagged(flagged(docs, id_col, text_col, F.lit(False), True).union(flagged(train, id_col, text_col, F.lit(True), False)), **options)
 
 
-def score_flagged(rows: DataFrame, frequent: int = 100_000, depth: int = 6, block: int = 1 << 24, **options) -> DataFrame:
+def score_flagged(rows: DataFrame, frequent: int = 100_000, depth: int = 6, block: int = 1 << 25, buckets: int = 512, **options) -> DataFrame:
     """Scores of the rows that are `scored`, learned from those that are `trains`."""
+    if not LOW < depth <= 6:
+        raise ValueError(f"depth must lie between {LOW + 1} and 6: a code has 63 bits")
     spark = rows.sparkSession
-    rows = materialize(in_chunks(rows.select(F.monotonically_increasing_id().alias("row"), "*"), block), "chunks")
-    asked = materialize(chunk_cells(rows, depth), "chunk-cells")
-    full = materialize(asked.groupBy("code").agg(F.sum("n").alias("n")), "contexts")
-    answers = asked.filter("chunk >= 0").select("chunk", "code").join(learn(full, depth, **options), "code").select("chunk", "code", F.log10("p").cast("float").alias("logp"))
+    rows = materialize(in_chunks(rows.select(F.monotonically_increasing_id().alias("row"), "*"), block), "chunks", compression="zstd")
+    asked = materialize(chunk_cells(rows, depth, buckets), "chunk-cells", compression="none")
+    sums = materialize(bucket_sums(asked), "cells", compression="none")
+    base = materialize(learn(low_cells(sums), LOW, **options), "short-contexts")
+    found = answers(sums, base, asked, depth, buckets, **options)
     train = rows.filter("trains")
     counts = materialize(word_counts(train), "word-counts")
     n_docs = train.count()
@@ -292,31 +486,47 @@ def score_flagged(rows: DataFrame, frequent: int = 100_000, depth: int = 6, bloc
     shared = spark.sparkContext.broadcast(known)
     log_all, end_count = float(np.log10(n + v + 1)), n_docs
 
-    def run(texts: pa.Table, cells: pa.Table) -> pa.Table:
-        common, out = shared.value, []
-        code, first = np.unique(cells.column("code").to_numpy(), return_index=True)  # a chunk read by two tasks asks twice
-        logp, index = cells.column("logp").to_numpy()[first], pd.Index(code)
-        for big in texts.to_batches():
-            for batch in chunks(big, 2, 1 << 20):
-                sym, sizes, doc_words = symbols(raw_texts(batch.column(2)))
-                each = logp[index.get_indexer(context_codes(sym, sizes, depth))].astype(np.float64)
-                scores = np.add.reduceat(each, np.cumsum(sizes) - sizes)
-                per = np.array([len(w) for w in doc_words], np.int64)
-                flat = [w for own in doc_words for w in own]
-                c = np.array([common.get(w, 0) for w in flat], np.float64)
-                doc = np.repeat(np.arange(len(per)), per)
-                sums = np.bincount(doc, np.log10(c + 1), minlength=len(per)) + np.log10(end_count + 1)
-                seen = np.bincount(doc, c > 0, minlength=len(per)).astype(np.int64) + (end_count > 0)
-                rare = np.flatnonzero(c == 0)
-                cuts = pa.array(np.append(0, np.cumsum(np.bincount(doc[rare], minlength=len(per)))).astype(np.int32))
-                names = pa.ListArray.from_arrays(cuts, pa.array([flat[i] for i in rare.tolist()], pa.binary()).cast(pa.string()))
-                cols = [batch.column(0), batch.column(1), pa.array(per + 1), pa.array(seen), pa.array(sums), pa.array(scores), names]
-                out.append(pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_known", "s", "score", "words"]))
-        return pa.Table.from_batches(out)
-
-    texts = rows.filter("scored").select("row", "doc_id", "text", "chunk").groupBy("chunk")
+    def scored(batch: pa.RecordBatch, look: Lookup) -> pa.RecordBatch:
+        common = shared.value
+        sym, sizes, doc_words = symbols(raw_texts(batch.column(2)))
+        scores = np.add.reduceat(look.get(context_codes(sym, sizes, depth)), np.cumsum(sizes) - sizes)
+        per = np.array([len(w) for w in doc_words], np.int64)
+        flat = [w for own in doc_words for w in own]
+        c = np.array([common.get(w, 0) for w in flat], np.float64)
+        doc = np.repeat(np.arange(len(per)), per)
+        sums = np.bincount(doc, np.log10(c + 1), minlength=len(per)) + np.log10(end_count + 1)
+        seen = np.bincount(doc, c > 0, minlength=len(per)).astype(np.int64) + (end_count > 0)
+        rare = np.flatnonzero(c == 0)
+        cuts = pa.array(np.append(0, np.cumsum(np.bincount(doc[rare], minlength=len(per)))).astype(np.int32))
+        names = pa.ListArray.from_arrays(cuts, pa.array([flat[i] for i in rare.tolist()], pa.binary()).cast(pa.string()))
+        cols = [batch.column(0), batch.column(1), pa.array(per + 1), pa.array(seen), pa.array(sums), pa.array(scores), names]
+        return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_known", "s", "score", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, look = None, [], None
+        for big in batches:
+            chunk = big.column(3).to_numpy()
+            told = pc.is_valid(big.column(4)).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (told[1:] != told[:-1]))) if len(chunk) else []
+            for a, b in zip(cuts, np.append(cuts, len(chunk))[1:], strict=True):
+                if chunk[a] != at:
+                    at, parts, look = chunk[a], [], None
+                if told[a]:  # the answers of a chunk come before its texts
+                    parts += [(unpack_numbers(x.as_buffer(), np.int64), unpack_numbers(y.as_buffer(), np.float32)) for x, y in zip(big.column(4)[a:b], big.column(5)[a:b], strict=True)]
+                    continue
+                if look is None:
+                    code, logp = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    code, first = np.unique(code, return_index=True)  # a chunk read by two tasks asks twice
+                    look, parts = Lookup(code, logp[first]), []
+                for batch in chunks(big.slice(a, b - a), 2, 1 << 20):
+                    yield scored(batch, look)
+
+    none = F.lit(None)
+    texts = rows.filter("scored").select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "chunk", none.cast("binary").alias("codes"), none.cast("binary").alias("logp"), F.lit(1).alias("kind"))
+    told = found.select(none.cast("long"), none.cast("long"), none.cast("string"), "chunk", "codes", "logp", F.lit(0))
+    both = texts.union(told).repartition("chunk").sortWithinPartitions("chunk", "kind").drop("kind")
     schema = "row long, doc_id long, n_tokens long, n_known long, s double, score double, words array<string>"
-    rows = materialize(texts.cogroup(answers.groupBy("chunk")).applyInArrow(run, schema), "scores")
+    rows = materialize(both.mapInArrow(run, schema), "scores", compression="zstd")
     # the other words of a document meet their counts; a word without one adds log10(1) = 0
     rare = rows.select("row", F.explode("words").alias("word"))
     found = rare.join(counts.filter(F.col("c") < least), "word").groupBy("row").agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("s2"))

@@ -159,7 +159,7 @@ def test_scores_equal_a_tree_of_all_contexts_whatever_the_size(spark):
     common = [(10 + i, " ".join(r.choice(["the", "man", "and", "sea"]) for _ in range(60))) for i in range(9000)]
     train = spark.createDataFrame(rare + common, "doc_id long, text string")
     docs = spark.createDataFrame([(1, "zqj kvx wpy"), (2, "the sea and"), (3, "unseen zqj"), (4, None)], "doc_id long, text string")
-    got = {x.doc_id: x.score for x in suffix_lm.score(docs, train, block=1 << 16).collect()}
+    got = {x.doc_id: x.score for x in suffix_lm.score(docs, train, block=1 << 16, buckets=16).collect()}
     sym, counts, _ = suffix_lm.symbols([t.encode() for _, t in rare + common])
     code, n = suffix_lm.run_lengths(suffix_lm.context_codes(sym, counts, 6))
     cells = Counter()
@@ -276,3 +276,30 @@ def test_language_learns_any_number_of_labels(spark):
     rows = [(i, f"word {i}", f"l{i % 600:03}") for i in range(1200)]
     model = lang_cnn.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_class=2)
     assert len(model.labels) == 600
+
+
+def test_numbers_sums_and_lookups():
+    r = np.random.default_rng(1)
+    sums, want, many = suffix_lm.Sums(most=1000), Counter(), r.integers(0, 1 << 62, 3000)
+    for _ in range(30):
+        code, n = suffix_lm.run_lengths(r.choice(many, 500))
+        sums.add(code, n)
+        want.update(dict(zip(code.tolist(), n.tolist(), strict=True)))
+    code, n = sums.total()
+    assert dict(zip(code.tolist(), n.tolist(), strict=True)) == want and (np.diff(code) > 0).all()
+    assert (suffix_lm.unpack_numbers(suffix_lm.pack_numbers(code), np.int64) == code).all()
+    look = suffix_lm.Lookup(code, n.astype(np.float32))
+    asked = r.choice(code, 5000)
+    assert look.get(asked).tolist() == [want[c] for c in asked.tolist()]
+    with pytest.raises(KeyError):
+        look.get(np.array([-5]))
+    assert suffix_lm.Sums().total()[0].size == 0
+
+
+def test_language_model_edges(spark):
+    rows = [(1, "x" * 300_000 + " " + "ab " * 100_000, 1), (2, None, 1), (2, None, 1), (3, "", 1), (None, "ab ab", 1), (4, " \t\n", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    got = Counter((r.doc_id, r.n_tokens, r.held_out, round(r.score, 3)) for r in suffix_lm.score_documents(df).collect())
+    assert sum(got.values()) == 6 and {k[:2] for k in got} == {(1, 100_002), (2, 1), (3, 1), (None, 3), (4, 1)}
+    assert len({k[3] for k in got if k[1] == 1}) == 1
+    assert suffix_lm.score_documents(df.limit(0)).columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
