@@ -7,6 +7,13 @@ benchmark   keeps documents that hold no benchmark passage
 packing     packs what is left into sequences of 1,024 tokens: a row per piece
 
 Every stage reads all rows that its predecessor kept. Models are trained on bounded samples of labelled rows.
+
+Defined results: a null, empty or letterless text is in no language and goes at the first stage, unless no document
+has a language to learn from: then all stay; without labels of both kinds none is toxic; rows of equal id and text are one
+document, of which one row stays, rows without id are never duplicates; an empty table gives an empty one; further columns
+of any name pass through the filters untouched and are left out by the packing.
+
+A stage called on its own bounds Arrow batches for its session, since its result is written later; run() restores that.
 """
 
 from __future__ import annotations
@@ -16,12 +23,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm import decontaminate, lang_cnn, near_dup, packing, toxicity
-from lexloom.llm.common import shared_dir
+from lexloom.llm.common import settings, shared_dir
+
+
+#: Texts can be long, and both sides of a Python worker hold a batch.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def lean(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes: texts can be long, and both sides of a Python worker hold a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Bounds Arrow batches by bytes."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +70,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to the documents below sf_dir."""
     docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/lexloom/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
+    with settings(spark, BATCHES):
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+            docs = spark.read.parquet(f"{at}/{name}")
     return docs
