@@ -226,12 +226,14 @@ def ids_repeat(docs: DataFrame, id_col: str) -> bool:
     return not docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty()
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Where an id alone is no key: rows of docs with _key, a number of their id and text (rows without id leave), and (_key, doc_id)."""
-    rows = docs.filter(F.col(id_col).isNotNull()).withColumn("_digest", F.sha2(F.coalesce(text_col, F.lit("")), 256)).withColumn("_null", F.col(text_col).isNull())
-    order = [id_col, "_digest", "_null"]  # numbers follow it, so that the least of a group does not depend on the rows' places
-    keys = materialize(rows.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_key", F.monotonically_increasing_id()), "keys")
-    return rows.join(keys, order).drop("_digest", "_null"), keys.select("_key", F.col(id_col).cast("long").alias("doc_id"))
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """Where an id alone is no key: rows of docs with a number of their id and text (rows without id leave), (number, doc_id), and the number's name."""
+    taken = {c.lower() for c in docs.columns}
+    key, digest, null = ("_" * (1 + max(map(len, taken))) + name for name in ("key", "digest", "null"))  # no column has such a name
+    rows = docs.filter(F.col(id_col).isNotNull()).withColumn(digest, F.sha2(F.coalesce(text_col, F.lit("")), 256)).withColumn(null, F.col(text_col).isNull())
+    order = [id_col, digest, null]  # numbers follow it, so that the least of a group does not depend on the rows' places
+    keys = materialize(rows.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()), "keys")
+    return rows.join(keys, order).drop(digest, null), keys.select(key, F.col(id_col).cast("long").alias("doc_id")), key
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 12, t: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,8 +242,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 12,
         return linked(docs, k, percent, m, t, id_col, text_col)
     # texts of one id are linked by it: each is a document of its own, with an edge to the first one of the id
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows, names = keyed(docs, "doc_id", "text")
-    rows = materialize(rows, "keyed")
+    rows, names, key = keyed(docs, "doc_id", "text")
+    rows, names = materialize(rows.withColumnRenamed(key, "_key"), "keyed"), names.withColumnRenamed(key, "_key")
     same = names.groupBy("doc_id").agg(F.min("_key").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id", "b")
     same = names.join(same, "doc_id").filter("_key <> b").select(F.col("_key").alias("a"), "b")
     got = materialize(linked(rows.select("_key", "text").dropDuplicates(["_key"]), k, percent, m, t, "_key", "text", same).withColumnRenamed("doc_id", "_key"), "keyed-classes")
@@ -296,8 +298,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if not ids_repeat(docs, id_col):
         return without_near_duplicates(docs, id_col, text_col, k, percent, m, t)
-    rows = materialize(keyed(docs, id_col, text_col)[0].dropDuplicates(["_key"]), "keyed")
-    kept = without_near_duplicates(rows, "_key", text_col, k, percent, m, t).select(*docs.columns)
+    rows, _, key = keyed(docs, id_col, text_col)
+    kept = without_near_duplicates(materialize(rows.dropDuplicates([key]), "keyed"), key, text_col, k, percent, m, t).select(*docs.columns)
     return docs.filter(F.col(id_col).isNull()).unionByName(kept)
 
 

@@ -216,3 +216,29 @@ def test_equal_pieces_are_dealt_to_many_blocks(spark):
     sizes = [r.n for r in got.groupBy("block").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 50 and max(sizes) < 3000 and sum(sizes) == 100_000
     assert got.select("sequence_id").distinct().count() <= 10_000 + 50
+
+
+def test_pipeline_edges(spark, tmp_path):
+    key = next(iter(corpus_pipeline.BATCHES))
+    before = spark.conf.get(key, None)
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("_key", F.lit("x")).withColumn("component", F.lit(1)).withColumn("length", F.lit(2))
+    columns = docs.columns
+    clean = docs.orderBy("doc_id").first()
+    odd = [(901, None), (902, ""), (903, "12 !"), (None, clean.text), (None, None), (904, "une phrase " * 40_000), (904, "une phrase " * 40_000), (905, clean.text)]
+    more = spark.createDataFrame([(i, t, "en", "odd", 1, "x", 1, 2) for i, t in odd], docs.schema)
+    docs = docs.unionByName(more)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = spark.createDataFrame(stage(spark, out, str(tmp_path)).collect(), docs.schema)
+        assert out.columns == columns
+    spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    kept = Counter(r.doc_id for r in out.select("doc_id").collect())
+    assert not {901, 902, 903} & set(kept) and kept[904] == 1 and kept[None] <= 1
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in result.select("doc_id").collect()} == set(kept) and spark.conf.get(key, None) == before
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
