@@ -88,6 +88,10 @@ def words_py(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+#: Values of a column, each with its count, that are broadcast (some MB); more are joined by a shuffle.
+BROADCAST_VALUES = 100_000
+
+
 def hashed_sample(df: DataFrame, id_col: str, rows: int, per: str | None = None, seed: int = 17) -> DataFrame:
     """About `rows` rows (for each value of `per`) chosen by a hash of the id: a bounded, repeatable training sample.
 
@@ -98,6 +102,7 @@ def hashed_sample(df: DataFrame, id_col: str, rows: int, per: str | None = None,
     if per is None:
         n = df.count()
         return df if n <= rows else df.filter(draw < F.lit(rows / n))
-    # the counts of the values, however many there are, come back to the rows by a join; a hot value is split by adaptive execution
+    # the counts of the values come back to the rows by a join; few values are broadcast, so that texts are not shuffled
     share = df.groupBy(F.col(per).alias("_per")).agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
+    share = F.broadcast(share) if share.count() <= BROADCAST_VALUES else share
     return df.join(share, F.col(per).eqNullSafe(F.col("_per"))).filter(draw < F.col("_share")).select(*df.columns)
