@@ -168,7 +168,7 @@ def links_across(rest: DataFrame, sets: DataFrame, m: int, percent: int, outer:
     by = rows.groupBy("pos", "h", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n").cast("long")).alias("size")).groupBy("pos", "h")
     by = by.agg(F.max(F.struct("c", "component", "size")).alias("m"), F.sum("size").alias("all"), F.sum("c").alias("rows"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     by = by.select("pos", "h", F.col("m.component").alias("main"), F.col("m.size").alias("n_main"), "all", F.col("m.c").alias("c_main"), "rows")
-    rows = rows.join(by, ["pos", "h"])
+    rows = rows.join(materialize(by, "buckets"), ["pos", "h"])  # a plain join, which adaptive execution splits at hot buckets
     ob = F.greatest(F.ceil((F.col("all") - F.col("n_main")) / outer), F.ceil((F.col("rows") - F.col("c_main")) / outer_rows)).cast("int")
     mb = F.greatest(F.ceil(F.col("n_main") / inner), F.ceil(F.col("c_main") / inner_rows)).cast("int")
     rows = rows.withColumn("out", F.col("component") != F.col("main")).withColumn("ob", ob).withColumn("mb", mb)
