@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
-from itertools import pairwise
 
 import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
 from .text import words_and_marks
 
@@ -25,21 +23,6 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return row.bit_count()
 
 
-def _meteor(pred: list[str], ref: list[str]) -> float:
-    """Exact unigram matches (the n-th of a token matches if the reference has n), 10PR / (R + 9P), less a penalty for runs."""
-    left, places = Counter(ref), []
-    for i, t in enumerate(pred):
-        if left[t] > 0:
-            left[t] -= 1
-            places.append(i)
-    n = len(places)
-    if not n:
-        return 0.0
-    runs = 1 + sum(b - a != 1 for a, b in pairwise(places))
-    p, r = n / len(pred), n / len(ref)
-    return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (runs / n) ** 3)
-
-
 def _of_pairs(f: Callable, kind: str) -> Callable[[Column, Column], Column]:
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([f(list(x), list(y)) for x, y in zip(a, b, strict=True)])
@@ -52,11 +35,6 @@ def lcs_length(a: Column | str, b: Column | str) -> Column:
     return _of_pairs(_lcs, "int")(a, b)
 
 
-def meteor_score(prediction: Column | str, reference: Column | str) -> Column:
-    """METEOR of two token arrays."""
-    return _of_pairs(_meteor, "double")(prediction, reference)
-
-
 def f1(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
 
@@ -70,8 +48,21 @@ def with_rouge_l(pairs: DataFrame) -> DataFrame:
 
 
 def with_meteor(pairs: DataFrame) -> DataFrame:
-    """Adds meteor to (id, prediction, reference)."""
-    return pairs.withColumn("meteor", meteor_score(words_and_marks("prediction"), words_and_marks("reference")))
+    """Adds meteor to (id, prediction, reference); id is a key.
+
+    The n-th occurrence of a token in a prediction matches if the reference has n of it. With m matches in c runs of
+    neighbouring places, P = m / prediction's length and R = m / reference's: 10 P R / (R + 9 P) (1 - (c / m) ** 3 / 2).
+    """
+    sized = pairs.withColumn("p", words_and_marks("prediction")).withColumn("r", words_and_marks("reference"))
+    nth = Window.partitionBy("id", "token").orderBy("place")
+    given = sized.select("id", F.posexplode("p").alias("place", "token")).withColumn("n", F.row_number().over(nth))
+    wanted = sized.select("id", F.explode("r").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("times"))
+    hits = given.join(wanted, ["id", "token"]).filter("n <= times")
+    begins = F.coalesce(F.col("place") - F.lag("place").over(Window.partitionBy("id").orderBy("place")) > 1, F.lit(True))
+    counted = hits.select("id", begins.cast("int").alias("begins")).groupBy("id").agg(F.count(F.lit(1)).alias("m"), F.sum("begins").alias("c"))
+    p, r = F.col("m") / F.size("p"), F.col("m") / F.size("r")
+    score = 10 * p * r / (r + 9 * p) * (1 - F.pow(F.col("c") / F.col("m"), F.lit(3)) / 2)
+    return sized.join(counted, "id", "left").withColumn("meteor", F.when(F.col("m").isNull(), 0.0).otherwise(score)).drop("p", "r", "m", "c")
 
 
 def metric_means(scored: DataFrame, columns: list[str]) -> DataFrame:

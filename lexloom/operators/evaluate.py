@@ -7,6 +7,29 @@ from pyspark.sql import DataFrame
 
 from lexloom.functions.metrics import f1
 
+from .index import small
+
+
+def gold_by_text(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, doc_id) of the documents whose text contains the query's text.
+
+    A query's inner words (parted by spaces) stand in such a text as they are, so its second to (k + 1)-th word are
+    looked up among the runs of k words of all documents, by hash, and what is found is confirmed. Queries with fewer
+    inner words use shorter runs; those without any are tried on every document.
+    """
+    parts = queries.select("query_id", F.col("text").alias("q"), F.split("text", " ").alias("w")).filter("q is not null")
+    sized = parts.withColumn("m", F.least(F.lit(k), F.size("w") - 2))
+    texts = docs.select("doc_id", "text")
+    out = texts.join(sized.filter("m <= 0").select("query_id", "q"), F.contains("text", "q")).select("query_id", "doc_id")
+    sizes = [r.m for r in sized.filter("m > 0").select("m").distinct().collect()]  # at most k
+    for m in sorted(sizes):
+        anchors = sized.filter(F.col("m") == m).select("query_id", "q", F.xxhash64(F.slice("w", 2, m)).alias("h"))
+        words = texts.select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= m)
+        found = words.select("doc_id", F.explode(F.expr(f"transform(sequence(1, size(w) - {m - 1}), i -> xxhash64(slice(w, i, {m})))")).alias("h"))
+        pairs = found.join(small(anchors), "h").select("query_id", "doc_id", "q").distinct()
+        out = out.unionByName(pairs.join(texts, "doc_id").filter(F.contains("text", "q")).select("query_id", "doc_id"))
+    return out
+
 
 def per_query(results: DataFrame, gold: DataFrame) -> DataFrame:
     """precision (over what was retrieved), recall, f1, first_hit_rank, hit_at_1 and rr of every query with gold."""

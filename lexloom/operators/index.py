@@ -5,18 +5,26 @@ A corpus is (doc_id, name, text); an index text is name + " " + text. Queries ar
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from lexloom.functions.text import words
 
+from .store import stored
+
 #: Query-side tables of at most so many rows are broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df to be broadcast if its size allows it; joins beyond that are left to the optimizer."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, terms: DataFrame | None = None) -> DataFrame:
+    """df to be broadcast if its size allows it; joins beyond that are left to the optimizer.
+
+    What is counted is read twice: df must be a table or made of little; else name the table of `terms` that has at
+    least as many rows.
+    """
+    return F.broadcast(df) if (df if terms is None else terms).count() <= most else df
 
 
 def tokenized(docs: DataFrame, text: Column | None = None) -> DataFrame:
@@ -53,33 +61,62 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return each.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"), F.min("pos").alias("first_pos"))
 
 
-def bm25_scores(tokens: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) of every document that shares a term with a query. terms: from query_terms()."""
-    terms = small(terms)
-    tf = term_frequencies(tokens, small(terms.select("term").distinct()))
-    stats = corpus_stats(tokens)
-    idf = inverse_frequencies(tf, stats).select("term", "idf")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1e-12))))
-    weighted = tf.join(idf, "term").join(F.broadcast(stats.select("avgdl"))).select("term", "doc_id", part.alias("part"))
-    return weighted.join(terms.select("query_id", "term", "qtf"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
-
-
-def tfidf_vectors(tokens: DataFrame, max_features: int = 100_000) -> DataFrame:
-    """(doc_id, term, weight): sublinear tf, smooth idf, rows of unit length; the max_features commonest terms."""
-    tf = term_frequencies(tokens).select("doc_id", "term", "tf")
-    n = tokens.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
-    idf = vocabulary.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, "term").select("doc_id", "term", "idf", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", "idf", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def tfidf_cosine(vectors: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): cosine of queries (terms: from query_terms()) and document vectors."""
-    terms = small(terms)
-    hits = vectors.join(terms.select("query_id", "term", "qtf"), "term")
-    idf = hits.select("query_id", "term", "qtf", "idf").distinct()
-    norm = idf.groupBy("query_id").agg(F.sqrt(F.sum(F.pow((1 + F.log("qtf")) * F.col("idf"), 2))).alias("norm"))
-    dot = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * (1 + F.log("qtf")) * F.col("idf")).alias("dot"))
-    return dot.join(small(norm), "query_id").select("query_id", "doc_id", (F.col("dot") / F.col("norm")).alias("score"))
+@dataclass
+class Index:
+    """A corpus tokenised once. postings: term, doc_id, dl, tf; terms: term, df, total, idf. Both are stored tables."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n: int
+    avgdl: float
+    _norms: dict[int, DataFrame] = field(default_factory=dict)
+
+    @classmethod
+    def build(cls, docs: DataFrame, text: Column | None = None) -> Index:
+        """The index of a text (by default name and text) of every document. Files are sorted by term, so that few are read for a query."""
+        postings = stored(term_frequencies(tokenized(docs, text)).select("term", "doc_id", "dl", "tf").sortWithinPartitions("term"), "postings")
+        n, total = docs.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+        return cls(postings, stored(counts.withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms"), n, total / n if n else 0.0)
+
+    def vocabulary(self, max_features: int) -> DataFrame:
+        """(term, idf): smooth idf of the max_features commonest terms."""
+        best = self.terms.orderBy(F.desc("total"), "term").limit(max_features)
+        return best.select("term", (F.log(F.lit(1.0 + self.n) / (1 + F.col("df"))) + 1).alias("idf"))
+
+    def weights(self, max_features: int, only: DataFrame | None = None) -> DataFrame:
+        """(doc_id, term, idf, w): sublinear tf times idf, not normalised. only: the terms (term) to keep."""
+        vocabulary = self.vocabulary(max_features)
+        vocabulary = vocabulary if only is None else vocabulary.join(only, "term", "left_semi")
+        vocabulary = F.broadcast(vocabulary) if max_features <= BROADCAST_ROWS else vocabulary
+        return self.postings.join(vocabulary, "term").select("doc_id", "term", "idf", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+
+    def norms(self, max_features: int) -> DataFrame:
+        """(doc_id, norm) of the weights; computed once."""
+        if max_features not in self._norms:
+            norm = self.weights(max_features).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+            self._norms[max_features] = stored(norm, "norms")
+        return self._norms[max_features]
+
+
+def bm25_scores(index: Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score) of every document that shares a term with a query. terms: from query_terms(), or a stored table."""
+    asked = small(terms.select("query_id", "term", "qtf")).join(index.terms.select("term", "idf"), "term")
+    hits = index.postings.join(small(asked, terms=terms), "term")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / max(index.avgdl, 1e-12)))
+    return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * part).alias("score"))
+
+
+def tfidf_vectors(index: Index, max_features: int = 100_000) -> DataFrame:
+    """(doc_id, term, idf, weight): sublinear tf, smooth idf, rows of unit length; the max_features commonest terms."""
+    return index.weights(max_features).join(index.norms(max_features), "doc_id").select("doc_id", "term", "idf", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf_cosine(index: Index, terms: DataFrame, max_features: int = 100_000) -> DataFrame:
+    """(query_id, doc_id, score): cosine of queries (terms: from query_terms()) and document vectors. Only query terms are read."""
+    own = small(terms.select("term").distinct(), terms=terms).join(index.vocabulary(max_features), "term")
+    asked = own.join(small(terms), "term").select("query_id", "term", ((1 + F.log("qtf")) * F.col("idf")).alias("q"))
+    norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
+    hits = index.weights(max_features, small(terms.select("term").distinct(), terms=terms)).join(small(asked, terms=terms), "term")
+    dot = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
+    return dot.join(index.norms(max_features), "doc_id").join(small(norm, terms=terms), "query_id").select("query_id", "doc_id", (F.col("dot") / F.col("norm") / F.col("q_norm")).alias("score"))

@@ -29,14 +29,16 @@ def overlap_score(query: Column, chunk: Column) -> Column:
 
 def scored_chunks(df: DataFrame, size: int) -> DataFrame:
     """Adds `scored`, an array of (score, -index, chunk), from columns context and query. Rows stay whole: no shuffle."""
-    df = df.withColumn("q", words_and_marks("query")).withColumn("t", words_and_marks("context")).withColumn("parts", chunks("t", size))
+    # a generator of one row keeps the optimizer from writing the tokenising into every use of the tokens
+    own = F.array(F.struct(words_and_marks("query").alias("q"), words_and_marks("context").alias("t")))
+    df = df.select("*", F.inline(own)).withColumn("parts", chunks("t", size))
     return df.withColumn("scored", F.transform("parts", lambda c, i: F.struct(F.round(overlap_score(F.col("q"), c), 9).alias("score"), (-i).alias("neg"), c.alias("chunk"))))
 
 
 def select_within_budget(df: DataFrame, size: int, budget: int) -> DataFrame:
-    """Adds `selected`: the best chunks (ties: the earlier) in order, joined by spaces, cut to `budget` tokens."""
+    """Adds `selected`: the best chunks (ties: the earlier) in order, joined by spaces, cut to `budget` tokens. Rows without any leave."""
     best = F.flatten(F.transform(F.reverse(F.array_sort("scored")), lambda s: s["chunk"]))
-    return scored_chunks(df, size).withColumn("selected", F.array_join(F.slice(best, 1, budget), " ")).drop("q", "t", "parts", "scored")
+    return scored_chunks(df, size).filter(F.size("t") > 0).withColumn("selected", F.array_join(F.slice(best, 1, budget), " ")).drop("q", "t", "parts", "scored")
 
 
 def curriculum_records(examples: DataFrame, sizes: list[int], budget: int, easy_ratio: float, seed: int = 23) -> DataFrame:
@@ -53,7 +55,7 @@ def curriculum_records(examples: DataFrame, sizes: list[int], budget: int, easy_
     for size in sizes:  # a filter for each size: the chunk expression needs a constant
         own = select_within_budget(df.filter(F.col("chunk_size") == size), size, budget)
         out = own if out is None else out.unionByName(own)
-    return out.filter("selected <> '' and answer <> ''").select("id", "question", F.col("selected").alias("context"), "answer", F.col("answer").alias("reference"), "chunk_size", "query_mode")
+    return out.filter("answer <> ''").select("id", "question", F.col("selected").alias("context"), "answer", F.col("answer").alias("reference"), "chunk_size", "query_mode")
 
 
 def easy_ratio(epoch: Column | str, start: float, decay: float) -> Column:
@@ -154,14 +156,20 @@ def _answer_span(context: str | None, answer: str | None) -> Span:
 
 
 def _token_span(text: str, start: int, end: int) -> Span:
-    own = [i for i, m in enumerate(_TOKEN.finditer(text.lower())) if m.end() > start and m.start() < end]
-    return (own[0], own[-1]) if own else None
+    """First and last token that a span of characters touches: bounds of tokens rise, so both are found by bisection."""
+    bounds = np.array([m.span() for m in _TOKEN.finditer(text.lower())], np.int64).reshape(-1, 2)
+    first, last = int(np.searchsorted(bounds[:, 1], start, "right")), int(np.searchsorted(bounds[:, 0], end, "left")) - 1
+    return (first, last) if first <= last else None
 
 
 def _run(tokens: list[str], needle: list[str]) -> Span:
-    n = len(needle)
-    at = next((i for i in range(len(tokens) - n + 1) if tokens[i] == needle[0] and tokens[i : i + n] == needle), None) if n else None
-    return None if at is None else (at, at + n - 1)
+    """First run of tokens; no token holds the separator."""
+    if not needle:
+        return None
+    text = "\n" + "\n".join(tokens) + "\n"
+    at = text.find("\n" + "\n".join(needle) + "\n")
+    first = text.count("\n", 0, at) if at >= 0 else -1
+    return None if at < 0 else (first, first + len(needle) - 1)
 
 
 def _best_overlap_span(tokens: list[str], answer: list[str]) -> Span:

@@ -59,8 +59,20 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus(spark, sf_dir)
-    return docs.join(index.small(asked(spark, sf_dir).withColumnRenamed("text", "q"), 5000), F.contains("text", "q")).select("query_id", "doc_id")
+    return evaluate.gold_by_text(corpus(spark, sf_dir), asked(spark, sf_dir))
+
+
+_indexes: dict[tuple, index.Index] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str, chars: int | None = None) -> index.Index:
+    """The index of the corpus (of `chars` characters of each text), built once in a session for the files as they are."""
+    files = cache.fingerprints(table(spark, sf_dir, "documents"))
+    key = (spark.sparkContext.applicationId, chars, cache.cache_key({"files": [{k: str(v) for k, v in f.items()} for f in files]}))
+    if key not in _indexes:
+        docs = corpus(spark, sf_dir)
+        _indexes[key] = index.Index.build(docs) if chars is None else retrieve.dense_index(docs, chars)
+    return _indexes[key]
 
 
 # ---- pieces of SQL
@@ -246,13 +258,12 @@ def cache_key_sha1(spark, sf_dir):
 
 @query(_with(DOCS, _postings(), "SELECT doc_id, term, tf FROM tf"))
 def term_freq(spark, sf_dir):
-    return index.term_frequencies(index.tokenized(corpus(spark, sf_dir))).select("doc_id", "term", "tf")
+    return indexed(spark, sf_dir).postings.select("doc_id", "term", "tf")
 
 
 @query(_with(DOCS, _postings(), "SELECT term, df, round(idf, 6) AS idf FROM df"))
 def doc_freq_idf(spark, sf_dir):
-    tokens = index.tokenized(corpus(spark, sf_dir))
-    return index.inverse_frequencies(index.term_frequencies(tokens), index.corpus_stats(tokens)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return indexed(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(_with(DOCS, _postings(), "SELECT n::BIGINT AS n, round(avgdl, 4) AS avgdl, (SELECT sum(dl)::BIGINT FROM dl) AS total FROM st"))
@@ -263,24 +274,22 @@ def doc_length_stats(spark, sf_dir):
 
 @query(_with(*BM25, "SELECT query_id, doc_id, round(score, 6) AS score FROM bm"))
 def bm25_scores(spark, sf_dir):
-    return index.bm25_scores(index.tokenized(corpus(spark, sf_dir)), index.query_terms(asked(spark, sf_dir))).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return index.bm25_scores(indexed(spark, sf_dir), index.query_terms(asked(spark, sf_dir))).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(_with(*BM25, _ranked("bm")))
 def bm25_top3(spark, sf_dir):
-    return retrieve.bm25(corpus(spark, sf_dir), asked(spark, sf_dir))
+    return retrieve.bm25(corpus(spark, sf_dir), asked(spark, sf_dir), index=indexed(spark, sf_dir))
 
 
 @query(_with(DOCS, Q, _terms(), _tfidf(TITLED), "SELECT doc_id, term, round(weight, 6) AS weight FROM vec"))
 def tfidf_vectors(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    tokens = index.tokenized(docs, F.concat_ws(" ", "name", F.substring("text", 1, 12_000)))
-    return index.tfidf_vectors(tokens).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return index.tfidf_vectors(indexed(spark, sf_dir, 12_000)).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(_with(DOCS, Q, _terms(), _tfidf(TITLED), _ranked("cos")))
 def tfidf_cosine_top3(spark, sf_dir):
-    return retrieve.dense(corpus(spark, sf_dir), asked(spark, sf_dir))
+    return retrieve.dense(corpus(spark, sf_dir), asked(spark, sf_dir), vectors=indexed(spark, sf_dir, 12_000))
 
 
 VECS = "vs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"
@@ -304,23 +313,26 @@ def vector_minmax(spark, sf_dir):
 
 @query(_with(*BM25, _top("bm", 100, "c"), _fuse([("c", 1.0)]), "SELECT query_id, doc_id, round(score, 5) AS score FROM fused"))
 def minmax_normalize(spark, sf_dir):
-    scores = index.bm25_scores(index.tokenized(corpus(spark, sf_dir)), index.query_terms(asked(spark, sf_dir)))
+    scores = index.bm25_scores(indexed(spark, sf_dir), index.query_terms(asked(spark, sf_dir)))
     return rank.fuse([(rank.top_k(scores, 100), 1.0)]).select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
 HYBRID = [*BM25, _tfidf(TITLED), _top("bm", 100, "c1"), _top("cos", 100, "c2"), _fuse([("c1", 0.5), ("c2", 0.5)])]
 
 
+def _both(spark, sf_dir):
+    return {"index": indexed(spark, sf_dir), "vectors": indexed(spark, sf_dir, 12_000)}
+
+
 @query(_with(*HYBRID, "SELECT query_id, doc_id, round(score, 5) AS score FROM fused"))
 def weighted_fusion(spark, sf_dir):
-    docs, q = corpus(spark, sf_dir), asked(spark, sf_dir)
-    sparse = rank.top_k(index.bm25_scores(index.tokenized(docs), index.query_terms(q)), 100)
-    return rank.fuse([(sparse, 0.5), (rank.top_k(retrieve.dense_scores(docs, q), 100), 0.5)]).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+    sparse, near = retrieve.candidates_of(corpus(spark, sf_dir), asked(spark, sf_dir), 100, **_both(spark, sf_dir))
+    return rank.fuse([(sparse, 0.5), (near, 0.5)]).select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
 @query(_with(*HYBRID, _ranked("fused")))
 def hybrid_top3(spark, sf_dir):
-    return retrieve.hybrid(corpus(spark, sf_dir), asked(spark, sf_dir))
+    return retrieve.hybrid(corpus(spark, sf_dir), asked(spark, sf_dir), **_both(spark, sf_dir))
 
 
 REWRITTEN = "q AS (SELECT item_id AS query_id, text || ' ' || concat_ws(' ', " + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{v}' END" for k, v in text.REWRITES) + ") AS text FROM benchmark)"
@@ -328,7 +340,7 @@ REWRITTEN = "q AS (SELECT item_id AS query_id, text || ' ' || concat_ws(' ', " +
 
 @query(_with(DOCS, REWRITTEN, _postings(), _terms(), _bm25(), _tfidf(TITLED), _top("bm", 120, "c1"), _top("cos", 120, "c2"), _fuse([("c1", 0.7), ("c2", 0.3)]), _ranked("fused")))
 def rewrite_hybrid_top3(spark, sf_dir):
-    return retrieve.rewriting_hybrid(corpus(spark, sf_dir), asked(spark, sf_dir))
+    return retrieve.rewriting_hybrid(corpus(spark, sf_dir), asked(spark, sf_dir), **_both(spark, sf_dir))
 
 
 COMPACT = "docs AS (SELECT doc_id, left(split_part(coalesce(text, ''), chr(10), 1), 80) AS name, left(coalesce(text, ''), 2500) AS text FROM documents)"
@@ -352,7 +364,7 @@ def compact_hybrid_top3(spark, sf_dir):
     )
 )
 def title_overlap_fusion_top3(spark, sf_dir):
-    return retrieve.title_fusion(corpus(spark, sf_dir), asked(spark, sf_dir))
+    return retrieve.title_fusion(corpus(spark, sf_dir), asked(spark, sf_dir), **_both(spark, sf_dir))
 
 
 EXPAND = [
@@ -367,10 +379,8 @@ EXPAND = [
 
 @query(_with(*EXPAND, "SELECT query_id, term, round(weight, 6) AS weight, rank::INTEGER AS rank FROM ex"))
 def expansion_terms(spark, sf_dir):
-    docs, q = corpus(spark, sf_dir), asked(spark, sf_dir)
-    tokens, terms = index.tokenized(docs), index.query_terms(q)
-    idf = index.inverse_frequencies(index.term_frequencies(tokens), index.corpus_stats(tokens)).select("term", "idf")
-    return retrieve.expansion_terms(docs, index.bm25_scores(tokens, terms), terms, idf).select("query_id", "term", F.round("weight", 6).alias("weight"), "rank")
+    own, terms = indexed(spark, sf_dir), index.query_terms(asked(spark, sf_dir))
+    return retrieve.expansion_terms(corpus(spark, sf_dir), index.bm25_scores(own, terms), terms, own.terms.select("term", "idf")).select("query_id", "term", F.round("weight", 6).alias("weight"), "rank")
 
 
 @query(
@@ -383,7 +393,7 @@ def expansion_terms(spark, sf_dir):
     )
 )
 def iterative_expansion_top3(spark, sf_dir):
-    return retrieve.iterative_expansion(corpus(spark, sf_dir), asked(spark, sf_dir))
+    return retrieve.iterative_expansion(corpus(spark, sf_dir), asked(spark, sf_dir), index=indexed(spark, sf_dir))
 
 
 SALIENT = [
@@ -396,10 +406,7 @@ SALIENT = [
 
 @query(_with(DOCS, _postings(), *SALIENT, "SELECT doc_id, term, round(weight, 6) AS weight, rank::INTEGER AS rank FROM edge"))
 def salient_terms(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    tokens = index.tokenized(docs)
-    idf = index.inverse_frequencies(index.term_frequencies(tokens), index.corpus_stats(tokens)).select("term", "idf")
-    return retrieve.salient_terms(docs, idf).select("doc_id", "term", F.round("weight", 6).alias("weight"), "rank")
+    return retrieve.salient_terms(corpus(spark, sf_dir), indexed(spark, sf_dir).terms.select("term", "idf")).select("doc_id", "term", F.round("weight", 6).alias("weight"), "rank")
 
 
 @query(
@@ -417,7 +424,7 @@ def salient_terms(spark, sf_dir):
     )
 )
 def term_graph_propagation_top3(spark, sf_dir):
-    return retrieve.graph_propagation(corpus(spark, sf_dir), asked(spark, sf_dir))
+    return retrieve.graph_propagation(corpus(spark, sf_dir), asked(spark, sf_dir), index=indexed(spark, sf_dir))
 
 
 @query(
@@ -472,7 +479,7 @@ def retrieval_metrics_mean(spark, sf_dir):
 @query(_with(*EVAL, "SELECT query_id, len(list(doc_id))::INTEGER AS n, string_agg(doc_id || ':' || name, '|' ORDER BY rank) AS listed FROM res JOIN docs USING (doc_id) GROUP BY query_id"))
 def ranked_results_nested(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    rows = evaluate.nested(retrieve.bm25(docs, asked(spark, sf_dir)), docs.select("doc_id", "name"))
+    rows = evaluate.nested(retrieve.bm25(docs, asked(spark, sf_dir), index=indexed(spark, sf_dir)), docs.select("doc_id", "name"))
     listed = F.array_join(F.transform("retrieved_contexts", lambda s: F.concat(s["doc_id"].cast("string"), F.lit(":"), s["name"])), "|")
     return rows.select("query_id", F.size("retrieved_contexts").alias("n"), listed.alias("listed"))
 
@@ -571,7 +578,7 @@ def chunk_scores(spark, sf_dir):
 )
 def chunk_budget_select(spark, sf_dir):
     df = examples(spark, sf_dir).select("id", F.col("question").alias("query"), "context")
-    return prepare.select_within_budget(df, 50, 300).select("id", "selected").filter("selected <> ''")
+    return prepare.select_within_budget(df, 50, 300).select("id", "selected")
 
 
 @query(
@@ -584,7 +591,7 @@ def chunk_budget_select(spark, sf_dir):
 def chunk_budget_select_full(spark, sf_dir):
     """chunk_budget_select with the reference's budget."""
     df = examples(spark, sf_dir).select("id", F.col("question").alias("query"), "context")
-    return prepare.select_within_budget(df, 50, 1200).select("id", "selected").filter("selected <> ''")
+    return prepare.select_within_budget(df, 50, 1200).select("id", "selected")
 
 
 @query("SELECT e::INTEGER AS epoch, greatest(0::DOUBLE, 0.8::DOUBLE - (e - 1) * 0.15::DOUBLE) AS easy_ratio FROM range(1, 9) t(e)")
