@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 import pyspark.sql.functions as F
@@ -27,9 +27,10 @@ def fingerprints(df: DataFrame) -> list[dict[str, Any]]:
     return [r.asDict() for r in rows.collect()]
 
 
-def load_or_build(spark: SparkSession, folder: str, parameters: dict[str, Any], build: Callable[[], DataFrame]) -> DataFrame:
-    """The table kept under the parameters' key below folder; built and written if missing. Spark commits whole tables."""
-    path = f"{folder.rstrip('/')}/{cache_key(parameters)}"
+def load_or_build(spark: SparkSession, folder: str, parameters: dict[str, Any], build: Callable[[], DataFrame], inputs: Iterable[DataFrame] = ()) -> DataFrame:
+    """The table kept under the key of the parameters, and of the files behind inputs, below folder; built and written if missing. Spark commits whole tables."""
+    files = [{k: str(v) for k, v in f.items()} for df in inputs for f in fingerprints(df)]
+    path = f"{folder.rstrip('/')}/{cache_key(parameters | ({'files': files} if files else {}))}"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(conf).exists(done):

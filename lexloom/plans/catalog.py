@@ -12,13 +12,12 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.functions import metrics, text
-from lexloom.operators import cache, decode, evaluate, index, prepare, rank, retrieve
+from lexloom.operators import cache, decode, evaluate, index, latent, prepare, rank, records, retrieve
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Characters of a context by the reference's default.
-CONTEXT_CHARS = 12_000
+CONTEXT_CHARS = records.CONTEXT_CHARS
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -46,10 +45,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, prediction, reference): the two turns share a conversation, so the join is on it and the turn."""
-    c = table(spark, sf_dir, "conversations")
-    a = c.filter("role = 'user'").select("conv_id", F.col("turn").alias("t"), F.col("text").alias("prediction"))
-    b = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("t"), F.col("text").alias("reference"))
-    return a.join(b, ["conv_id", "t"]).select((F.col("conv_id") * 1000 + F.col("t")).alias("id"), "prediction", "reference")
+    return records.pairs_of_turns(table(spark, sf_dir, "conversations"))
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,13 +230,13 @@ def query_rewrite_rules(spark, sf_dir):
 
 @query("SELECT item_id, 'câu hỏi: ' || text || ' ngữ cảnh: ' || left(text, 20) AS prompt FROM benchmark")
 def prompt_format(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.format_string("câu hỏi: %s ngữ cảnh: %s", "text", F.substring("text", 1, 20)).alias("prompt"))
+    return table(spark, sf_dir, "benchmark").select("item_id", records.prompt("text", "text", 20).alias("prompt"))
 
 
 @query(f"SELECT item_id, 'câu hỏi: ' || text || ' ngữ cảnh: ' || left(text, {CONTEXT_CHARS}) AS prompt FROM benchmark")
 def prompt_format_full(spark, sf_dir):
     """prompt_format with the reference's limit of a context."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.format_string("câu hỏi: %s ngữ cảnh: %s", "text", F.substring("text", 1, CONTEXT_CHARS)).alias("prompt"))
+    return table(spark, sf_dir, "benchmark").select("item_id", records.prompt("text", "text").alias("prompt"))
 
 
 @query("SELECT item_id, left(sha256(text), 16) AS key FROM benchmark")
@@ -427,13 +423,18 @@ def term_graph_propagation_top3(spark, sf_dir):
     return retrieve.graph_propagation(corpus(spark, sf_dir), asked(spark, sf_dir), index=indexed(spark, sf_dir))
 
 
-@query(
-    _with(
+CLUSTERS = [
         "cm AS (SELECT label AS cluster, i, avg(x::DOUBLE) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY ALL)",
         "cn AS (SELECT cluster, i, x / sqrt(sum(x * x) OVER (PARTITION BY cluster)) AS x FROM cm)",
         "e AS (SELECT vec_id, label AS cluster, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)",
         "cs AS (SELECT vec_id AS query_id, cn.cluster, round(sum(e.x * cn.x), 6) AS s FROM e JOIN cn USING (i) WHERE vec_id % 100 = 0 GROUP BY ALL)",
         "pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cluster) AS r FROM cs) WHERE r <= 4)",
+]
+
+
+@query(
+    _with(
+        *CLUSTERS,
         "sc AS (SELECT query_id, b.vec_id AS doc_id, sum(a.x * b.x) AS score FROM pick JOIN e b USING (cluster) JOIN e a ON a.vec_id = query_id AND a.i = b.i WHERE b.vec_id <> query_id GROUP BY ALL)",
         _ranked("sc"),
     )
@@ -449,7 +450,33 @@ def kmeans_assign(spark, sf_dir):
 
 @query()
 def lsa_top3(spark, sf_dir):
-    return retrieve.lsa(corpus(spark, sf_dir), asked(spark, sf_dir), components=32, max_features=2000)
+    return retrieve.lsa(corpus(spark, sf_dir), asked(spark, sf_dir), latent=latent.Latent.fit(indexed(spark, sf_dir, 12_000)))
+
+
+VECTORED = "docs AS (SELECT doc_id, left(split_part(coalesce(text, ''), chr(10), 1), 80) AS name, coalesce(text, '') AS text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"
+
+
+@query(
+    _with(
+        VECTORED,
+        "q AS (SELECT doc_id AS query_id, name AS text FROM docs WHERE doc_id % 100 = 0)",
+        _postings(),
+        _terms(),
+        _bm25(),
+        *CLUSTERS,
+        "cand AS (SELECT query_id, b.vec_id AS doc_id, sum(a.x * b.x) AS score FROM pick JOIN e b USING (cluster) JOIN e a ON a.vec_id = query_id AND a.i = b.i GROUP BY ALL)",
+        "scoped AS (SELECT query_id, doc_id, coalesce(bm.score, 0) AS score FROM cand LEFT JOIN bm USING (query_id, doc_id))",
+        _fuse([("scoped", 0.5), ("cand", 0.5)]),
+        _ranked("fused"),
+    )
+)
+def cluster_fusion_top3(spark, sf_dir):
+    """Cluster retrieval with the stored label as cluster: documents that have a vector, queries by every hundredth one's name."""
+    vectors, q = _vectors(spark, sf_dir)
+    docs = corpus(spark, sf_dir).join(vectors.select("doc_id"), "doc_id", "left_semi")
+    asked_ = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("name").alias("text"))
+    sparse = index.bm25_scores(index.Index.build(docs), index.query_terms(asked_))
+    return retrieve.cluster_fusion(retrieve.cluster_candidates(vectors, q), sparse)
 
 
 # ---- evaluation
@@ -526,15 +553,13 @@ FULL = f"full_refs AS (SELECT id, pos::INTEGER AS pos, doc_id, left(trim(regexp_
 @query(_with(DOCS, REFS, FULL, "SELECT * FROM full_refs WHERE passage <> ''"))
 def gold_context_lookup_full(spark, sf_dir):
     """gold_context_lookup with the reference's limit of a context."""
-    found = corpus(spark, sf_dir).join(index.small(_references(spark, sf_dir)), "doc_id")
-    return found.select("id", "pos", "doc_id", F.substring(text.single_spaced("text"), 1, CONTEXT_CHARS).alias("passage")).filter("passage <> ''")
+    return records.context_lookup(_references(spark, sf_dir), corpus(spark, sf_dir), CONTEXT_CHARS)
 
 
 @query(_with(DOCS, REFS, FULL, "SELECT id, string_agg(passage, chr(10) || chr(10) ORDER BY pos) AS context FROM full_refs WHERE passage <> '' GROUP BY id"))
 def context_concat_full(spark, sf_dir):
     """context_concat with the reference's limit of a context."""
-    parts = gold_context_lookup_full(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "passage"))).alias("c"))
-    return parts.select("id", F.array_join(F.transform("c", lambda s: s["passage"]), "\n\n").alias("context"))
+    return records.joined_contexts(gold_context_lookup_full(spark, sf_dir))
 
 
 @query(_with(DOCS, "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 4 = 0 THEN ' ' END), ''), CASE WHEN doc_id % 2 = 0 THEN 'field ' || doc_id END, nullif(trim(name), ''), 'lookup') AS context FROM docs"))

@@ -96,3 +96,9 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 def write_summary(df: DataFrame, path: str) -> None:
     """A small table (one row a split or run) as one JSON-lines file."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_metrics(spark: SparkSession, summary: dict[str, float], examples: DataFrame, path: str) -> None:
+    """Metrics as JSON lines: the means below summary/, a row for each example below examples/."""
+    write_summary(spark.createDataFrame([tuple(summary.values())], list(summary)), f"{path}/summary")
+    write_json_lines(examples, f"{path}/examples")

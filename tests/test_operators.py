@@ -7,7 +7,8 @@ import pyspark.sql.functions as F
 import pytest
 
 from lexloom.functions import metrics, text
-from lexloom.operators import cache, decode, evaluate, index, prepare, rank, retrieve
+from lexloom import cli
+from lexloom.operators import cache, decode, evaluate, index, latent, prepare, rank, records, retrieve
 from lexloom.sources import json_io
 from lexloom.streaming.postings import index_stream
 
@@ -190,3 +191,116 @@ def test_retriever_by_name():
         retrieve.retriever("none")
 
 
+
+
+def themes(spark, n=120):
+    r = random.Random(4)
+    words = {t: [f"{t}{i}" for i in range(12)] for t in "abcd"}
+    rows = [(i, "", " ".join(r.choice(words["abcd"[i % 4]]) for _ in range(30))) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, None, None), (n + 1, "", rows[0][2])], "doc_id long, name string, text string")
+
+
+def test_latent_vectors_span_the_leading_singular_space(spark):
+    import numpy as np
+
+    docs = themes(spark)
+    own = retrieve.dense_index(docs)
+    fitted = latent.Latent.fit(own, components=4, max_features=1000)
+    rows = index.tfidf_vectors(own, 1000).collect()
+    words = sorted({r.term for r in rows})
+    a = np.zeros((122, len(words)))
+    for r in rows:
+        a[r.doc_id, words.index(r.term)] = r.weight
+    exact = np.linalg.svd(a, full_matrices=False)[2][:4].T
+    assert np.linalg.norm(exact @ exact.T - fitted.basis @ fitted.basis.T, 2) < 0.02
+    got = {r.doc_id: np.array(r.p) for r in fitted.vectors.collect()}
+    assert np.allclose([np.linalg.norm(v) for v in got.values()], 1, atol=1e-4) and np.allclose(got[0], got[121], atol=1e-5)
+
+
+def test_latent_and_cluster_retrieval_find_the_theme(spark):
+    docs = themes(spark)
+    q = spark.createDataFrame([(1, "a0 a1"), (2, "c5"), (3, "unknown"), (4, None)], "query_id long, text string")
+    fitted, own = latent.Latent.fit(retrieve.dense_index(docs), components=4), index.Index.build(docs)
+    for got in (retrieve.lsa(docs, q, 5, latent=fitted), retrieve.latent_hybrid(docs, q, 5, index=own, latent=fitted), retrieve.cluster_retrieval(docs, q, 5, 8, 2, own, fitted)):
+        rows = got.collect()
+        assert {(r.query_id, r["rank"]) for r in rows} == {(i, k) for i in (1, 2) for k in range(1, 6)}
+        assert all(r.doc_id % 4 == {1: 0, 2: 2}[r.query_id] or r.doc_id == 121 for r in rows)
+    assert {r.doc_id for r in retrieve.lsa(docs, q, 3, latent=fitted).filter("query_id = 1").collect()} <= {i for i in range(0, 120, 4)} | {121}
+    empty = retrieve.lsa(docs.limit(0), q, 3)
+    assert empty.count() == 0
+
+
+def test_gold_by_text(spark):
+    docs = spark.createDataFrame([(1, "xone two three four five six sevenx tail"), (2, "one two three\nfour five six seven"), (3, "two words"), (4, None), (5, "a two wordsb c one two three four five six")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "one two three four five six seven"), (2, "two words"), (3, "one two three"), (4, ""), (5, None)], "query_id long, text string")
+    got = {(r.query_id, r.doc_id) for r in evaluate.gold_by_text(docs, q).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got == {(r.query_id, i) for r in q.collect() for i, t in texts.items() if r.text is not None and t is not None and r.text in t}
+
+
+def test_labels_and_flags(spark):
+    import re
+
+    text = "One two. Three  is here! Two again? two."
+    df = spark.createDataFrame([(1, text, 4, 14), (2, text, None, None), (3, text, 30, 99), (4, "", 0, 0)], "id int, context string, answer_start int, answer_end int")
+    got = {r.id: r for r in records.sentence_labels(df).collect()}
+    assert got[1].sentences == ["One two.", "Three is here!", "Two again?", "two."] and got[1].evidence_labels[:2] == [1, 1] and got[1].evidence_labels[3] == 0
+    flags = {r.id: r for r in records.token_flags(df, 8).collect()}
+    spans = [m.span() for m in re.finditer(r"\w+|[^\w\s]", text.lower())][:8]
+    hits = [i for i, (a, b) in enumerate(spans) if b > 4 and a < 14]
+    assert flags[1].start_flags.index(1) == hits[0] and flags[1].end_flags.index(1) == hits[-1] and len(flags[1].end_flags) == 8
+    assert all(sum(flags[i].start_flags) == sum(flags[i].end_flags) == 0 for i in (2, 3, 4)) and flags[4].tokens == []
+    assert records.chunk_sizes("50, 100,,200") == [50, 100, 200]
+    assert records.model_columns(records.tagged(df.withColumn("question", F.lit("q")), model="m", style=0), "abstractive").columns == ["id", "context", "question"]
+    with pytest.raises(ValueError):
+        records.model_columns(df, "other")
+
+
+def test_window_features_equal_a_walk(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(60):
+        n = r.randint(0, 40)
+        cuts = [3 * k for k in range(n + 1)]
+        a = r.randint(0, max(0, 3 * n - 2))
+        rows.append((i, list(range(100, 100 + n)), cuts[:-1], [c - 1 for c in cuts[1:]], a, min(a + r.randint(1, 20), max(1, 3 * n - 1))))
+    df = spark.createDataFrame(rows, "id int, ids array<int>, starts array<int>, ends array<int>, answer_start int, answer_end int")
+    got = {x.id: (x.window, x.start, x.start_position, x.end_position) for x in records.window_features(df, 10, 4).collect()}
+    want = {}
+    for i, ids, starts, ends, a, b in rows:
+        for k in range(max(1, -(-(len(ids) - 10) // 6) + 1)):
+            own = range(6 * k, min(6 * k + 10, len(ids)))
+            if len(own) and starts[own[0]] <= a and ends[own[-1]] >= b and a < b:
+                first, last = max(j for j in own if starts[j] <= a), min(j for j in own if ends[j] >= b)
+                if first <= last:
+                    want[i] = (k, 6 * k, first - 6 * k, last - 6 * k)
+                    break
+    assert got == want and len(want) > 20
+
+
+def test_command_line(spark, tmp_path):
+    folder = tmp_path / "contexts"
+    folder.mkdir()
+    for i, t in enumerate(["alpha beta gamma delta words", "epsilon zeta eta theta words", "iota kappa lambda words"]):
+        (folder / f"context_{i}.json").write_text(json.dumps({"name": f"name {i}", "link": "", "passage": t}))
+    split = [{"question": "alpha beta", "answer": "gamma delta words", "contexts": [{"content": "context_0.json"}]}, {"question": "kappa", "answer": "iota kappa lambda", "contexts": [{"content": "context_2.json"}]}]
+    (tmp_path / "s.json").write_text(json.dumps(split))
+    base = ["--data-dir", str(tmp_path), "--context-dir", str(folder), "--splits", "s.json"]
+    for name in ("bm25", "hybrid"):
+        out = cli.main(["retrieve", *base, "--retriever", name, "--top-k", "2", "--output-dir", str(tmp_path / "out")])
+        assert out["documents"] == 3 and out["splits"]["s.json"]["hit_at_1"] == 1.0
+    rows = spark.read.json(str(tmp_path / "out/s_bm25_top2")).collect()
+    assert {r.question for r in rows} == {"alpha beta", "kappa"} and rows[0].retrieved_contexts[0].rank == 1
+    (tmp_path / "p.jsonl").write_text("".join(json.dumps({"id": str(i), "prediction": p, "reference": "a b c"}) + "\n" for i, p in enumerate(["a b c", "x"])))
+    got = cli.main(["evaluate", "--predictions", str(tmp_path / "p.jsonl"), "--output", str(tmp_path / "m")])
+    assert got["count"] == 2 and got["rouge_l"] == 0.5 and spark.read.json(str(tmp_path / "m/examples")).count() == 2
+    made = cli.main(["prepare", *base, "--cache-dir", str(tmp_path / "cache")])
+    assert made == {"s.json:curriculum": 2, "s.json:extractive": 2}
+    import os
+    import time
+
+    time.sleep(1.1)
+    split.append(dict(split[0], question="gamma"))
+    (tmp_path / "s.json").write_text(json.dumps(split))
+    assert cli.main(["prepare", *base, "--cache-dir", str(tmp_path / "cache")])["s.json:extractive"] == 3, "a changed file has another key"
+    assert len([d for d in os.listdir(tmp_path / "cache/extractive") if d[0] != "."]) == 2
