@@ -10,7 +10,8 @@ training documents, of how many words they hold that are over-represented in tox
 toxic from the P[grade > 0] up that best parts the training documents (share of toxic found less `cost` times the
 share of others found).
 
-Training uses a bounded, hash-chosen sample: `per_class` labelled documents of either label.
+Training uses a bounded, hash-chosen sample: `per_class` labelled documents of either label. Their features are
+counted on the executors; those alone that stand out in toxic texts reach the driver.
 
 Defined results: a null or empty text gets the severity of a text without evidence, and is not toxic; rows of labels
 without label or document are ignored; without labels of both kinds nothing is toxic and the severity is 0; repeated
@@ -27,10 +28,14 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import hashed_sample, held
+from .common import hashed_sample, held, materialize
 from .wordhash import LETTERS, chunks, lower, mix, utf8, word_bounds, word_hashes
 
 GRADES = 3
+#: Words that mark grades: in so many toxic texts at least, and so many times more often there than in others.
+MARKED, LIFT = 4, 6.0
+#: Features of the model: in so many texts at least, and more often in toxic ones by so many standard deviations.
+LEAST, DEVIATION = 5, 5.0
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -88,7 +93,7 @@ def cells_of(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, n
     return words, cells, times.astype(np.int32)
 
 
-def grades_of(words: np.ndarray, cells: np.ndarray, times: np.ndarray, n: int, toxic: np.ndarray, least: int = 4, lift: float = 6.0) -> np.ndarray:
+def grades_of(words: np.ndarray, cells: np.ndarray, times: np.ndarray, n: int, toxic: np.ndarray, least: int = MARKED, lift: float = LIFT) -> np.ndarray:
     """Grades 0 to GRADES of training documents."""
     word = cells // n
     seen = np.bincount(word, toxic[cells % n], minlength=len(words))
@@ -101,7 +106,7 @@ def grades_of(words: np.ndarray, cells: np.ndarray, times: np.ndarray, n: int, t
     return np.where(toxic == 1, 1 + np.searchsorted(cuts, found, "left"), 0)
 
 
-def fit(words: np.ndarray, cells: np.ndarray, times: np.ndarray, n: int, grades: np.ndarray, least: int = 5, deviation: float = 5.0, rounds: int = 2000, rate: float = 1.0, penalty: float = 0.0002, cost: float = 10.0) -> Ordinal:
+def fit(words: np.ndarray, cells: np.ndarray, times: np.ndarray, n: int, grades: np.ndarray, least: int = LEAST, deviation: float = DEVIATION, rounds: int = 2000, rate: float = 1.0, penalty: float = 0.0002, cost: float = 10.0) -> Ordinal:
     """Proximal AdaGrad on the mean negative log-likelihood with an L1 penalty."""
     df = np.bincount(cells // n, minlength=len(words))
     # only features more frequent in toxic texts than chance allows
@@ -148,14 +153,37 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, id_col: str
     """The model learned from labelled documents; None without labels of both kinds."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     y = F.broadcast(hashed_sample(y, "id", per_class, "y"))  # bounded by the sample's size
-    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(y, "id").orderBy("id", "text").toArrow()
-    toxic = got.column("y").to_numpy()
-    if len(set(toxic.tolist())) < 2:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in chunks(big, 2, 1 << 20):
+                words, cells, times = cells_of(*features_of(batch.column(2)))
+                doc = cells % batch.num_rows
+                order = np.argsort(doc, kind="stable")
+                cuts = pa.array(np.append(0, np.cumsum(np.bincount(doc, minlength=batch.num_rows))).astype(np.int32))
+                hashes = pa.ListArray.from_arrays(cuts, pa.array(words[cells // batch.num_rows][order].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hashes, pa.ListArray.from_arrays(cuts, pa.array(times[order]))], ["row", "y", "hash", "times"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(y, "id")
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "y", "text")
+    sample = materialize(rows.mapInArrow(run, "row long, y int, hash array<long>, times array<int>"), "toxicity-sample", "row")
+    heads = sample.select("row", "y").orderBy("row").toArrow()
+    n, toxic = heads.num_rows, heads.column("y").to_numpy()
+    n1 = int(toxic.sum())
+    if n1 in (0, n):
         return None
-    hashes, doc, n = features_of(got.column("text").combine_chunks())
-    cells = cells_of(hashes, doc, n)
-    del hashes, doc, got
-    return fit(*cells, n, grades_of(*cells, n, toxic))
+    # what grades_of() and fit() can use comes to the driver: features that stand out in toxic texts, however long the texts are
+    each = sample.select("row", "y", F.explode(F.arrays_zip("hash", "times")).alias("c")).select("row", "y", "c.hash", "c.times")
+    df, seen, rate = F.col("df"), F.col("seen"), n1 / n
+    chance = F.sqrt(F.greatest(df * rate * (1 - rate) * (1 - df / n), F.lit(1e-9)))
+    marked = (seen >= MARKED) & ((seen + 0.5) / n1 > LIFT * (df - seen + 0.5) / (n - n1))
+    kept = each.groupBy("hash").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("seen")).filter(((df >= LEAST) & ((seen - df * rate) / chance >= DEVIATION * 0.999)) | marked)
+    got = each.join(kept.select("hash"), "hash").select("row", "hash", "times").toArrow()
+    words, index = np.unique(got.column("hash").to_numpy().view(np.uint64), return_inverse=True)
+    cells = index * n + np.searchsorted(heads.column("row").to_numpy(), got.column("row").to_numpy())
+    order = np.argsort(cells)
+    found = (words, cells[order], got.column("times").to_numpy()[order], n)
+    return fit(*found, grades_of(*found, toxic))
 
 
 def grade(docs: DataFrame, model: Ordinal | None, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

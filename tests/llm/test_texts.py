@@ -107,6 +107,12 @@ def test_toxicity_grades(spark):
     out = {x.doc_id: x.toxic for x in toxicity.grade(edge, model).collect()}
     assert out == {1: False, 2: False, 3: True}
     assert [x.doc_id for x in toxicity.accept(edge, model).orderBy("doc_id").collect()] == [1, 2]
+    hashes, doc, n = toxicity.features_of(pa.array([t for _, t, _ in rows]))
+    whole = toxicity.cells_of(hashes, doc, n)
+    plain = toxicity.fit(*whole, n, toxicity.grades_of(*whole, n, np.array([y for _, y in labels])))
+    assert np.allclose(plain.weights, model.weights, atol=1e-6) and np.allclose(plain.thresholds, model.thresholds, atol=1e-6) and (plain.features == model.features).all()
+    twice = lab.union(lab.withColumn("toxic", F.lit(0))).union(spark.createDataFrame([(None, 1), (1, None), (77777, 1)], "doc_id long, toxic int"))
+    assert (toxicity.train(docs.withColumn("y", F.lit("x")).withColumn("row", F.lit(1)), twice).features == model.features).all(), "of several labels the highest counts"
     assert toxicity.train(docs, lab.limit(0)) is None and not any(x.toxic for x in toxicity.grade(docs, None).collect())
     assert toxicity.grade(edge.limit(0), model).count() == 0
 
