@@ -459,7 +459,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     return score_flagged(flagged(docs, id_col, text_col, F.lit(False), True).union(flagged(train, id_col, text_col, F.lit(True), False)), **options)
 
 
-def score_flagged(rows: DataFrame, frequent: int = 100_000, depth: int = 6, block: int = 1 << 25, buckets: int = 512, **options) -> DataFrame:
+def score_flagged(rows: DataFrame, frequent: int = 250_000, depth: int = 6, block: int = 1 << 25, buckets: int = 512, **options) -> DataFrame:
     """Scores of the rows that are `scored`, learned from those that are `trains`."""
     if not LOW < depth <= 6:
         raise ValueError(f"depth must lie between {LOW + 1} and 6: a code has 63 bits")
