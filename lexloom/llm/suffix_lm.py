@@ -157,19 +157,37 @@ def build_tree(k: np.ndarray, code: np.ndarray, n: np.ndarray, depth: int, diver
     return Tree(step, logp, column, depth, len(retained))
 
 
+def pack_rows(batch: pa.RecordBatch) -> bytes:
+    """A batch as a compressed stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_rows(blob: pa.Buffer) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
+
+
 def in_chunks(rows: DataFrame, block: int = 1 << 24) -> DataFrame:
-    """Rows with the number of their chunk, about `block` bytes of texts each; chunks that are not scored are negative."""
+    """(chunk, trains, texts): some rows (row, doc_id, trains, text) as a compressed stream, how many train, and their chunk.
+
+    A chunk has about `block` bytes of texts; chunks that are not scored are negative. What is stored and shuffled from
+    here on are streams of some MB of texts, not rows.
+    """
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column(4)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-            ends = at + np.cumsum(size)
-            chunk, scored = part + (ends - size) // block, batch.column(3).to_numpy(zero_copy_only=False)
-            at = int(ends[-1]) if len(ends) else at
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(scored, chunk, ~chunk))], [*batch.schema.names, "chunk"])
+        for big in batches:
+            for batch in chunks(big, 4, 1 << 20):
+                size = pc.fill_null(pc.binary_length(batch.column(4)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                chunk, at, scored = part + at // block, at + int(size.sum()), batch.column(3)
+                for own, number in ((batch.filter(scored), chunk), (batch.filter(pc.invert(scored)), ~chunk)):
+                    if own.num_rows:
+                        trains = pc.sum(own.column(2).cast(pa.int64())).as_py()
+                        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([trains]), pa.array([pack_rows(own.select(["row", "doc_id", "trains", "text"]))], pa.binary())], ["chunk", "trains", "texts"])
 
-    return rows.mapInArrow(tag, "row long, doc_id long, trains boolean, scored boolean, text string, chunk long")
+    return rows.mapInArrow(tag, "chunk long, trains long, texts binary")
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
@@ -229,24 +247,24 @@ def chunk_cells(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", "codes", "n"])
 
         for big in batches:
-            for batch in chunks(big, 2, 1 << 22):
-                own, trains = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-                sym, counts, _ = symbols(raw_texts(batch.column(2)))
+            for c, blob in zip(big.column(0).to_pylist(), big.column(1), strict=True):
+                if c != at:
+                    if at is not None:
+                        yield from counted()
+                    sums, at = Sums(), c
+                batch = unpack_rows(blob.as_buffer())
+                trains = batch.column(2).to_numpy(zero_copy_only=False)
+                sym, counts, _ = symbols(raw_texts(batch.column(3)))
                 codes = context_codes(sym, counts, depth)
-                for c in own[np.sort(np.unique(own, return_index=True)[1])].tolist():
-                    if c != at:
-                        if at is not None:
-                            yield from counted()
-                        sums, at = Sums(), c
-                    for flag in (0, 1):
-                        mine = (own == c) & (trains == flag)
-                        if mine.any():
-                            code, n = run_lengths(codes.copy() if mine.all() else codes[np.repeat(mine, counts)])
-                            sums.add(code, n * flag)
+                for flag in (0, 1):
+                    mine = trains == flag
+                    if mine.any():
+                        code, n = run_lengths(codes.copy() if mine.all() else codes[np.repeat(mine, counts)])
+                        sums.add(code, n * flag)
         if at is not None:
             yield from counted()
 
-    return rows.select("chunk", "trains", "text").mapInArrow(count, "bucket int, chunk long, codes binary, n binary")
+    return rows.select("chunk", "texts").mapInArrow(count, "bucket int, chunk long, codes binary, n binary")
 
 
 def bucket_sums(cells: DataFrame) -> DataFrame:
@@ -431,23 +449,25 @@ def held_out(id_col: str = "doc_id"):
     return crc32_of_id(F.col(id_col)) % 7 == 2
 
 
-def word_counts(train: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, c): words of all rows; counted per task before they are shuffled."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, c): words of all training rows of in_chunks(); counted per task before they are shuffled."""
 
-    def rows(held: Counter) -> pa.RecordBatch:
+    def found(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for batch in batches:
-            for t in raw_texts(batch.column(0)):
-                held.update(words_py(t))
-                if len(held) > 1_000_000:
-                    yield rows(held)
-                    held = Counter()
-        yield rows(held)
+        for big in batches:
+            for blob in big.column(0):
+                batch = unpack_rows(blob.as_buffer())
+                for t in raw_texts(batch.column(3).filter(batch.column(2))):
+                    held.update(words_py(t))
+                    if len(held) > 1_000_000:
+                        yield found(held)
+                        held = Counter()
+        yield found(held)
 
-    return train.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.filter("trains > 0").select("texts").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def flagged(docs: DataFrame, id_col: str, text_col: str, trains: Column, scored: bool) -> DataFrame:
@@ -459,19 +479,18 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     return score_flagged(flagged(docs, id_col, text_col, F.lit(False), True).union(flagged(train, id_col, text_col, F.lit(True), False)), **options)
 
 
-def score_flagged(rows: DataFrame, frequent: int = 250_000, depth: int = 6, block: int = 1 << 25, buckets: int = 512, **options) -> DataFrame:
+def score_flagged(rows: DataFrame, frequent: int = 100_000, depth: int = 6, block: int = 1 << 25, buckets: int = 512, **options) -> DataFrame:
     """Scores of the rows that are `scored`, learned from those that are `trains`."""
     if not LOW < depth <= 6:
         raise ValueError(f"depth must lie between {LOW + 1} and 6: a code has 63 bits")
     spark = rows.sparkSession
-    rows = materialize(in_chunks(rows.select(F.monotonically_increasing_id().alias("row"), "*"), block), "chunks", compression="zstd")
+    rows = materialize(in_chunks(rows.select(F.monotonically_increasing_id().alias("row"), "*"), block), "chunks", compression="none")
     asked = materialize(chunk_cells(rows, depth, buckets), "chunk-cells", compression="none")
     sums = materialize(bucket_sums(asked), "cells", compression="none")
     base = materialize(learn(low_cells(sums), LOW, **options), "short-contexts")
     found = answers(sums, base, asked, depth, buckets, **options)
-    train = rows.filter("trains")
-    counts = materialize(word_counts(train), "word-counts")
-    n_docs = train.count()
+    counts = materialize(word_counts(rows), "word-counts")
+    n_docs = rows.agg(F.coalesce(F.sum("trains"), F.lit(0))).first()[0]
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = words + n_docs, kinds + (1 if n_docs else 0)
     # the commonest words, at most `frequent`: from the count on that no more words reach
@@ -488,7 +507,7 @@ def score_flagged(rows: DataFrame, frequent: int = 250_000, depth: int = 6, bloc
 
     def scored(batch: pa.RecordBatch, look: Lookup) -> pa.RecordBatch:
         common = shared.value
-        sym, sizes, doc_words = symbols(raw_texts(batch.column(2)))
+        sym, sizes, doc_words = symbols(raw_texts(batch.column(3)))
         scores = np.add.reduceat(look.get(context_codes(sym, sizes, depth)), np.cumsum(sizes) - sizes)
         per = np.array([len(w) for w in doc_words], np.int64)
         flat = [w for own in doc_words for w in own]
@@ -505,26 +524,20 @@ def score_flagged(rows: DataFrame, frequent: int = 250_000, depth: int = 6, bloc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, look = None, [], None
         for big in batches:
-            chunk = big.column(3).to_numpy()
-            told = pc.is_valid(big.column(4)).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (told[1:] != told[:-1]))) if len(chunk) else []
-            for a, b in zip(cuts, np.append(cuts, len(chunk))[1:], strict=True):
-                if chunk[a] != at:
-                    at, parts, look = chunk[a], [], None
-                if told[a]:  # the answers of a chunk come before its texts
-                    parts += [(unpack_numbers(x.as_buffer(), np.int64), unpack_numbers(y.as_buffer(), np.float32)) for x, y in zip(big.column(4)[a:b], big.column(5)[a:b], strict=True)]
+            for c, x, y in zip(big.column(0).to_pylist(), big.column(1), big.column(2), strict=True):
+                if c != at:
+                    at, parts, look = c, [], None
+                if y.is_valid:  # the answers of a chunk come before its texts
+                    parts.append((unpack_numbers(x.as_buffer(), np.int64), unpack_numbers(y.as_buffer(), np.float32)))
                     continue
                 if look is None:
-                    code, logp = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    code, logp = (np.concatenate(z) for z in zip(*parts, strict=True))
                     code, first = np.unique(code, return_index=True)  # a chunk read by two tasks asks twice
                     look, parts = Lookup(code, logp[first]), []
-                for batch in chunks(big.slice(a, b - a), 2, 1 << 20):
-                    yield scored(batch, look)
+                yield scored(unpack_rows(x.as_buffer()), look)
 
-    none = F.lit(None)
-    texts = rows.filter("scored").select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "chunk", none.cast("binary").alias("codes"), none.cast("binary").alias("logp"), F.lit(1).alias("kind"))
-    told = found.select(none.cast("long"), none.cast("long"), none.cast("string"), "chunk", "codes", "logp", F.lit(0))
-    both = texts.union(told).repartition("chunk").sortWithinPartitions("chunk", "kind").drop("kind")
+    texts = rows.filter("chunk >= 0").select("chunk", F.col("texts").alias("x"), F.lit(None).cast("binary").alias("y"), F.lit(1).alias("kind"))
+    both = texts.union(found.select("chunk", "codes", "logp", F.lit(0))).repartition("chunk").sortWithinPartitions("chunk", "kind").drop("kind")
     schema = "row long, doc_id long, n_tokens long, n_known long, s double, score double, words array<string>"
     rows = materialize(both.mapInArrow(run, schema), "scores", compression="zstd")
     # the other words of a document meet their counts; a word without one adds log10(1) = 0
