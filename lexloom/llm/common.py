@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyspark.sql.functions as F
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 
 #: White space that separates words: space, tab, \n, \v, \f, \r.
@@ -73,6 +74,17 @@ def materialize(df: DataFrame, name: str, by: str | None = None, compression: st
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and held on the executors' disks; what a lost executor held is computed again.
+
+    For results that follow from stored tables alone, however often they are computed. clearCache() gives them up.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    with small_batches(df.sparkSession), settings(df.sparkSession, {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}):
+        df.count()
+    return df
+
+
 def crc32_of_id(id_col: Column) -> Column:
     """crc32 of an id written as text; 0 for a null id."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")), F.lit(0).cast("long"))

@@ -36,7 +36,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 
-from .common import crc32_of_id, materialize, words_py
+from .common import crc32_of_id, kept, materialize, words_py
 from .wordhash import chunks, mix
 
 #: Symbols: bytes, and the end of a text. Codes of contexts have 9 bits a symbol; PAD stands before a text.
@@ -323,10 +323,10 @@ def walk_down(code: np.ndarray, n: np.ndarray, low: np.ndarray, p: np.ndarray, d
         total, kinds = np.add.reduceat(times, first).astype(float), np.add.reduceat(seen.astype(np.int64), first).astype(float)
         s = np.add.reduceat(np.where(seen, times * np.log(np.maximum(times, 1) / q), 0.0), first)
         ratio = 2 * (s - total * np.log(np.maximum(total, 1)))
-        kept = (total >= least) & (ratio > divergence * kinds) & (context[first] >> (BITS * (k - 1)) != PAD)
+        stays = (total >= least) & (ratio > divergence * kinds) & (context[first] >> (BITS * (k - 1)) != PAD)
         total, kinds = np.repeat(total, size), np.repeat(kinds, size)
         mixed = (q * kinds + times) / np.maximum(total + kinds, 1)  # Witten-Bell
-        low, p = own, np.where(np.repeat(kept, size), mixed, q)
+        low, p = own, np.where(np.repeat(stays, size), mixed, q)
     return p
 
 
@@ -420,7 +420,7 @@ def learn(full: DataFrame, depth: int, least: int = 2, divergence: float = 4.0)
     levels = [full]
     for k in range(depth - 1, -1, -1):
         shorter = levels[-1].groupBy(F.col("code").bitwiseAND(F.lit((1 << (BITS * (k + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-        levels.append(materialize(shorter, f"cells-{k}"))
+        levels.append(kept(shorter))
     tree = None
     for k, cells in enumerate(reversed(levels)):
         if tree is None:
@@ -436,11 +436,11 @@ def learn(full: DataFrame, depth: int, least: int = 2, divergence: float = 4.0)
             F.sum(F.when(F.col("n") > 0, F.col("n") * F.ln(F.col("n") / F.col("q"))).otherwise(0.0)).over(of).alias("s"),
         )
         ratio = 2 * (F.col("s") - F.col("total") * F.ln("total"))
-        kept = (F.col("total") >= least) & (ratio > divergence * F.col("kinds")) & (F.shiftright("code", BITS * k) != PAD) if k else F.col("total") > 0
+        stays = (F.col("total") >= least) & (ratio > divergence * F.col("kinds")) & (F.shiftright("code", BITS * k) != PAD) if k else F.col("total") > 0
         mixed = (F.col("q") * F.col("kinds") + F.col("n")) / (F.col("total") + F.col("kinds"))  # Witten-Bell
-        tree = cells.select("code", F.when(kept, mixed).otherwise(F.col("q")).alias("p"))
+        tree = cells.select("code", F.when(stays, mixed).otherwise(F.col("q")).alias("p"))
         if k < depth:
-            tree = materialize(tree, f"tree-{k}")
+            tree = kept(tree)
     return tree
 
 
@@ -485,11 +485,12 @@ def score_flagged(rows: DataFrame, frequent: int = 100_000, depth: int = 6, bloc
         raise ValueError(f"depth must lie between {LOW + 1} and 6: a code has 63 bits")
     spark = rows.sparkSession
     rows = materialize(in_chunks(rows.select(F.monotonically_increasing_id().alias("row"), "*"), block), "chunks", compression="none")
-    asked = materialize(chunk_cells(rows, depth, buckets), "chunk-cells", compression="none")
-    sums = materialize(bucket_sums(asked), "cells", compression="none")
-    base = materialize(learn(low_cells(sums), LOW, **options), "short-contexts")
+    # the chunks are written, so that what follows is the same however often it is computed
+    asked = kept(chunk_cells(rows, depth, buckets))
+    sums = kept(bucket_sums(asked))
+    base = kept(learn(low_cells(sums), LOW, **options))
     found = answers(sums, base, asked, depth, buckets, **options)
-    counts = materialize(word_counts(rows), "word-counts")
+    counts = kept(word_counts(rows))
     n_docs = rows.agg(F.coalesce(F.sum("trains"), F.lit(0))).first()[0]
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = words + n_docs, kinds + (1 if n_docs else 0)
@@ -539,7 +540,7 @@ def score_flagged(rows: DataFrame, frequent: int = 100_000, depth: int = 6, bloc
     texts = rows.filter("chunk >= 0").select("chunk", F.col("texts").alias("x"), F.lit(None).cast("binary").alias("y"), F.lit(1).alias("kind"))
     both = texts.union(found.select("chunk", "codes", "logp", F.lit(0))).repartition("chunk").sortWithinPartitions("chunk", "kind").drop("kind")
     schema = "row long, doc_id long, n_tokens long, n_known long, s double, score double, words array<string>"
-    rows = materialize(both.mapInArrow(run, schema), "scores", compression="zstd")
+    rows = kept(both.mapInArrow(run, schema))
     # the other words of a document meet their counts; a word without one adds log10(1) = 0
     rare = rows.select("row", F.explode("words").alias("word"))
     found = rare.join(counts.filter(F.col("c") < least), "word").groupBy("row").agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("s2"))
