@@ -420,7 +420,7 @@ def learn(full: DataFrame, depth: int, least: int = 2, divergence: float = 4.0)
     levels = [full]
     for k in range(depth - 1, -1, -1):
         shorter = levels[-1].groupBy(F.col("code").bitwiseAND(F.lit((1 << (BITS * (k + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-        levels.append(kept(shorter))
+        levels.append(materialize(shorter, f"cells-{k}"))
     tree = None
     for k, cells in enumerate(reversed(levels)):
         if tree is None:
@@ -440,7 +440,7 @@ def learn(full: DataFrame, depth: int, least: int = 2, divergence: float = 4.0)
         mixed = (F.col("q") * F.col("kinds") + F.col("n")) / (F.col("total") + F.col("kinds"))  # Witten-Bell
         tree = cells.select("code", F.when(stays, mixed).otherwise(F.col("q")).alias("p"))
         if k < depth:
-            tree = kept(tree)
+            tree = materialize(tree, f"tree-{k}")
     return tree
 
 
@@ -485,12 +485,12 @@ def score_flagged(rows: DataFrame, frequent: int = 100_000, depth: int = 6, bloc
         raise ValueError(f"depth must lie between {LOW + 1} and 6: a code has 63 bits")
     spark = rows.sparkSession
     rows = materialize(in_chunks(rows.select(F.monotonically_increasing_id().alias("row"), "*"), block), "chunks", compression="none")
-    # the chunks are written, so that what follows is the same however often it is computed
+    # the chunks are written, so that their cells, held compressed, are the same however often they are computed
     asked = kept(chunk_cells(rows, depth, buckets))
     sums = kept(bucket_sums(asked))
-    base = kept(learn(low_cells(sums), LOW, **options))
+    base = materialize(learn(low_cells(sums), LOW, **options), "short-contexts")
     found = answers(sums, base, asked, depth, buckets, **options)
-    counts = kept(word_counts(rows))
+    counts = materialize(word_counts(rows), "word-counts")
     n_docs = rows.agg(F.coalesce(F.sum("trains"), F.lit(0))).first()[0]
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = words + n_docs, kinds + (1 if n_docs else 0)
@@ -540,7 +540,7 @@ def score_flagged(rows: DataFrame, frequent: int = 100_000, depth: int = 6, bloc
     texts = rows.filter("chunk >= 0").select("chunk", F.col("texts").alias("x"), F.lit(None).cast("binary").alias("y"), F.lit(1).alias("kind"))
     both = texts.union(found.select("chunk", "codes", "logp", F.lit(0))).repartition("chunk").sortWithinPartitions("chunk", "kind").drop("kind")
     schema = "row long, doc_id long, n_tokens long, n_known long, s double, score double, words array<string>"
-    rows = kept(both.mapInArrow(run, schema))
+    rows = materialize(both.mapInArrow(run, schema), "scores", compression="zstd")
     # the other words of a document meet their counts; a word without one adds log10(1) = 0
     rare = rows.select("row", F.explode("words").alias("word"))
     found = rare.join(counts.filter(F.col("c") < least), "word").groupBy("row").agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("s2"))
