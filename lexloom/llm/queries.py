@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -85,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_wavelet_shards": op10_wavelet_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others hold models, hashes or a tokenizer, which SQL cannot express.
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracle.OP4, "op9_tensored_minhash": oracle.OP9}

@@ -9,6 +9,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from lexloom.llm import quality_rules as qr
+from lexloom.llm import queries
 from lexloom.llm.common import crc32_of_id, hashed_sample, words_py
 from lexloom.llm.shard_tree import Leaf, default_tree, shard_documents
 
@@ -173,3 +174,16 @@ def test_helpers(spark):
     many = spark.range(20000).withColumn("k", F.when(F.col("id") < 20, "rare").otherwise("hot"))
     n = {r[0]: r[1] for r in hashed_sample(many, "id", 500, "k").groupBy("k").count().collect()}
     assert n["rare"] == 20 and 350 < n["hot"] < 650
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_equals_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = c.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(repr(tuple(r[k] for k in want.columns)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
