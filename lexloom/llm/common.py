@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,14 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on, beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 #: Large tables of this worker process; those of one operator at a time.
 _held: dict[str, object] = {}
 
 
 def held(name: str | None, make: Callable[[], object] | None = None) -> object:
     """The table of a name, made at first use; all others are given up. None gives up all."""
-    for k in [k for k in _held if k != name]:
-        del _held[k]
+    if others := [k for k in _held if k != name]:
+        for k in others:
+            del _held[k]
+        give_back()
     if name is not None and name not in _held:
         _held[name] = make()
     return _held.get(name)
