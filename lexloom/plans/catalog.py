@@ -6,6 +6,7 @@ assistant's next one. Gold: documents that contain a benchmark text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyspark.sql.functions as F
@@ -804,9 +805,25 @@ LOGITS = """SELECT * FROM VALUES
 AS t(id, logits)"""
 
 
-@query("SELECT * FROM (VALUES (1, 'điều luật'), (2, '<unk>'), (3, '')) AS t(id, decoded)")
+def _rows(sql: str, name: str, columns: str) -> str:
+    """The same literal rows for DuckDB, as a named table."""
+    values = re.sub(r"(\d)D\b", r"\1", sql.partition("VALUES")[2].rpartition("AS t(")[0]).replace("array(", "list_value(")
+    return f"{name}({columns}) AS (VALUES {values})"
+
+
+NAMES = ["<pad>", "<unk>", "<bos>", "<eos>", "điều", "luật"]
+
+
+@query(
+    _with(
+        _rows(LOGITS, "lg", "id, logits"),
+        f"tk AS (SELECT id, list_transform(logits, lambda s: list_extract({NAMES}, list_position(s, list_max(s)))) AS t FROM lg)",
+        "st AS (SELECT id, t, coalesce(list_position(t, '<eos>'), 0) AS stop FROM tk)",
+        "SELECT id, array_to_string(list_filter(CASE WHEN stop > 0 THEN t[1:stop - 1] ELSE t END, lambda x: x NOT IN ('<pad>', '<bos>')), ' ') AS decoded FROM st",
+    )
+)
 def greedy_decode(spark, sf_dir):
-    names = F.create_map(*[F.lit(x) for pair in enumerate(["<pad>", "<unk>", "<bos>", "<eos>", "điều", "luật"]) for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in enumerate(NAMES) for x in pair])
     return spark.sql(LOGITS).select("id", decode.greedy_decode("logits", names).alias("decoded"))
 
 
@@ -817,12 +834,23 @@ SPAN_ROWS = """SELECT * FROM VALUES
 AS t(id, window, offset, n_tokens, start_logits, end_logits, tokens)"""
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'b c d'), (1, 1, 'g'), (2, 0, 'z')) AS t(id, win, span)")
+SPAN_TABLE = _rows(SPAN_ROWS, "sr", "id, win, off, n_tokens, s, e, tokens")
+
+
+@query(_with(SPAN_TABLE, "ab AS (SELECT *, list_position(s, list_max(s)) AS a, list_position(e, list_max(e)) AS b FROM sr)", "SELECT id, win, array_to_string(tokens[a:least(greatest(a, b), len(tokens))], ' ') AS span FROM ab"))
 def span_decode(spark, sf_dir):
     return spark.sql(SPAN_ROWS).select("id", F.col("window").alias("win"), decode.span_decode("start_logits", "end_logits", "tokens").alias("span"))
 
 
-@query("SELECT id, win, s AS span_start, e AS span_end, round(score, 6) AS score FROM (VALUES (1, 0, 0, 2, 1.8::DOUBLE), (2, 0, 2, 2, 1.1::DOUBLE)) AS t(id, win, s, e, score)")
+@query(
+    _with(
+        SPAN_TABLE,
+        "st AS (SELECT id, win, off, n_tokens, generate_subscripts(s, 1) - 1 - off AS a, unnest(s)::DOUBLE AS x FROM sr)",
+        "en AS (SELECT id, win, generate_subscripts(e, 1) - 1 - off AS b, unnest(e)::DOUBLE AS y FROM sr)",
+        "pr AS (SELECT id, win, a, b, x + y AS score, x, y FROM st JOIN en USING (id, win) WHERE a >= 0 AND b >= a AND b < n_tokens AND b - a + 1 <= 30)",
+        "SELECT id, win, a::INTEGER AS span_start, b::INTEGER AS span_end, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, win, x DESC, a, y DESC, b) AS r FROM pr) WHERE r = 1",
+    )
+)
 def best_span_pairs(spark, sf_dir):
     best = decode.best_span_pairs(spark.sql(SPAN_ROWS).drop("tokens"))
     return best.select("id", F.col("window").alias("win"), F.col("start").cast("int").alias("span_start"), F.col("end").cast("int").alias("span_end"), F.round("score", 6).alias("score"))
@@ -831,7 +859,18 @@ def best_span_pairs(spark, sf_dir):
 EPOCHS = "('a', 1, 0.1), ('a', 2, 0.3), ('a', 3, 0.2), ('a', 4, 0.3), ('a', 5, 0.1), ('a', 6, 0.9), ('b', 1, 0.5), ('b', 2, 0.6), ('b', 3, 0.7)"
 
 
-@query("SELECT * FROM (VALUES ('a', 5, 2, 0.3::DOUBLE), ('b', 3, 3, 0.7::DOUBLE)) AS t(run, stop_epoch, best_epoch, best_score)")
+BEFORE = "(PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    _with(
+        f"ep(run, epoch, score) AS (VALUES {EPOCHS})",
+        f"bt AS (SELECT *, coalesce(score > max(score) OVER {BEFORE}, true) AS better FROM ep)",
+        "ls AS (SELECT *, max(CASE WHEN better THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS last FROM bt)",
+        f"sp AS (SELECT *, coalesce(max((epoch - last >= 3)::INTEGER) OVER {BEFORE}, 0) AS stopped FROM ls)",
+        "SELECT run, max(epoch)::INTEGER AS stop_epoch, max(last)::INTEGER AS best_epoch, max(score)::DOUBLE AS best_score FROM sp WHERE stopped = 0 GROUP BY run",
+    )
+)
 def early_stop_epoch(spark, sf_dir):
     df = spark.sql(f"SELECT run, epoch, CAST(score AS DOUBLE) AS score FROM VALUES {EPOCHS} AS t(run, epoch, score)")
     return decode.early_stopping(df, 3)
