@@ -96,8 +96,9 @@ def base_failed() -> Column:
 def thresholds(metrics: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, cost: float = 5.0, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """Certified cutoffs: stratum, cutoff, n_good, k_good (rejected good), n_bad, k_bad, tail; a row for each stratum that has one.
 
-    All labelled documents that pass the base rule count. What leaves the join is one row per stratum, place on the path
-    and label, counted before it is shuffled.
+    metrics: base_metrics() as a stored table, since its expressions would else be written into every use of them. All
+    labelled documents that pass the base rule count. What leaves the join is one row per stratum, place on the path and
+    label, counted before it is shuffled.
     """
     y = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     strata = metrics.select("stratum").distinct().count()
