@@ -711,18 +711,58 @@ def subsequence_find(spark, sf_dir):
     return df.select("id", prepare.find_run("c", "n").alias("start"))
 
 
-@query()
+def _spaced(x: str) -> str:
+    return f"trim(regexp_replace({x}, {SP}, ' ', 'g'))"
+
+
+#: Of ex (id, c, a: single-spaced context and answer), chars (id, s, e): the characters of the longest part that c holds.
+CHARS = [
+    r"""part AS (SELECT DISTINCT id, trim(unnest(list_concat([a], string_split(regexp_replace(a, '([.!?。！？]) ', '\1' || chr(1), 'g'), chr(1)),
+string_split(regexp_replace(a, '[;:。!?]', chr(1), 'g'), chr(1)), regexp_extract_all(a, '[“"]([^”"]+)[”"]', 1)))) AS p FROM ex)""",
+    "held AS (SELECT id, c, p, strpos(lower(c), lower(p)) - 1 AS s FROM part JOIN ex USING (id) WHERE length(p) >= 12)",
+    "longest AS (SELECT id, c, s, s + length(p) AS e FROM held WHERE s >= 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(p) DESC, p) = 1)",
+    r"chars AS (SELECT id, s, e + CASE WHEN regexp_matches(substr(c, e, 1), '\p{Nd}') THEN length(regexp_extract(substr(c, e + 1), '^\.[\p{Nd}.]*')) ELSE 0 END AS e FROM longest)",
+]
+
+#: Of ot (id, t, a: tokens of a text and of an answer), best (id, s, e): the densest window; one that ends without a new hit is never best.
+OVERLAP = [
+    "sought AS (SELECT id, t, least(len(t), greatest(8, least(len(a), 160))) AS most, list_distinct(CASE WHEN len(list_filter(a, lambda x: length(x) > 1)) > 0 THEN list_filter(a, lambda x: length(x) > 1) ELSE a END) AS w FROM ot)",
+    "each AS (SELECT id, w, most, unnest(range(len(t))) AS p, unnest(t) AS x FROM sought)",
+    "hit AS (SELECT id, len(w) AS k, most, p, lag(p) OVER (PARTITION BY id, x ORDER BY p) AS prev FROM each WHERE list_contains(w, x))",
+    "seen AS (SELECT a.id, a.k, a.p AS s, b.p AS e, sum(CASE WHEN b.prev IS NULL OR b.prev < a.p THEN 1 ELSE 0 END) OVER (PARTITION BY a.id, a.p ORDER BY b.p)::DOUBLE AS n FROM hit a JOIN hit b ON a.id = b.id AND b.p >= a.p AND b.p < a.p + a.most)",
+    "best AS (SELECT id, s, e FROM seen QUALIFY row_number() OVER (PARTITION BY id ORDER BY n / k + n / (e - s + 1) DESC, s, e) = 1)",
+]
+
+
+@query(_with(EXAMPLES, f"ex AS (SELECT id, {_spaced('context')} AS c, {_spaced('answer')} AS a FROM examples)", *CHARS, 'SELECT id, s::INTEGER AS start, e::INTEGER AS "end" FROM ex LEFT JOIN chars USING (id)'))
 def answer_span(spark, sf_dir):
     return examples(spark, sf_dir).withColumn("s", prepare.answer_span("context", "answer")).select("id", "s.start", "s.end")
 
 
-@query()
+@query(_with(PAIRS, f"ot AS (SELECT id, {_marks('reference')} AS t, {_marks('prediction')} AS a FROM pairs)", *OVERLAP, 'SELECT id, s::INTEGER AS start, e::INTEGER AS "end" FROM pairs LEFT JOIN best USING (id)'))
 def best_overlap_span(spark, sf_dir):
     df = pairs(spark, sf_dir).withColumn("s", prepare.best_overlap_span(text.words_and_marks("reference"), text.words_and_marks("prediction")))
     return df.select("id", "s.start", "s.end")
 
 
-@query()
+@query(
+    _with(
+        EXAMPLES,
+        f"ex AS (SELECT id, question, {_spaced('answer')} AS a, left({_spaced('context')}, {CONTEXT_CHARS}) AS c FROM examples)",
+        *CHARS,
+        f"tok AS (SELECT id, {_marks('c')} AS t, {_marks('a')} AS a FROM ex)",
+        # a token that a span's start cuts is counted before it, and belongs to it
+        rf"exact AS (SELECT id, len({_marks('left(c, s)')}) - CASE WHEN s > 0 AND regexp_full_match(substr(c, s, 2), '[\p{{L}}\p{{N}}_]{{2}}') THEN 1 ELSE 0 END AS s, len({_marks('left(c, e)')}) - 1 AS e FROM chars JOIN ex USING (id))",
+        "joined AS (SELECT id, len(a) AS n, chr(10) || array_to_string(t, chr(10)) || chr(10) AS x, chr(10) || array_to_string(a, chr(10)) || chr(10) AS y FROM tok WHERE len(a) > 0 AND id NOT IN (SELECT id FROM exact))",
+        "run AS (SELECT id, len(string_split(left(x, strpos(x, y) - 1), chr(10))) - 1 AS s, s + n - 1 AS e FROM joined WHERE strpos(x, y) > 0)",
+        "ot AS (SELECT id, t, a FROM tok WHERE id NOT IN (SELECT id FROM exact) AND id NOT IN (SELECT id FROM run))",
+        *OVERLAP,
+        "spans AS (SELECT * FROM exact UNION ALL SELECT * FROM run UNION ALL SELECT * FROM best)",
+        f"""SELECT id, {_spaced('question')} AS question, array_to_string(list_slice(t, s + 1, e + 1), ' ') AS answer, array_to_string(list_slice(t, s + 1, e + 1), ' ') AS reference,
+ex.a AS abstractive_reference, {_marks('question')} AS question_tokens, list_transform(range(least(6, ceil(len(t) / 256.0))::BIGINT), lambda k: list_slice(t, k * 256 + 1, k * 256 + 256)) AS passage_tokens,
+s::INTEGER AS start, e::INTEGER AS "end" FROM spans JOIN tok USING (id) JOIN ex USING (id) WHERE e < 1536 AND trim(question) <> '' AND trim(ex.a) <> ''""",
+    )
+)
 def extractive_records(spark, sf_dir):
     df = examples(spark, sf_dir).withColumn("answer_start", F.lit(None).cast("int")).withColumn("answer_end", F.lit(None).cast("int"))
     return prepare.extractive_records(df)
