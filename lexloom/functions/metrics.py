@@ -27,7 +27,7 @@ def _of_pairs(f: Callable, kind: str) -> Callable[[Column, Column], Column]:
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([f(list(x), list(y)) for x, y in zip(a, b, strict=True)])
 
-    return F.pandas_udf(apply, kind, F.PandasUDFType.SCALAR)
+    return F.pandas_udf(apply, kind)
 
 
 def lcs_length(a: Column | str, b: Column | str) -> Column:
