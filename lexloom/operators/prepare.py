@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 
 from lexloom.functions.text import sentences, single_spaced, words_and_marks
 
+from .store import numbered
+
 SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>"]
 
 
@@ -64,7 +66,10 @@ def easy_ratio(epoch: Column | str, start: float, decay: float) -> Column:
 
 
 def vocabulary(records: DataFrame, columns: list[str], min_freq: int = 1, most: int | None = None) -> DataFrame:
-    """(token, idx, freq): specials first, then by falling count; ties by the token's first row (id), column and place."""
+    """(token, idx, freq): specials first, then by falling count; ties by the token's first row (id), column and place.
+
+    most: how many entries at most; without it the vocabulary grows with the records, and no task numbers all of it.
+    """
     each = None
     for i, c in enumerate(columns):
         own = records.select("id", F.posexplode(words_and_marks(c)).alias("pos", "token")).select("token", F.struct("id", F.lit(i).alias("field"), "pos").alias("at"))
@@ -73,8 +78,10 @@ def vocabulary(records: DataFrame, columns: list[str], min_freq: int = 1, most:
     counted = counted.filter(F.col("freq") >= min_freq).filter(~F.col("token").isin(SPECIALS))
     if most is not None:
         counted = counted.orderBy(F.desc("freq"), "first").limit(max(0, most - len(SPECIALS)))
-    order = Window.orderBy(F.desc("freq"), "first")
-    ids = counted.withColumn("idx", F.row_number().over(order) + len(SPECIALS) - 1).select("token", "idx", "freq")
+        place = F.row_number().over(Window.orderBy(F.desc("freq"), "first")) - 1  # `most` rows
+    else:
+        counted, place = numbered(counted, [F.desc("freq"), F.asc("first")], "vocabulary", "place"), F.col("place")
+    ids = counted.select("token", (place + len(SPECIALS)).cast("int").alias("idx"), "freq")
     spark = records.sparkSession
     return spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, idx int, freq long").unionByName(ids)
 
@@ -214,7 +221,7 @@ def _spans(f, *columns) -> Column:
     def four(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([f(*x) or (None, None) for x in zip(a, b, c, d, strict=True)], columns=["start", "end"], dtype="Int32")
 
-    return F.pandas_udf(two if len(columns) == 2 else four, SPAN, F.PandasUDFType.SCALAR)(*columns)
+    return F.pandas_udf(two if len(columns) == 2 else four, SPAN)(*columns)
 
 
 def answer_span(context: Column | str, answer: Column | str) -> Column:

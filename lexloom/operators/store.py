@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyspark.sql.functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +27,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/lexloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, column: str) -> DataFrame:
+    """df, computed once, with each row's place in an order, from 0.
+
+    Rows are sorted by ranges and numbered within each; one task sees a count for each range, none all rows.
+    """
+    rows = stored(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), name)  # range, then row, in 33 bits
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = counts.select("_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(before), "_range").withColumn(column, place).drop("_at", "_range", "_before")

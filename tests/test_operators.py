@@ -86,6 +86,33 @@ def test_encode_cuts_after_eos(spark):
     assert got == {1: [2, 4, 1, 5], 2: [2, 3, 0, 0]}
 
 
+def test_vocabulary_without_bound_is_numbered_by_ranges(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(9)) for _ in range(12))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.token: (r.idx, r.freq) for r in prepare.vocabulary(df, ["a"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    count, first = {}, {}
+    for i, a in rows:
+        for p, t in enumerate(a.split(" ")):
+            count[t], first[t] = count.get(t, 0) + 1, min(first.get(t, (i, p)), (i, p))
+    want = {t: (k, count[t]) for k, t in enumerate(sorted(count, key=lambda t: (-count[t], first[t])), len(prepare.SPECIALS))}
+    assert got == want | {t: (k, 0) for k, t in enumerate(prepare.SPECIALS)}
+    assert got == {r.token: (r.idx, r.freq) for r in prepare.vocabulary(df, ["a"], most=10_000).collect()}
+    assert prepare.vocabulary(df.limit(0), ["a"]).count() == len(prepare.SPECIALS)
+
+
+def test_queries_in_blocks_meet_all_vectors(spark):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "doc_id int, v array<float>")
+    queries = vectors.filter("doc_id % 4 = 0").selectExpr("doc_id AS query_id", "v AS q")
+    got = {n: sorted(map(tuple, retrieve.vector_scores(vectors, queries, n).collect())) for n in (3, 5000)}
+    assert got[3] == got[5000] == sorted((q, d, q * d + 1.0) for q in range(0, 40, 4) for d in range(40) if d != q)
+    assert retrieve.vector_scores(vectors, queries.limit(0), 3).count() == 0
+
+
 def test_empty_input_is_one_empty_chunk(spark):
     df = spark.createDataFrame([([],), (["a"] * 5,)], "t array<string>")
     assert [[len(c) for c in r[0]] for r in df.select(prepare.chunks("t", 2)).collect()] == [[0], [2, 2, 1]]
