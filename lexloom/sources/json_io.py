@@ -7,10 +7,11 @@ list. Order in the file is kept in `pos`, since a limit without an order means n
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lexloom.functions.text import document_key
+from lexloom.operators.store import numbered
 
 #: Names of fields that may hold a record's context, in order (fixed values).
 CONTEXT_FIELDS = ["context", "gold_context", "gold_context_text", "passage", "paragraph", "source_context", "source"]
@@ -55,7 +56,7 @@ def context_references(examples: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, folder: str, referenced: DataFrame | None = None, structured: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """(doc_id, content, name, link, text) of context_*.json files, numbered in order of their names.
+    """(doc_id, content, name, link, text) of context_*.json files, numbered in order of their names; computed once.
 
     referenced: keep files listed in (content). structured: keep documents whose key is in (key). limit cuts the list of
     names before documents with a blank passage leave.
@@ -70,9 +71,8 @@ def read_corpus(spark: SparkSession, folder: str, referenced: DataFrame | None =
     if limit is not None:
         docs = docs.join(docs.select("content").orderBy("content").limit(limit), "content", "left_semi")
     docs = docs.filter(F.trim("passage") != "")
-    # one narrow row a file is sorted to number them
-    numbered = docs.select("content").withColumn("doc_id", (F.row_number().over(Window.orderBy("content")) - 1).cast("long"))
-    return docs.join(numbered, "content").select("doc_id", "content", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("link", F.lit("")).alias("link"), F.col("passage").alias("text"))
+    docs = numbered(docs, [F.col("content")], "corpus", "doc_id")
+    return docs.select("doc_id", "content", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("link", F.lit("")).alias("link"), F.col("passage").alias("text"))
 
 
 def structured_keys(spark: SparkSession, folder: str) -> DataFrame:
