@@ -74,6 +74,18 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), end_id=2)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation import repair_damaged
+
+    return repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lstm_html_extraction": op1_lstm_html_extraction,
     "op2_shard_tree": op2_shard_tree,
@@ -85,7 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ordinal_toxicity": op8_ordinal_toxicity,
     "op9_tensored_minhash": op9_tensored_minhash,
     "op10_wavelet_shards": op10_wavelet_shards,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 #: The others hold models, hashes or a tokenizer, which SQL cannot express.
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracle.OP4, "op9_tensored_minhash": oracle.OP9}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracle.OP4, "op9_tensored_minhash": oracle.OP9, "op11_conversation_repair": oracle.OP11, "op13_source_divergence": oracle.OP13}
