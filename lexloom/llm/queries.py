@@ -80,6 +80,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(_table(spark, sf_dir, "conversations"))
 
 
+def op12_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunked_bpe import encode_decode
+
+    return encode_decode(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import audit
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tensored_minhash": op9_tensored_minhash,
     "op10_wavelet_shards": op10_wavelet_shards,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_chunked_bpe": op12_chunked_bpe,
     "op13_source_divergence": op13_source_divergence,
 }
 
