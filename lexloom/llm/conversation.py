@@ -18,8 +18,8 @@ the other, and the smaller one stays smaller whatever follows.
 
 Order of rows: by turn (null first), role, the text's first 64 characters, its SHA-256. Defined results: null roles and texts are
 one space, as are null ids and turns where they are hashed; null conv_id is one conversation; a conversation without rows has zeros,
-an empty audit and the hash of nothing; roles count by their first character (none for an empty one); an empty table
-gives an empty result; other columns are not read.
+an empty audit and the hash of nothing; roles count by their first character, and a row whose role is empty has none, so that it
+cannot be kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
