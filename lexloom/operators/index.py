@@ -1,21 +1,34 @@
-"""Inverted index and corpus statistics as DataFrames.
+"""Inverted index, corpus statistics and exact search by term weights.
 
 A corpus is (doc_id, name, text); an index text is name + " " + text. Queries are (query_id, text).
+
+Documents are dealt out to ranges by a hash of their id. The index is one table of blocks, a row for each range and term, that is
+bucketed by range: what belongs to a document lies in one bucket, so sums over a document's terms need no shuffle, and
+a search sends on the best k documents of each range and query alone. Files are sorted by term, so that
+few row groups are read for a query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
 from lexloom.functions.text import words
 
-from .store import stored
+from .store import bucketed, stored
 
 #: Query-side tables of at most so many rows are broadcast.
 BROADCAST_ROWS = 500_000
+#: Documents of a bucket, ranges of a bucket, and the least and largest number of buckets.
+BUCKET_DOCS, BUCKET_RANGES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 14, 4, 8, 50_000
+#: Scores count to so many places; what is nearer to each other than SLACK may be rounded alike.
+PLACES, SLACK = 6, 3e-6
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS, terms: DataFrame | None = None) -> DataFrame:
@@ -63,60 +76,174 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """A corpus tokenised once. postings: term, doc_id, dl, tf; terms: term, df, total, idf. Both are stored tables."""
+    """A corpus tokenised once. blocks: range, term, ids, tfs, dls (a term's documents of a range, by id); terms: term, df, total, idf. Both are stored."""
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     n: int
     avgdl: float
-    _norms: dict[int, DataFrame] = field(default_factory=dict)
+    buckets: int
+    _vectors: dict[int, DataFrame] = field(default_factory=dict)
+    _kept: dict[object, DataFrame] = field(default_factory=dict)
 
     @classmethod
     def build(cls, docs: DataFrame, text: Column | None = None) -> Index:
-        """The index of a text (by default name and text) of every document. Files are sorted by term, so that few are read for a query."""
-        postings = stored(term_frequencies(tokenized(docs, text)).select("term", "doc_id", "dl", "tf").sortWithinPartitions("term"), "postings")
-        n, total = docs.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-        counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-        return cls(postings, stored(counts.withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms"), n, total / n if n else 0.0)
+        """The index of a text (by default name and text) of every document. The texts are shuffled once, by range; counting, grouping and writing follow there."""
+        n = docs.count()
+        buckets = min(max(LEAST_BUCKETS, -(-n // BUCKET_DOCS)), MOST_BUCKETS)
+        text = F.concat_ws(" ", "name", "text") if text is None else text
+        own = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets * BUCKET_RANGES)).cast("int").alias("range"), "doc_id", text.alias("text")).repartition(buckets, "range")
+        each = own.select("range", "doc_id", words("text").alias("tokens")).select("range", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        tf = each.groupBy("range", "doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        listed = tf.groupBy("range", "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("p"))
+        blocks = bucketed(listed.select("range", "term", F.col("p.doc_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls")), "blocks", buckets, "range", "term")
+        counts = blocks.select("term", F.size("ids").alias("d"), F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x).alias("t")).groupBy("term").agg(F.sum("d").alias("df"), F.sum("t").alias("total"))
+        terms = stored(counts.withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms")
+        total = terms.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+        return cls(blocks, terms, n, total / n if n else 0.0, buckets)
+
+    @property
+    def postings(self) -> DataFrame:
+        """range, term, doc_id, dl, tf."""
+        each = self.blocks.select("range", "term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+        return each.select("range", "term", F.col("p.ids").alias("doc_id"), F.col("p.dls").cast("long").alias("dl"), F.col("p.tfs").cast("long").alias("tf"))
 
     def vocabulary(self, max_features: int) -> DataFrame:
         """(term, idf): smooth idf of the max_features commonest terms."""
         best = self.terms.orderBy(F.desc("total"), "term").limit(max_features)
         return best.select("term", (F.log(F.lit(1.0 + self.n) / (1 + F.col("df"))) + 1).alias("idf"))
 
-    def weights(self, max_features: int, only: DataFrame | None = None) -> DataFrame:
-        """(doc_id, term, idf, w): sublinear tf times idf, not normalised. only: the terms (term) to keep."""
-        vocabulary = self.vocabulary(max_features)
-        vocabulary = vocabulary if only is None else vocabulary.join(only, "term", "left_semi")
-        vocabulary = F.broadcast(vocabulary) if max_features <= BROADCAST_ROWS else vocabulary
-        return self.postings.join(vocabulary, "term").select("doc_id", "term", "idf", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    def vectors(self, max_features: int) -> DataFrame:
+        """Blocks (range, term, idf, ids, parts) of the TF-IDF vectors: sublinear tf, smooth idf, documents of unit length. Computed once, without a shuffle."""
+        if max_features not in self._vectors:
+            vocabulary = self.vocabulary(max_features)
+            vocabulary = F.broadcast(vocabulary) if max_features <= BROADCAST_ROWS else vocabulary
+            each = self.postings.join(vocabulary, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+            unit = F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("range", "doc_id")))
+            listed = each.withColumn("part", unit).groupBy("range", "term", "idf").agg(F.sort_array(F.collect_list(F.struct("doc_id", "part"))).alias("p"))
+            self._vectors[max_features] = bucketed(listed.select("range", "term", "idf", F.col("p.doc_id").alias("ids"), F.col("p.part").alias("parts")), "vectors", self.buckets, "range", "term")
+        return self._vectors[max_features]
 
-    def norms(self, max_features: int) -> DataFrame:
-        """(doc_id, norm) of the weights; computed once."""
-        if max_features not in self._norms:
-            norm = self.weights(max_features).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-            self._norms[max_features] = stored(norm, "norms")
-        return self._norms[max_features]
+    def kept(self, key: object, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that follows from the corpus alone, stored at its first use."""
+        if key not in self._kept:
+            self._kept[key] = stored(make(), "kept")
+        return self._kept[key]
 
 
-def bm25_scores(index: Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) of every document that shares a term with a query. terms: from query_terms(), or a stored table."""
-    asked = small(terms.select("query_id", "term", "qtf")).join(index.terms.select("term", "idf"), "term")
-    hits = index.postings.join(small(asked, terms=terms), "term")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / max(index.avgdl, 1e-12)))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * part).alias("score"))
+def bm25_parts(index: Index, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Blocks (range, term, ids, parts): what a document gains from a term, but for the term's idf."""
+    part = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / max(index.avgdl, 1e-12)))
+    return index.blocks.select("range", "term", "ids", F.zip_with(F.col("tfs").cast("array<double>"), F.col("dls").cast("array<double>"), part).alias("parts"))
 
 
-def tfidf_vectors(index: Index, max_features: int = 100_000) -> DataFrame:
-    """(doc_id, term, idf, weight): sublinear tf, smooth idf, rows of unit length; the max_features commonest terms."""
-    return index.weights(max_features).join(index.norms(max_features), "doc_id").select("doc_id", "term", "idf", (F.col("w") / F.col("norm")).alias("weight"))
+def bm25_weights(index: Index, terms: DataFrame) -> DataFrame:
+    """(query_id, term, weight, first): terms (query_id, term, qtf, first_pos) by their idf."""
+    known = index.terms.select("term", "idf").join(small(terms.select("term").distinct(), terms=terms), "term")
+    return known.join(small(terms), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), F.col("first_pos").cast("long").alias("first"))
 
 
-def tfidf_cosine(index: Index, terms: DataFrame, max_features: int = 100_000) -> DataFrame:
-    """(query_id, doc_id, score): cosine of queries (terms: from query_terms()) and document vectors. Only query terms are read."""
+def cosine_weights(index: Index, terms: DataFrame, max_features: int) -> DataFrame:
+    """(query_id, term, weight, first) of unit length. Ties go by document."""
     own = small(terms.select("term").distinct(), terms=terms).join(index.vocabulary(max_features), "term")
     asked = own.join(small(terms), "term").select("query_id", "term", ((1 + F.log("qtf")) * F.col("idf")).alias("q"))
-    norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    hits = index.weights(max_features, small(terms.select("term").distinct(), terms=terms)).join(small(asked, terms=terms), "term")
-    dot = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    return dot.join(index.norms(max_features), "doc_id").join(small(norm, terms=terms), "query_id").select("query_id", "doc_id", (F.col("dot") / F.col("norm") / F.col("q_norm")).alias("score"))
+    norm = F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query_id")))
+    return asked.select("query_id", "term", (F.col("q") / norm).alias("weight"), F.lit(0).cast("long").alias("first"))
+
+
+def _rounded(x: float) -> Decimal:
+    """As Spark rounds."""
+    return Decimal(repr(x)).quantize(Decimal(1).scaleb(-PLACES), ROUND_HALF_UP)
+
+
+def _best_of_range(k: int) -> Callable[[pa.Table], pa.Table]:
+    """MaxScore: a range's blocks (ids, parts, asked) to its best k documents of each query.
+
+    Terms are added by falling bounds, the largest part of a block times the term's weight. Once the terms that are left cannot lift a
+    document that has none of the others over the k-th best, they are looked up for the documents alone that may still get there.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        lists, values, asked = (table.column(c).combine_chunks() for c in ("ids", "parts", "asked"))
+        at = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+        ids, place = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        parts = values.flatten().to_numpy(zero_copy_only=False)
+        bounds = np.maximum.reduceat(parts, at[:-1])
+        each = asked.flatten()
+        block = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy(zero_copy_only=False))
+        names, query = np.unique(each.field("query_id").to_numpy(zero_copy_only=False), return_inverse=True)
+        weight, first = each.field("weight").to_numpy(zero_copy_only=False), each.field("first").to_numpy(zero_copy_only=False)
+        most = weight * bounds[block]
+        order = np.lexsort((-most, query))
+        ends = np.searchsorted(query[order], np.arange(len(names) + 1))
+        found: list[tuple[object, object, float, int]] = []
+        for q, name in enumerate(names.tolist()):
+            own = order[ends[q] : ends[q + 1]]
+            score, touched = np.zeros(len(ids)), np.full(len(ids), np.iinfo(np.int64).max)
+            left = np.append(np.cumsum(most[own][::-1])[::-1][1:], 0.0)  # what later terms can add
+            may: np.ndarray | None = None  # the documents that can still be among the best
+            for j, rest in zip(own.tolist(), left.tolist(), strict=True):
+                run_ = slice(at[block[j]], at[block[j] + 1])
+                docs, gain = place[run_], parts[run_] * weight[j]
+                if may is not None:
+                    there = np.minimum(np.searchsorted(docs, may), len(docs) - 1)
+                    hit = docs[there] == may
+                    docs, gain = may[hit], gain[there[hit]]
+                score[docs] += gain
+                touched[docs] = np.minimum(touched[docs], first[j])
+                some = score if may is None else score[may]
+                if len(some) > k and rest < some.max():
+                    kth = np.partition(some, len(some) - k)[len(some) - k]
+                    if rest + SLACK < kth:
+                        still = some + rest + SLACK >= kth
+                        may = np.flatnonzero(still) if may is None else may[still]
+            may = np.flatnonzero(touched < np.iinfo(np.int64).max) if may is None else may
+            some = score[may]
+            kth = np.partition(some, len(some) - k)[len(some) - k] if len(some) > k else -np.inf
+            may = may[some >= kth - SLACK]
+            places = {x: -_rounded(x) for x in set(score[may].tolist())}
+            best = sorted((places[x], t, d) for x, t, d in zip(score[may].tolist(), touched[may].tolist(), may.tolist(), strict=True))[:k]
+            found += [(name, ids[d], score[d], t) for _, t, d in best]
+        schema = pa.schema([("query_id", each.field("query_id").type), ("doc_id", lists.type.value_type), ("score", pa.float64()), ("first", pa.int64())])
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [[]] * 4, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def search(parts: DataFrame, weights: DataFrame, k: int, terms: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, first): at least the k best documents of each query: k of each range, rank by top_k().
+
+    parts: blocks (range, term, ids, parts); weights: (query_id, term, weight, first), where first orders equal scores before
+    the document does. terms: a table that has at least as many rows as weights. Nothing but the result is shuffled where the weights are broadcast.
+    """
+    asked = weights.groupBy("term").agg(F.collect_list(F.struct("query_id", "weight", "first")).alias("asked"))
+    hits = parts.join(small(asked, terms=weights if terms is None else terms), "term")
+    kinds = weights.schema["query_id"].dataType.simpleString(), parts.schema["ids"].dataType.elementType.simpleString()
+    return hits.select("range", "ids", "parts", "asked").groupBy("range").applyInArrow(_best_of_range(k), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double, first long")
+
+
+def bm25_search(index: Index, terms: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """search() by BM25. terms: from query_terms(), or a stored table; qtf may be any positive number."""
+    return search(bm25_parts(index, k1, b), bm25_weights(index, terms), k, terms)
+
+
+def cosine_search(index: Index, terms: DataFrame, k: int, max_features: int = 100_000) -> DataFrame:
+    """search() by the cosine of TF-IDF vectors."""
+    return search(index.vectors(max_features).drop("idf"), cosine_weights(index, terms, max_features), k, terms)
+
+
+def all_scores(parts: DataFrame, weights: DataFrame, terms: DataFrame) -> DataFrame:
+    """(range, query_id, doc_id, score) of every document that shares a term with a query. Sums are made within ranges: no shuffle of what is summed."""
+    hits = parts.join(small(weights, terms=terms), "term").select("range", "query_id", F.explode(F.arrays_zip("ids", F.transform("parts", lambda x: x * F.col("weight")).alias("gains"))).alias("p"))
+    return hits.groupBy("range", "query_id", F.col("p.ids").alias("doc_id")).agg(F.sum("p.gains").alias("score"))
+
+
+def bm25_scores(index: Index, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score) of every document that shares a term with a query. terms: from query_terms(), or a stored table."""
+    return all_scores(bm25_parts(index, k1, b), bm25_weights(index, terms), terms).drop("range")
+
+
+def tfidf_vectors(index: Index, max_features: int = 100_000) -> DataFrame:
+    """(doc_id, term, idf, weight): sublinear tf, smooth idf, rows of unit length; the max_features commonest terms."""
+    each = index.vectors(max_features).select("term", "idf", F.explode(F.arrays_zip("ids", "parts")).alias("p"))
+    return each.select(F.col("p.ids").alias("doc_id"), "term", "idf", F.col("p.parts").alias("weight"))

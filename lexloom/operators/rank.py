@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window
 
 
 def top_k(scores: DataFrame, k: int, key: str = "query_id", item: str = "doc_id") -> DataFrame:
-    """Adds rank (from 1) and keeps k rows of each key: by score to six places, ties by item."""
-    order = Window.partitionBy(key).orderBy(F.desc(F.round("score", 6)), F.col(item))
+    """Adds rank (from 1) and keeps k rows of each key: by score to six places, ties by the column first, if there is one, and by item."""
+    ties = [F.col(c) for c in ("first", item) if c in scores.columns]
+    order = Window.partitionBy(key).orderBy(F.desc(F.round("score", 6)), *ties)
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

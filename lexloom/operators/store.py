@@ -29,6 +29,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: str, order: str) -> DataFrame:
+    """df, computed once: a table bucketed by a column and sorted by another, so that groups of the first need no shuffle."""
+    spark, table = df.sparkSession, f"lexloom_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, by).sortBy(order).option("path", f"{shared_folder(spark)}/lexloom/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, column: str) -> DataFrame:
     """df, computed once, with each row's place in an order, from 0.
 

@@ -103,11 +103,13 @@ def _postings(source: str = "name || ' ' || text", p: str = "") -> str:
 
 
 def _terms(source: str = "q", name: str = "qt") -> str:
-    return f"{name} AS (SELECT query_id, term, count(*)::BIGINT AS qtf FROM (SELECT query_id, unnest({_words('text')}) AS term FROM {source}) GROUP BY ALL)"
+    """qt (query_id, term, qtf, first_pos), first_pos being the place of a term's first occurrence."""
+    return f"{name} AS (SELECT query_id, term, count(*)::BIGINT AS qtf, min(pos) AS first_pos FROM (SELECT query_id, generate_subscripts(w, 1) AS pos, unnest(w) AS term FROM (SELECT query_id, {_words('text')} AS w FROM {source})) GROUP BY ALL)"
 
 
 def _bm25(name: str = "bm", terms: str = "qt", p: str = "") -> str:
-    return f"""{name} AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
+    """bm (query_id, doc_id, score, first), first being the place of the first term that touches the document: it orders equal scores."""
+    return f"""{name} AS (SELECT query_id, doc_id, min(first_pos) AS first, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
 FROM {terms} JOIN {p}tf USING (term) JOIN {p}df USING (term) JOIN {p}dl USING (doc_id), {p}st GROUP BY ALL)"""
 
 
@@ -123,8 +125,12 @@ qnorm AS (SELECT query_id, sqrt(sum(pow((1 + ln(qtf)) * idf, 2))) AS norm FROM {
 cos AS (SELECT query_id, doc_id, sum(weight * (1 + ln(qtf)) * vec.idf) / any_value(norm) AS score FROM vec JOIN {terms} USING (term) JOIN qnorm USING (query_id) GROUP BY ALL)"""
 
 
+def _ties(source: str) -> str:
+    return "first, " if source in ("bm", "acc") else ""
+
+
 def _top(source: str, k: int, name: str) -> str:
-    return f"{name} AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM {source}) WHERE rank <= {k})"
+    return f"{name} AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, {_ties(source)}doc_id) AS rank FROM {source}) WHERE rank <= {k})"
 
 
 def _fuse(maps: list[tuple[str, float]], name: str = "fused") -> str:
@@ -136,7 +142,7 @@ def _fuse(maps: list[tuple[str, float]], name: str = "fused") -> str:
 
 
 def _ranked(source: str, k: int = 3) -> str:
-    return f"SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM {source}) WHERE rank <= {k}"
+    return f"SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, {_ties(source)}doc_id) AS rank FROM {source}) WHERE rank <= {k}"
 
 
 def _with(*parts: str) -> str:
@@ -310,7 +316,7 @@ def vector_minmax(spark, sf_dir):
 
 @query(_with(*BM25, _top("bm", 100, "c"), _fuse([("c", 1.0)]), "SELECT query_id, doc_id, round(score, 5) AS score FROM fused"))
 def minmax_normalize(spark, sf_dir):
-    scores = index.bm25_scores(indexed(spark, sf_dir), index.query_terms(asked(spark, sf_dir)))
+    scores = index.bm25_search(indexed(spark, sf_dir), index.query_terms(asked(spark, sf_dir)), 100)
     return rank.fuse([(rank.top_k(scores, 100), 1.0)]).select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
@@ -377,15 +383,17 @@ EXPAND = [
 @query(_with(*EXPAND, "SELECT query_id, term, round(weight, 6) AS weight, rank::INTEGER AS rank FROM ex"))
 def expansion_terms(spark, sf_dir):
     own, terms = indexed(spark, sf_dir), index.query_terms(asked(spark, sf_dir))
-    return retrieve.expansion_terms(corpus(spark, sf_dir), index.bm25_scores(own, terms), terms, own.terms.select("term", "idf")).select("query_id", "term", F.round("weight", 6).alias("weight"), "rank")
+    best = rank.top_k(index.bm25_search(own, terms, 5), 5)
+    return retrieve.expansion_terms(corpus(spark, sf_dir), best, terms, own.terms.select("term", "idf")).select("query_id", "term", F.round("weight", 6).alias("weight"), "rank")
 
 
 @query(
     _with(
         *EXPAND,
-        "qt2 AS (SELECT query_id, term, qtf FROM qt UNION ALL SELECT query_id, term, 1 FROM ex)",
+        # queries without new terms stop
+        "qt2 AS (SELECT * FROM qt WHERE query_id IN (SELECT query_id FROM ex) UNION ALL SELECT query_id, term, 1, 1000000 + rank FROM ex)",
         _bm25("bm2", "qt2"),
-        "acc AS (SELECT query_id, doc_id, sum(s) AS score FROM (SELECT query_id, doc_id, score AS s FROM bm UNION ALL SELECT query_id, doc_id, score / 2 FROM bm2) GROUP BY ALL)",
+        "acc AS (SELECT query_id, doc_id, min(first) AS first, sum(s) AS score FROM (SELECT query_id, doc_id, first, score AS s FROM bm UNION ALL SELECT query_id, doc_id, first, score / 2 FROM bm2) GROUP BY ALL)",
         _ranked("acc"),
     )
 )
