@@ -10,7 +10,8 @@ footers, sidebars, notices, adverts, forms and reader comments, marked up by sem
 
 Defined results: a null or empty page has the empty text; script, style, comments and the head are never text; tags
 left open or cut off are closed by what follows, a head by what cannot stand in it; script, style and comments alone
-run to the end of a page that does not close them; repeated rows get equal results; further columns are not read.
+run to the end of a page that does not close them; what stands in a tag is never text, quotes run as in HTML, and one that nothing
+closes ends with its tag; a page is read in time that grows with its length; repeated rows get equal results; further columns are not read.
 """
 
 from __future__ import annotations
@@ -30,18 +31,21 @@ from pyspark.sql import DataFrame
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 96, 32, 8, 16
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 
+#: What stands in a tag behind its name: a value in quotes runs to its own quote, one that is never closed to the end of the tag.
+#: Possessive, so that no tag is read twice: it takes all but the tag's end.
+_ATTRS = r"""(?:[^\s"'>=]+|\s+|=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)|=|["'])*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|head)\b(?P<own>[^>]*)>|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^\"'>])*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|head)(?![^\s/>])(?P<own>{_ATTRS})(?:>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)",
     re.S | re.I,
 )
 #: What can stand in a head, up to its end tag or to what cannot.
 _HEAD = re.compile(
-    r"(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<held>noscript|template|object)\b[^>]*>.*?</(?P=held)\s*>"
-    r"|<title\b[^>]*>(?:(?:(?!</?(?:title|head|body|meta|link|base|script|style)\b).)*+</title\s*>|[^<]*)|</?(?:title|meta|link|base|basefont|bgsound)\b[^>]*>)*+(?:</head\s*>)?",
+    rf"(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>script|style)\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<held>noscript|template|object)\b{_ATTRS}>.*?</(?P=held)\s*>"
+    rf"|<title\b{_ATTRS}>(?:(?:(?!</?(?:title|head|body|meta|link|base|script|style)\b).)*+</title\s*>|[^<]*)|</?(?:title|meta|link|base|basefont|bgsound)\b{_ATTRS}>)*+(?:</head\s*>)?",
     re.S | re.I,
 )
-_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style noscript template svg iframe object".split()}
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style noscript template svg iframe object textarea".split()}
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _WORD = re.compile(r"\w+|©")
