@@ -19,6 +19,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of a word whose weights are powers; those of further bytes are powers again, times a hash of how far they stand.
+FOLD = 4096
+
+
 def _pow(k: int, n: int) -> np.ndarray:
     if len(_powers[k]) < n:
         out = np.full(max(n, 64), np.uint64(_BASES[k]), np.uint64)
@@ -74,9 +78,13 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     offset = np.arange(total) - np.repeat(first, lengths)
     data = buf[offset + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
     longest = int(lengths.max())
+    if longest > FOLD:
+        far = np.flatnonzero(offset >= FOLD)
+        data[far] *= mix((offset[far] // FOLD).astype(np.uint64)) | np.uint64(1)
+        offset %= FOLD
     out = lengths.astype(np.uint64)
     for k in range(2):
-        out = mix(out) + np.add.reduceat(data * _pow(k, longest)[offset], first)
+        out = mix(out) + np.add.reduceat(data * _pow(k, min(longest, FOLD))[offset], first)
     return mix(out)
 
 
