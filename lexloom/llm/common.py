@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,25 +12,15 @@ from contextlib import contextmanager
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+
+from lexloom.operators.store import shared_folder as shared_dir
 
 #: White space that separates words: space, tab, \n, \v, \f, \r.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one, but on a cluster an error."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = os.path.join(tempfile.gettempdir(), f"lexloom-{uuid.uuid4().hex}")
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def give_back() -> None:
     """Returns freed memory to the system: workers live on, beside those of other stages."""
     gc.collect()
@@ -118,17 +106,20 @@ def words_py(text: bytes) -> list[bytes]:
 BROADCAST_VALUES = 100_000
 
 
-def hashed_sample(df: DataFrame, id_col: str, rows: int, per: str | None = None, seed: int = 17) -> DataFrame:
-    """About `rows` rows (for each value of `per`) chosen by a hash of the id: a bounded, repeatable training sample.
+def hashed_sample(df: DataFrame, id_col: str, rows: int, per: str | None = None, seed: int = 17, text_col: str | None = None) -> DataFrame:
+    """At most `rows` rows (for each value of `per`), those with the smallest draws: a bounded, repeatable training sample.
 
-    One counting pass fixes the share to keep; choosing is then a filter, so no group meets in one task.
-    Tables with at most `rows` rows are kept whole.
+    A draw is a hash of the id (and text), so rows that agree in it are one, however often they stand. Tables with fewer
+    different rows are kept whole. Three light passes fix the draws: distinct ones are estimated, three times too many
+    are kept and ranked, and the chosen ones meet the rows again; no text is shuffled but those of the sample.
     """
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    if per is None:
-        n = df.count()
-        return df if n <= rows else df.filter(draw < F.lit(rows / n))
-    # the counts of the values come back to the rows by a join; few values are broadcast, so that texts are not shuffled
-    share = df.groupBy(F.col(per).alias("_per")).agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
-    share = F.broadcast(share) if share.count() <= BROADCAST_VALUES else share
-    return df.join(share, F.col(per).eqNullSafe(F.col("_per"))).filter(draw < F.col("_share")).select(*df.columns)
+    by = [F.lit(0).alias("_per") if per is None else F.col(per).alias("_per"), F.xxhash64(F.lit(seed), *[F.col(c) for c in (id_col, text_col) if c]).alias("_draw")]
+    own = df.select("*", *by)
+    sizes = own.groupBy("_per").agg(F.approx_count_distinct("_draw").alias("_n"))
+    few = sizes.count() <= BROADCAST_VALUES
+    edge = sizes.select(F.col("_per").alias("_p"), (F.lit(-(2.0**63)) + F.lit(2.0**64) * 3 * rows / F.greatest("_n", F.lit(1))).alias("_edge"))
+    light = own.select("_per", "_draw").join(F.broadcast(edge) if few else edge, F.col("_per").eqNullSafe(F.col("_p"))).filter(F.col("_draw") < F.col("_edge")).select("_per", "_draw").distinct()
+    place = F.row_number().over(Window.partitionBy("_per").orderBy("_draw"))
+    chosen = light.withColumn("_r", place).filter(F.col("_r") <= rows).select(F.col("_per").alias("_p"), F.col("_draw").alias("_d"))
+    chosen = F.broadcast(chosen) if few and chosen.count() <= 10 * BROADCAST_VALUES else chosen
+    return own.join(chosen, F.col("_per").eqNullSafe(F.col("_p")) & (F.col("_draw") == F.col("_d"))).dropDuplicates(["_per", "_draw"]).select(*df.columns)

@@ -126,7 +126,7 @@ def train(docs: DataFrame, per_class: int = 600, windows_per_text: int = 3, id_c
                     first += n
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(names, pa.string())], ["window", "label"])
 
-    sample = hashed_sample(rows, "id", per_class, "label").select("text", F.col("label").cast("string"))
+    sample = hashed_sample(rows, "id", per_class, "label", text_col="text").select("text", F.col("label").cast("string"))
     got = sample.mapInArrow(cut, "window binary, label string").orderBy("label", "window").toArrow()
     labels = got.column("label").to_pylist()
     names = sorted(set(labels))

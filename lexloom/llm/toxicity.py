@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 
 from .common import hashed_sample, held, materialize
 from .wordhash import LETTERS, chunks, lower, mix, utf8, word_bounds, word_hashes
@@ -165,7 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, id_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hashes, pa.ListArray.from_arrays(cuts, pa.array(times[order]))], ["row", "y", "hash", "times"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(y, "id")
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "y", "text")
+    # of an id that stands in several rows one text, so that the sample is bounded in rows
+    one = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("_one", one).filter("_one = 1").select(F.monotonically_increasing_id().alias("row"), "y", "text")
     sample = materialize(rows.mapInArrow(run, "row long, y int, hash array<long>, times array<int>"), "toxicity-sample", "row")
     heads = sample.select("row", "y").orderBy("row").toArrow()
     n, toxic = heads.num_rows, heads.column("y").to_numpy()

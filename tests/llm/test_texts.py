@@ -1,9 +1,12 @@
 """Extraction, language, toxicity, language model and decontamination."""
 
 import math
+import os
 import random
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,7 @@ from lexloom.llm import html_extract as he
 from lexloom.llm import lang_cnn, suffix_lm, toxicity
 from lexloom.llm.wordhash import chunks
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 EDGE = "doc_id long, text string, score double"
 
 
@@ -309,3 +313,109 @@ def test_language_model_edges(spark):
     assert sum(got.values()) == 6 and {k[:2] for k in got} == {(1, 100_002), (2, 1), (3, 1), (None, 3), (4, 1)}
     assert len({k[3] for k in got if k[1] == 1}) == 1
     assert suffix_lm.score_documents(df.limit(0)).columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
+TAGS = {
+    '<p data-x="a<b">Hello</p>': ["Hello"],
+    '<p>x</p><img alt="5 < 6"><p>y</p>': ["x", "y"],
+    "<div title=it's>in</div>out": ["in", "out"],
+    '<a href="x>y</a>': ["y"],
+    '<p class="a>b" id=\'c"d>e\'>t</p>': ["t"],
+    "<p a=1 b = '2>' c>t</p><p \"stray>u</p>": ["t", "u"],
+    "<a ": [],
+    "x <3 y</ z>": ["x <3 y"],
+    '<head><meta content="a>b"><title data-t="1>0">T</title></head>t': ["t"],
+    '<script src="a>b">if (a < b) {}</script>t': ["t"],
+    "<textarea a='>'>typed <b>in</textarea>t": ["t"],
+    '<article data-note=">"><p title="</p>">one</p></article>': ["one"],
+}
+
+
+@pytest.mark.parametrize("page", TAGS)
+def test_nothing_of_a_tag_is_text(page):
+    assert [b.text for b in he.blocks(page)] == TAGS[page]
+
+
+@pytest.mark.parametrize("part, times", [("<a ", 350_000), ('<a "<', 200_000), ("<a b='", 170_000), ('"<', 500_000), ('<p x="a<b">t', 80_000), ("<!--", 250_000), ("<script>", 120_000), ("<head><title>", 70_000), ("<meta content=it's>", 50_000), ("</", 400_000)])
+def test_pages_are_read_in_linear_time(part, times):
+    began = time.process_time()
+    he.blocks(part * times)
+    assert time.process_time() - began < 12
+
+
+class Article(HTMLParser):
+    """The text of article or main elements, without what is no article inside them: the rule that the given pages follow."""
+
+    OUT = {"aside", "nav", "form", "script", "style", "footer", "header", "button", "textarea", "noscript", "select"}
+    LINES = {"p", "div", "h1", "h2", "h3", "h4", "li", "ul", "ol", "blockquote", "pre", "section", "article", "main", "table", "tr", "td", "th", "br", "figure", "figcaption"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.lines = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.LINES:
+            self.lines.append("")
+        if tag not in he.VOID:
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.LINES:
+            self.lines.append("")
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if {"article", "main"} & set(self.open) and not self.OUT & set(self.open):
+            self.lines[-1] += data
+
+
+def test_the_given_pages_give_their_articles(spark):
+    """A rule for these pages that knows their tags: what the network finds without it must agree on nearly all of them."""
+    rows = he.extract(spark.read.parquet(f"{DATA}/pages.parquet")).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    same = checked = 0
+    for r in rows:
+        rule = Article()
+        rule.feed(pages[r.page_id])
+        lines = [" ".join(x.split()) for x in rule.lines]
+        if any(lines):
+            checked += 1
+            same += set(x for x in r.text.split("\n") if x) == {x for x in lines if x}
+    assert checked >= 10 and same >= 0.95 * checked, (same, checked)
+
+
+def test_long_words_leave_no_long_tables():
+    from lexloom.llm import wordhash
+
+    def hashes(text):
+        buf, offsets = wordhash.utf8(pa.array([text]))
+        return wordhash.word_hashes(buf, *wordhash.word_bounds(buf, offsets)[:2])
+
+    r = random.Random(1)
+    long = "".join(r.choice("abc") for _ in range(300_000))
+    got = hashes(" ".join([long, long, long[:-1] + "d", long[1:], "d" + long[1:], "a" * 5000, "a" * 5001]))
+    assert got[0] == got[1] and len(set(got.tolist())) == 6
+    swapped = long[4096:8192] + long[:4096] + long[8192:]
+    assert hashes(swapped)[0] != got[0]
+    assert max(len(p) for p in wordhash._powers) <= wordhash.FOLD
+
+
+def test_samples_are_bounded_in_rows(spark):
+    from lexloom.llm.common import hashed_sample
+
+    one = spark.range(20_000).select(F.lit(7).alias("id"), (F.col("id") % 5000).cast("string").alias("text"), F.lit("en").alias("k"))
+    assert hashed_sample(one, "id", 100, "k", text_col="text").count() == 100
+    few = spark.range(20_000).select(F.lit(7).alias("id"), (F.col("id") % 3).cast("string").alias("text"), F.lit("en").alias("k"))
+    assert hashed_sample(few, "id", 100, "k", text_col="text").count() == 3
+    assert hashed_sample(one.limit(0), "id", 100, "k", text_col="text").count() == 0
+    assert hashed_sample(spark.range(5000), "id", 200).count() == 200
+
+
+def test_a_labelled_id_in_many_rows_is_one_text(spark):
+    from lexloom.llm import toxicity
+
+    docs = spark.createDataFrame([(1, f"vile word{i} vile") for i in range(300)] + [(2, "kind words here")] * 50 + [(3, "vile vile thing"), (4, "kind thing")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels) is not None
