@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from lexloom.functions.text import document_key
 from lexloom.operators.store import numbered
 
+from .json_records import json_members
+
 #: Names of fields that may hold a record's context, in order (fixed values).
 CONTEXT_FIELDS = ["context", "gold_context", "gold_context_text", "passage", "paragraph", "source_context", "source"]
 CONTEXT = StructType([StructField("content", StringType()), StructField("article", StringType())])
@@ -24,19 +26,13 @@ EXAMPLE = StructType(
 def read_split(spark: SparkSession, path: str, inject_ids: bool = True, limit: int | None = None) -> DataFrame:
     """Records of a split file. With inject_ids a record of an object keeps its id or takes its key, one of a list takes its place.
 
-    Raises ValueError for JSON that is neither an object of records nor a list. Values that are no records leave.
+    The file is read by many tasks. Raises ValueError for JSON that is neither an object of records nor a list. Values that
+    are no records leave.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    kind = raw.select(F.schema_of_variant("v")).first()
-    kind = "" if kind is None else kind[0]
-    if kind.startswith("ARRAY"):
-        each = raw.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.col("pos"), F.lit(None).cast("string").alias("key"), F.col("value"))
-        own_id = F.col("pos").cast("string") if inject_ids else F.try_variant_get("value", "$.id", "string")
-    elif kind.startswith("OBJECT"):
-        each = raw.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.col("pos"), F.col("key"), F.col("value"))
-        own_id = F.coalesce(F.try_variant_get("value", "$.id", "string"), F.col("key")) if inject_ids else F.try_variant_get("value", "$.id", "string")
-    else:
-        raise ValueError(f"{path}: neither an object nor a list of records")
+    kind, members = json_members(spark, path)
+    each = members.withColumn("pos", F.col("pos").cast("int")).withColumn("value", F.parse_json("value"))
+    given = F.try_variant_get("value", "$.id", "string")
+    own_id = given if not inject_ids else F.col("pos").cast("string") if kind == "ARRAY" else F.coalesce(given, F.col("key"))
     each = each.filter(F.schema_of_variant("value").startswith("OBJECT"))
     each = each if limit is None else each.filter(F.col("pos") < limit)
     text = lambda name: F.try_variant_get("value", f"$.{name}", "string")
