@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +66,53 @@ def with_meteor(pairs: DataFrame) -> DataFrame:
     return sized.join(counted, "id", "left").withColumn("meteor", F.when(F.col("m").isNull(), 0.0).otherwise(score)).drop("p", "r", "m", "c")
 
 
+MATCHED = "struct<precision:double,recall:double,f1:double>"
+
+
+def vector_match(prediction: Column | str, reference: Column | str, prediction_weights: Column | str, reference_weights: Column | str) -> Column:
+    """BERTScore of given token vectors: precision, recall and f1.
+
+    Every token of one side meets the nearest of the other by cosine; means are weighted, by idf for example. The first two are
+    arrays of vectors, the others arrays of their weights. A side without tokens or weight scores 0; null gives null.
+    """
+
+    def score(predictions: pd.Series, references: pd.Series, own: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, r, u, v in zip(predictions, references, own, wanted, strict=True):
+            if p is None or r is None or u is None or v is None:
+                out.append((None, None, None))
+            elif not len(p) or not len(r):
+                out.append((0.0, 0.0, 0.0))
+            else:
+                a, b = (_unit(np.array([np.asarray(x, float) for x in side])) for side in (p, r))
+                # one block of rows at a time: two long texts have no square table of all their tokens
+                nearest, best = [], np.full(len(b), -np.inf)
+                for i in range(0, len(a), 1024):
+                    near = a[i : i + 1024] @ b.T
+                    nearest.append(near.max(axis=1))
+                    best = np.maximum(best, near.max(axis=0))
+                x, y = _weighted(np.concatenate(nearest), u), _weighted(best, v)
+                out.append((x, y, 2 * x * y / (x + y) if x + y else 0.0))
+        return pd.DataFrame(out, columns=["precision", "recall", "f1"], dtype=float)
+
+    return F.pandas_udf(score, MATCHED)(prediction, reference, prediction_weights, reference_weights)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _weighted(x: np.ndarray, weights: np.ndarray) -> float:
+    w = np.asarray(weights, float)
+    return float(x @ w / w.sum()) if w.sum() else 0.0
+
+
+def token_idf(references: DataFrame, key: str = "id", token: str = "token") -> DataFrame:
+    """(token, idf): ln((n + 1) / (df + 1)) over reference texts (id, token)."""
+    n = references.select(key).distinct().count()
+    return references.select(key, token).distinct().groupBy(token).agg(F.log(F.lit(n + 1.0) / (F.count(F.lit(1)) + 1)).alias("idf"))
+
+
 def metric_means(scored: DataFrame, columns: list[str]) -> DataFrame:
     """One row of means; 0 without rows."""
     return scored.agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in columns])

@@ -58,7 +58,9 @@ def article_number(given: Column, answer: Column, question: Column) -> Column:
 def article_window(text: Column, article: Column, most: int | None = None) -> Column:
     """The text from the article's marker to the next marker, or the whole text without one; at most `most` characters."""
     quoted = F.regexp_replace(article, r"([^\p{L}\p{N}])", r"\\$1")
-    pattern = F.concat(F.lit(r"(?ius)(?:điều|dieu)\s+"), quoted, F.lit(r"(?![\p{L}\p{N}_])\.?.*"))
+    # an edge of a word: behind another character a word must begin
+    edge = F.when(F.rlike(article, F.lit(r"[\p{L}\p{N}_]$")), r"(?![\p{L}\p{N}_])").otherwise(r"(?=[\p{L}\p{N}_])")
+    pattern = F.concat(F.lit(r"(?ius)(?:điều|dieu)\s+"), quoted, edge, F.lit(r"\.?.*"))
     tail = F.regexp_substr(text, pattern)
     head = F.regexp_extract(tail, r"(?ius)^((?:điều|dieu)\s+\S+.*?)(?:\s(?:điều|dieu)\s+\d+[a-z]?(?![\p{L}\p{N}_])|\z)", 1)
     out = F.when(article.isNull() | tail.isNull(), text).otherwise(F.trim(head))

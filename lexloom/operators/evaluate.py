@@ -58,8 +58,8 @@ def means(scored: DataFrame) -> DataFrame:
 
 
 def nested(results: DataFrame, names: DataFrame) -> DataFrame:
-    """One row a query with its results as an array of structs in order of rank; names: (doc_id, name)."""
-    rows = results.join(names, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score", "name"))).alias("retrieved_contexts"))
+    """One row a query with its results as an array of structs in order of rank; names: doc_id, name and others."""
+    rows = results.join(names, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "doc_id", *[c for c in names.columns if c != "doc_id"]))).alias("retrieved_contexts"))
     return rows
 
 

@@ -11,14 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 
 from lexloom.functions.text import sentences, single_spaced, words_and_marks
 
+from .draws import draws
 from .store import numbered
 
+#: Least length of an answer's part that is looked for, and limits of a window of overlap (fixed values).
+LEAST_PART, LEAST_WINDOW, MOST_WINDOW = 12, 8, 160
 SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>"]
 
 
-def chunks(tokens: Column | str, size: int) -> Column:
+def chunks(tokens: Column | str, size: int | Column) -> Column:
     """Non-overlapping runs of tokens; an empty input is one empty chunk."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
+    size = F.lit(size) if isinstance(size, int) else size
     last = F.greatest(F.ceil(F.size(t) / size).cast("int") - 1, F.lit(0))
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(t, i * size + 1, size))
 
@@ -29,7 +33,7 @@ def overlap_score(query: Column, chunk: Column) -> Column:
     return F.when(F.size(chunk) == 0, 0.0).otherwise(shared / F.greatest(F.size(F.array_distinct(query)), F.lit(1)) + shared / F.greatest(F.size(F.array_distinct(chunk)), F.lit(1)))
 
 
-def scored_chunks(df: DataFrame, size: int) -> DataFrame:
+def scored_chunks(df: DataFrame, size: int | Column) -> DataFrame:
     """Adds `scored`, an array of (score, -index, chunk), from columns context and query. Rows stay whole: no shuffle."""
     # a generator of one row keeps the optimizer from writing the tokenising into every use of the tokens
     own = F.array(F.struct(words_and_marks("query").alias("q"), words_and_marks("context").alias("t")))
@@ -37,27 +41,41 @@ def scored_chunks(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("scored", F.transform("parts", lambda c, i: F.struct(F.round(overlap_score(F.col("q"), c), 9).alias("score"), (-i).alias("neg"), c.alias("chunk"))))
 
 
-def select_within_budget(df: DataFrame, size: int, budget: int) -> DataFrame:
+def select_within_budget(df: DataFrame, size: int | Column, budget: int) -> DataFrame:
     """Adds `selected`: the best chunks (ties: the earlier) in order, joined by spaces, cut to `budget` tokens. Rows without any leave."""
     best = F.flatten(F.transform(F.reverse(F.array_sort("scored")), lambda s: s["chunk"]))
     return scored_chunks(df, size).filter(F.size("t") > 0).withColumn("selected", F.array_join(F.slice(best, 1, budget), " ")).drop("q", "t", "parts", "scored")
 
 
 def curriculum_records(examples: DataFrame, sizes: list[int], budget: int, easy_ratio: float, seed: int = 23) -> DataFrame:
-    """Records with retrieved context. Each row draws its chunk size and whether the answer is the query from a hash of (seed, id).
+    """Records with retrieved context. Each row draws its chunk size, and whether the answer is the query, in order of ids from one generator.
 
-    examples: id, question, answer, context. Rows without context or answer leave.
+    examples: id, question, answer, context. Rows without context or answer draw and then leave.
     """
-    draw = lambda name: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("id")), F.lit(1_000_000)) / 1e6
-    df = examples.withColumn("answer", single_spaced("answer")).withColumn("question", single_spaced("question"))
-    df = df.withColumn("chunk_size", F.element_at(F.array(*[F.lit(s) for s in sizes]), (draw("size") * len(sizes)).cast("int") + 1))
-    df = df.withColumn("query_mode", F.when(draw("mode") < easy_ratio, "answer").otherwise("question"))
+    rows = numbered(examples.select("id", "question", "answer", "context"), [F.asc("id")], "curriculum", "row")
+    return _drawn_records(rows, draws(examples.sparkSession, rows.count(), [seed], len(sizes)), sizes, budget, F.lit(easy_ratio)).drop("seed")
+
+
+def curriculum_epochs(examples: DataFrame, sizes: list[int], budget: int, start: float, decay: float, epochs: int, path: str, seed: int = 23) -> DataFrame:
+    """curriculum_records() of epochs 1 to `epochs`, written below path by epoch, and read back: a filter on epoch reads that epoch's files alone.
+
+    Epoch e draws from seed + e, with the share of answers as queries that easy_ratio() gives. The examples are read and numbered once.
+    """
+    rows = numbered(examples.select("id", "question", "answer", "context"), [F.asc("id")], "curriculum", "row")
+    drawn = draws(examples.sparkSession, rows.count(), [seed + e for e in range(1, epochs + 1)], len(sizes)).withColumn("epoch", (F.col("seed") - seed).cast("int"))
+    made = _drawn_records(rows, drawn, sizes, budget, easy_ratio("epoch", start, decay)).drop("seed")
+    made.write.mode("overwrite").partitionBy("epoch").parquet(path)
+    return examples.sparkSession.read.parquet(path)
+
+
+def _drawn_records(rows: DataFrame, drawn: DataFrame, sizes: list[int], budget: int, share: Column) -> DataFrame:
+    df = rows.withColumn("answer", single_spaced("answer")).withColumn("question", single_spaced("question")).join(drawn, "row")
+    df = df.withColumn("chunk_size", F.element_at(F.array(*[F.lit(s) for s in sizes]), F.col("choice") + 1))
+    df = df.withColumn("query_mode", F.when(F.col("draw") < share, "answer").otherwise("question"))
     df = df.withColumn("query", F.when(F.col("query_mode") == "answer", F.col("answer")).otherwise(F.col("question")))
-    out = None
-    for size in sizes:  # a filter for each size: the chunk expression needs a constant
-        own = select_within_budget(df.filter(F.col("chunk_size") == size), size, budget)
-        out = own if out is None else out.unionByName(own)
-    return out.filter("answer <> ''").select("id", "question", F.col("selected").alias("context"), "answer", F.col("answer").alias("reference"), "chunk_size", "query_mode")
+    own = ["epoch"] if "epoch" in drawn.columns else []
+    made = select_within_budget(df, F.col("chunk_size"), budget).filter("answer <> ''")
+    return made.select("id", "question", F.col("selected").alias("context"), "answer", F.col("answer").alias("reference"), "chunk_size", "query_mode", "seed", *own)
 
 
 def easy_ratio(epoch: Column | str, start: float, decay: float) -> Column:
@@ -154,7 +172,7 @@ def _answer_span(context: str | None, answer: str | None) -> Span:
     c, a = " ".join((context or "").split()), " ".join((answer or "").split())
     parts = {a, *_SENTENCE.split(a), *_CLAUSE.split(a), *_QUOTED.findall(a)}
     low = c.lower()
-    for p in sorted((x for x in {p.strip() for p in parts} if len(x) >= 12), key=lambda x: (-len(x), x)):
+    for p in sorted((x for x in {p.strip() for p in parts} if len(x) >= LEAST_PART), key=lambda x: (-len(x), x)):
         at = low.find(p.lower())
         if at >= 0:
             m = _NUMBER.match(c, at + len(p))
@@ -184,7 +202,7 @@ def _best_overlap_span(tokens: list[str], answer: list[str]) -> Span:
     wanted = {x for x in answer if len(x) > 1} or set(answer)
     if not tokens or not wanted:
         return None
-    limit, hits = min(len(tokens), max(8, min(len(answer), 160))), np.array([x in wanted for x in tokens])
+    limit, hits = min(len(tokens), max(LEAST_WINDOW, min(len(answer), MOST_WINDOW))), np.array([x in wanted for x in tokens])
     best, at = 0.0, None
     for start in np.flatnonzero(hits).tolist():
         seen: set[str] = set()

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from lexloom.functions.text import sentences, single_spaced, words_and_marks
+from lexloom.functions.text import article_number, sentences, single_spaced, words_and_marks
 
+from .articles import article_intervals, windowed
 from .index import small
 
 #: Characters of a context.
@@ -20,10 +23,25 @@ MODEL_COLUMNS = {"abstractive": ["context", "question", "answer"], "extractive":
 def context_lookup(references: DataFrame, docs: DataFrame, most: int = CONTEXT_CHARS, on: str = "doc_id") -> DataFrame:
     """(id, pos, key, passage): the single-spaced beginnings of the documents that examples refer to; blank and missing ones leave.
 
-    references: id, pos and the key; docs: the key and text. References are broadcast if they are few.
+    references: id, pos, the key and, if windows are wanted, article; docs: the key and text. A reference that names an article
+    gets that article's window. References are broadcast if they are few.
     """
-    found = docs.select(on, "text").join(small(references), on)
-    return found.select("id", "pos", on, F.substring(single_spaced("text"), 1, most).alias("passage")).filter("passage <> ''")
+    named = "article" in references.columns
+    spaced = docs.select(on, single_spaced("text").alias("text"))
+    found = spaced.join(small(references.select("id", "pos", on, *["article"] * named)), on)
+    if named:
+        wanted = references.filter("trim(article) <> ''").select(on).distinct()
+        found = windowed(found, article_intervals(spaced.join(small(wanted, terms=references), on, "left_semi"), on), on).withColumn("text", F.col("window"))
+    return found.select("id", "pos", on, F.substring("text", 1, most).alias("passage")).filter("passage <> ''")
+
+
+def article_references(examples: DataFrame, on: str = "content") -> DataFrame:
+    """(id, pos, key, article): what examples (id, question, answer, contexts of structs content and article) refer to.
+
+    The article is the one given, or else the first that the answer names, or the question.
+    """
+    each = examples.select("id", "question", "answer", F.posexplode("contexts").alias("pos", "c"))
+    return each.select("id", "pos", F.col("c.content").alias(on), article_number(F.col("c.article"), F.col("answer"), F.col("question")).alias("article"))
 
 
 def joined_contexts(passages: DataFrame, by: str = "\n\n") -> DataFrame:
@@ -68,17 +86,25 @@ def pairs_of_turns(turns: DataFrame) -> DataFrame:
     return said.join(reply, ["conv_id", "t"]).select((F.col("conv_id") * 1000 + F.col("t")).alias("id"), "prediction", "reference")
 
 
-def _placed(text: Column, parts: Column) -> Column:
+PLACED = "array<struct<part:string,start:int,end:int>>"
+
+
+def _placed(text: Column | str, parts: Column | str) -> Column:
     """Structs (part, start, end) of parts that follow each other in a text: each is looked for behind the one before it, and one that is missing stands there."""
-    none = F.array().cast("array<struct<part:string,start:int,end:int>>")
 
-    def step(done: Column, part: Column) -> Column:
-        behind = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0))
-        at = F.call_function("locate", part, text, behind + 1)
-        start = F.when(at > 0, at - 1).otherwise(behind).cast("int")
-        return F.concat(done, F.array(F.struct(part.alias("part"), start.alias("start"), (start + F.length(part)).cast("int").alias("end"))))
+    def find(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for t, own in zip(texts, lists, strict=True):
+            at, found = 0, []
+            for part in () if t is None or own is None else own:
+                start = t.find(part, at)
+                start = at if start < 0 else start
+                at = start + len(part)
+                found.append({"part": part, "start": start, "end": at})
+            out.append(None if t is None or own is None else found)
+        return pd.Series(out)
 
-    return F.aggregate(parts, none, step)
+    return F.pandas_udf(find, PLACED)(text, parts)
 
 
 def touched(placed: Column, start: Column, end: Column) -> Column:
@@ -88,7 +114,7 @@ def touched(placed: Column, start: Column, end: Column) -> Column:
 
 def sentence_labels(df: DataFrame) -> DataFrame:
     """Adds sentences and evidence_labels: which sentences of `context` the characters [answer_start, answer_end) touch."""
-    df = df.select("*", F.inline(F.array(F.struct(_placed(F.col("context"), sentences("context")).alias("_s")))))
+    df = df.withColumn("_s", _placed("context", sentences("context")))
     return df.withColumn("sentences", F.transform("_s", lambda s: s["part"])).withColumn("evidence_labels", touched(F.col("_s"), F.col("answer_start"), F.col("answer_end"))).drop("_s")
 
 
@@ -97,29 +123,74 @@ def token_flags(df: DataFrame, most: int) -> DataFrame:
 
     Without a valid span all flags are 0. Arrays are padded with 0 to `most`.
     """
-    placed = _placed(F.lower("context"), F.slice(words_and_marks("context"), 1, most))
-    df = df.select("*", F.inline(F.array(F.struct(placed.alias("_t")))))
+    df = df.withColumn("_t", _placed(F.lower("context"), F.slice(words_and_marks("context"), 1, most)))
     valid = F.coalesce((F.col("answer_start") >= 0) & (F.col("answer_start") < F.col("answer_end")) & (F.col("answer_end") <= F.length("context")), F.lit(False))
     hits = F.when(valid, touched(F.col("_t"), F.col("answer_start"), F.col("answer_end"))).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("tokens", F.transform("_t", lambda s: s["part"])).withColumn("_h", hits)
     first = F.array_position("_h", 1)
     last = F.size("_h") + 1 - F.array_position(F.reverse("_h"), 1)
-    flag = lambda at: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: ((first > 0) & (i == at)).cast("int"))
+    zeros = lambda n: F.array_repeat(F.lit(0), F.greatest(n, F.lit(0)).cast("int"))
+    flag = lambda at: F.when(first > 0, F.concat(zeros(at - 1), F.array(F.lit(1)), zeros(most - at))).otherwise(zeros(F.lit(most)))
     return df.withColumn("start_flags", flag(first)).withColumn("end_flags", flag(last)).drop("_t", "_h")
 
 
-def window_features(df: DataFrame, width: int, stride: int) -> DataFrame:
-    """The first window of token ids that holds the whole answer: id, window, start, tokens, start_position, end_position.
+def window_features(df: DataFrame, width: int | Column, stride: int) -> DataFrame:
+    """The first window of token ids that holds the whole answer: adds window, start, tokens, start_position, end_position.
 
     df: id, ids (the context's token ids), starts and ends (their characters), answer_start, answer_end. Windows step by
     width - stride; examples whose answer no window holds leave. Positions count from the window's beginning.
     """
-    step = max(1, width - stride)
-    own = df.filter("size(ids) > 0 and answer_start < answer_end")
+    width = F.lit(width) if isinstance(width, int) else width
+    step = F.greatest(F.lit(1), width - stride)
+    own = df.filter("size(ids) > 0 and answer_start < answer_end").withColumn("_w", width).withColumn("_step", step)
     first = F.size(F.filter("starts", lambda x: x <= F.col("answer_start"))) - 1  # the token in which the answer begins
     last = F.size("ends") - F.size(F.filter("ends", lambda x: x >= F.col("answer_end")))  # and the one in which it ends
-    own = own.withColumn("a", first).withColumn("b", last).filter("a >= 0 and b < size(ids) and a <= b")
-    # the earliest window that ends behind b, if it begins at or before a
-    number = F.greatest(F.ceil((F.col("b") + 1 - width) / step).cast("int"), F.lit(0))
-    own = own.withColumn("window", number).withColumn("start", F.col("window") * step).filter("start <= a")
-    return own.select("id", "window", "start", F.slice("ids", F.col("start") + 1, width).alias("tokens"), (F.col("a") - F.col("start")).alias("start_position"), (F.col("b") - F.col("start")).alias("end_position"))
+    own = own.withColumn("_a", first).withColumn("_b", last).filter("_w > 0 and _a >= 0 and _b < size(ids) and _a <= _b")
+    # the earliest window that ends behind the answer's last token, if it begins at or before its first
+    number = F.greatest(F.ceil((F.col("_b") + 1 - F.col("_w")) / F.col("_step")).cast("int"), F.lit(0))
+    own = own.withColumn("window", number).withColumn("start", (F.col("window") * F.col("_step")).cast("int")).filter("start <= _a")
+    own = own.withColumn("tokens", F.slice("ids", F.col("start") + 1, F.col("_w"))).withColumn("start_position", F.col("_a") - F.col("start")).withColumn("end_position", F.col("_b") - F.col("start"))
+    return own.drop("_a", "_b", "_w", "_step")
+
+
+OFFSETS = "struct<ids:array<int>,starts:array<int>,ends:array<int>>"
+
+
+def encoded(text: Column | str, path: str) -> Column:
+    """Token ids of a text by a file of the tokenizers library, without special tokens, each with its first character and the one behind its last.
+
+    path: a file that each executor has at that place. A null text has no tokens.
+    """
+
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        for texts in parts:
+            got = [tokenizer.encode(t or "", add_special_tokens=False) for t in texts]
+            yield pd.DataFrame({"ids": [e.ids for e in got], "starts": [[a for a, _ in e.offsets] for e in got], "ends": [[b for _, b in e.offsets] for e in got]})
+
+    return F.pandas_udf(encode, OFFSETS)(text)
+
+
+def reader_features(df: DataFrame, path: str, max_length: int, stride: int, pad_id: int = 0) -> DataFrame:
+    """Inputs of an extractive reader from raw text: (id, window, input_ids, attention_mask, start_positions, end_positions).
+
+    df: id, question, context, answer_start, answer_end (characters of the context). A question's ids come first, whole; the rest of
+    max_length is the first window of the context that holds the answer, and padding. Positions count in input_ids.
+    """
+    both = df.select("id", "answer_start", "answer_end", encoded("question", path).alias("q"), encoded("context", path).alias("c"))
+    own = both.select("id", "answer_start", "answer_end", F.col("q.ids").alias("question"), F.inline(F.array("c")))
+    own = window_features(own, F.lit(max_length) - F.size("question"), stride)
+    ids = F.concat("question", "tokens")
+    ones, zeros = (lambda n: F.array_repeat(F.lit(1), n)), (lambda n, x=0: F.array_repeat(F.lit(x), n))
+    left = F.lit(max_length) - F.size(ids)
+    return own.select(
+        "id",
+        "window",
+        F.concat(ids, zeros(left, pad_id)).alias("input_ids"),
+        F.concat(ones(F.size(ids)), zeros(left)).alias("attention_mask"),
+        (F.col("start_position") + F.size("question")).alias("start_positions"),
+        (F.col("end_position") + F.size("question")).alias("end_positions"),
+    )

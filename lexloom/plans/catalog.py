@@ -6,11 +6,11 @@ assistant's next one. Gold: documents that contain a benchmark text.
 
 from __future__ import annotations
 
-import re
+import random
 from collections.abc import Callable
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from lexloom.functions import metrics, text
 from lexloom.operators import cache, decode, evaluate, index, latent, prepare, rank, records, retrieve
@@ -200,49 +200,70 @@ def context_key(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.document_key(name, F.col("url")).alias("key"))
 
 
-LEGAL = """SELECT * FROM VALUES
-(1L, 'Theo Điều 5 của luật', 'hỏi', NULL, 'Mở đầu. Điều 5. Nội dung năm. Điều 6. Nội dung sáu.'),
-(2L, 'không rõ', 'Điều 12a nói gì', NULL, 'Điều 1. A. Điều 12a. B B. Điều 13. C.'),
-(3L, 'không', 'không', NULL, 'Điều 1. A. Điều 2. B.'),
-(4L, 'Dieu 2', 'Điều 9', '1', 'Mở. dieu 1 một hai. dieu 2 ba.'),
-(5L, NULL, 'điều 7', '', 'Không có dấu mốc nào.')
-AS t(id, answer, question, article, passage)"""
+#: Documents whose lines are made articles of a legal text, each third one lettered; what is asked names one of them, or none that is there.
+LEGAL = [
+    DOCS,
+    r"""lines AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\s\p{Z}\x0b\x1c-\x1f\x85]+', ' ', 'g'))), lambda x: x <> '') AS l FROM docs)""",
+    "marked AS (SELECT doc_id, l, list_transform(l, lambda x, i: CASE WHEN i % 2 = 0 THEN 'Điều ' ELSE 'DIEU ' END || i || CASE WHEN i % 3 = 0 THEN 'a' ELSE '' END || '. ' || x) AS m FROM lines)",
+    """legal AS (SELECT doc_id AS id, l, m, 'Mở đầu. ' || array_to_string(m, ' ') AS passage, doc_id % (len(l) + 2) + 1 AS n, CASE WHEN doc_id % 5 = 0 THEN (doc_id % (len(l) + 2) + 1)::VARCHAR END AS given,
+CASE WHEN doc_id % 5 = 1 THEN 'Theo Điều  ' || (doc_id % (len(l) + 2) + 1) || '.' WHEN doc_id % 5 = 2 THEN 'không rõ' END AS answer, CASE WHEN doc_id % 5 < 4 THEN 'dieu ' || (doc_id % (len(l) + 2) + 1) || 'a nói gì' ELSE 'hỏi' END AS question FROM marked)""",
+    # given and answer name the bare number, the question the lettered one
+    "named AS (SELECT *, CASE WHEN doc_mod < 2 THEN n::VARCHAR WHEN doc_mod < 4 THEN n || 'a' END AS article FROM (SELECT *, id % 5 AS doc_mod FROM legal))",
+]
 
 
-@query(
-    r"""SELECT id, coalesce(nullif(trim(article), ''), nullif(regexp_extract(coalesce(answer, ''), '(?i)(?:điều|dieu)\s+(\d+[a-z]?)(?:$|[^\p{L}\p{N}_])', 1), ''),
-nullif(regexp_extract(coalesce(question, ''), '(?i)(?:điều|dieu)\s+(\d+[a-z]?)(?:$|[^\p{L}\p{N}_])', 1), '')) AS article FROM (VALUES
-(1, 'Theo Điều 5 của luật', 'hỏi', NULL), (2, 'không rõ', 'Điều 12a nói gì', NULL), (3, 'không', 'không', NULL), (4, 'Dieu 2', 'Điều 9', '1'), (5, NULL, 'điều 7', '')) AS t(id, answer, question, article)"""
-)
+def _legal(spark, sf_dir):
+    """(id, passage, given, answer, question), as the SQL above says."""
+    lines = F.filter(F.transform(F.split("text", "\n"), text.single_spaced), lambda x: x != "")
+    own = corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), lines.alias("l"))
+    word = lambda i: F.when((i + 1) % 2 == 0, "Điều ").otherwise("DIEU ")
+    letter = lambda i: F.when((i + 1) % 3 == 0, "a").otherwise("")
+    marked = F.transform("l", lambda x, i: F.concat(word(i), (i + 1).cast("string"), letter(i), F.lit(". "), x))
+    n, kind = (F.col("id") % (F.size("l") + 2) + 1).cast("string"), F.col("id") % 5
+    return own.select(
+        "id",
+        F.concat(F.lit("Mở đầu. "), F.array_join(marked, " ")).alias("passage"),
+        F.when(kind == 0, n).alias("given"),
+        F.when(kind == 1, F.concat(F.lit("Theo Điều  "), n, F.lit("."))).when(kind == 2, "không rõ").alias("answer"),
+        F.when(kind < 4, F.concat(F.lit("dieu "), n, F.lit("a nói gì"))).otherwise("hỏi").alias("question"),
+    )
+
+
+@query(_with(*LEGAL, "SELECT id, article FROM named"))
 def infer_article(spark, sf_dir):
-    df = spark.sql(LEGAL)
-    return df.select(F.col("id").cast("int").alias("id"), text.article_number(F.col("article"), F.col("answer"), F.col("question")).alias("article"))
+    return _legal(spark, sf_dir).select("id", text.article_number(F.col("given"), F.col("answer"), F.col("question")).alias("article"))
 
 
-@query(
-    """SELECT * FROM (VALUES (1, 'Điều 5. Nội dung năm.'), (2, 'Điều 12a. B B.'), (3, 'Điều 1. A. Điều 2. B.'), (4, 'dieu 1 một hai.'), (5, 'Không có dấu mốc nào.')) AS t(id, win)"""
-)
+ARTICLE_WINDOW = f"CASE WHEN article IS NOT NULL AND n <= len(l) AND (article = n || 'a') = (n % 3 = 0) THEN left(trim(m[n]), {CONTEXT_CHARS}) ELSE left(passage, {CONTEXT_CHARS}) END"
+
+
+@query(_with(*LEGAL, f"SELECT id, {ARTICLE_WINDOW} AS win FROM named"))
 def article_window(spark, sf_dir):
-    df = spark.sql(LEGAL).withColumn("a", text.article_number(F.col("article"), F.col("answer"), F.col("question")))
-    return df.select(F.col("id").cast("int").alias("id"), text.article_window(F.col("passage"), F.col("a"), 12_000).alias("win"))
+    df = _legal(spark, sf_dir).withColumn("a", text.article_number(F.col("given"), F.col("answer"), F.col("question")))
+    return df.select("id", text.article_window(F.col("passage"), F.col("a"), CONTEXT_CHARS).alias("win"))
 
 
-@query(
-    "SELECT id, q || ' ' || concat_ws(' ', " + ", ".join(f"CASE WHEN contains(lower(q), '{k}') THEN '{v}' END" for k, v in text.REWRITES) + ") AS rewritten FROM (VALUES (1, 'Nghị định và Luật mới'), (2, 'thông tư 5'), (3, 'khác'), (4, '')) AS t(id, q)"
-)
-def query_rewrite_rules(spark, sf_dir):
-    df = spark.sql("SELECT * FROM VALUES (1, 'Nghị định và Luật mới'), (2, 'thông tư 5'), (3, 'khác'), (4, '') AS t(id, q)")
-    return df.select("id", text.rewritten("q").alias("rewritten"))
+@query(_with(*LEGAL, f"refs AS (SELECT id, unnest([0, 1]) AS pos, unnest([id, id + 1]) AS doc_id, article, n FROM named)", f"SELECT refs.id, pos::INTEGER AS pos, doc_id, {ARTICLE_WINDOW.replace('article', 'refs.article').replace('n <=', 'refs.n <=').replace('= n ||', '= refs.n ||').replace('(n %', '(refs.n %').replace('m[n]', 'm[refs.n]')} AS passage FROM refs JOIN named ON refs.doc_id = named.id"))
+def article_context_lookup(spark, sf_dir):
+    """Contexts of references that name articles: the article of a document, and of the next one."""
+    legal = _legal(spark, sf_dir)
+    article = text.article_number(F.col("given"), F.col("answer"), F.col("question"))
+    refs = legal.select("id", article.alias("article"), F.posexplode(F.array("id", F.col("id") + 1)).alias("pos", "doc_id"))
+    return records.context_lookup(refs, legal.select(F.col("id").alias("doc_id"), F.col("passage").alias("text")))
 
 
-@query("SELECT item_id, 'câu hỏi: ' || text || ' ngữ cảnh: ' || left(text, 20) AS prompt FROM benchmark")
-def prompt_format(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", records.prompt("text", "text", 20).alias("prompt"))
+ASKED = "CASE item_id % 4 WHEN 0 THEN 'Nghị định và Luật: ' WHEN 1 THEN 'THÔNG TƯ ' WHEN 2 THEN 'luật ' ELSE '' END || text"
+
+
+@query("SELECT id, q || ' ' || concat_ws(' ', " + ", ".join(f"CASE WHEN contains(lower(q), '{k}') THEN '{v}' END" for k, v in text.REWRITES) + f") AS rewritten FROM (SELECT item_id AS id, {ASKED} AS q FROM benchmark)")
+def query_rewrite_rules(spark, sf_dir):
+    kind = F.col("item_id") % 4
+    opening = F.when(kind == 0, "Nghị định và Luật: ").when(kind == 1, "THÔNG TƯ ").when(kind == 2, "luật ").otherwise("")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), text.rewritten(F.concat(opening, F.col("text"))).alias("rewritten"))
 
 
 @query(f"SELECT item_id, 'câu hỏi: ' || text || ' ngữ cảnh: ' || left(text, {CONTEXT_CHARS}) AS prompt FROM benchmark")
-def prompt_format_full(spark, sf_dir):
-    """prompt_format with the reference's limit of a context."""
+def prompt_format(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", records.prompt("text", "text").alias("prompt"))
 
 
@@ -452,7 +473,21 @@ def cluster_pruned_top3(spark, sf_dir):
     return retrieve.cluster_pruned(*_vectors(spark, sf_dir))
 
 
-@query()
+def _kmeans(k: int, rounds: int = 4, source: str = "SELECT vec_id, embedding FROM embeddings") -> list[str]:
+    """kv (vec_id, i, x) and, after the last round, km (vec_id, cluster)."""
+    out = [
+        f"kv AS MATERIALIZED (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM ({source}))",
+        f"k0 AS (SELECT vec_id, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cluster FROM ({source}) QUALIFY cluster < {k})",
+        "c0 AS MATERIALIZED (SELECT cluster, i, x / sqrt(sum(x * x) OVER (PARTITION BY cluster)) AS x FROM k0 JOIN kv USING (vec_id))",
+    ]
+    for n in range(rounds):
+        out.append(f"km{n} AS MATERIALIZED (SELECT vec_id, cluster FROM (SELECT vec_id, cluster, round(sum(kv.x * c{n}.x), 6) AS s FROM kv JOIN c{n} USING (i) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cluster) = 1)")
+        out.append(f"m{n} AS (SELECT cluster, i, avg(x) AS x FROM km{n} JOIN kv USING (vec_id) GROUP BY ALL)")
+        out.append(f"c{n + 1} AS MATERIALIZED (SELECT cluster, i, coalesce(u.x, c{n}.x) AS x FROM c{n} LEFT JOIN (SELECT cluster, i, x / sqrt(sum(x * x) OVER (PARTITION BY cluster)) AS x FROM m{n}) u USING (cluster, i))")
+    return [*out, f"km AS (SELECT * FROM km{rounds - 1})"]
+
+
+@query(_with(*_kmeans(16), "SELECT vec_id AS doc_id, cluster::INTEGER AS cluster FROM km"))
 def kmeans_assign(spark, sf_dir):
     return retrieve.kmeans_assign(_vectors(spark, sf_dir)[0], 16)
 
@@ -488,6 +523,44 @@ def cluster_fusion_top3(spark, sf_dir):
     return retrieve.cluster_fusion(retrieve.cluster_candidates(vectors, q), sparse)
 
 
+HELD = "SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)"
+
+
+@query(
+    _with(
+        VECTORED,
+        "q AS (SELECT doc_id AS query_id, name AS text FROM docs WHERE doc_id % 100 = 0)",
+        _postings(),
+        _terms(),
+        _bm25(),
+        *_kmeans(64, source=HELD),
+        # centres of the last assignment
+        "cn AS (SELECT cluster, i, x / sqrt(sum(x * x) OVER (PARTITION BY cluster)) AS x FROM (SELECT cluster, i, avg(x) AS x FROM km JOIN kv USING (vec_id) GROUP BY ALL))",
+        "cs AS (SELECT vec_id AS query_id, cluster, round(sum(kv.x * cn.x), 6) AS s FROM kv JOIN cn USING (i) WHERE vec_id % 100 = 0 GROUP BY ALL)",
+        "pick AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cluster) <= 4)",
+        "cand AS (SELECT query_id, km.vec_id AS doc_id, sum(a.x * b.x) AS score FROM pick JOIN km USING (cluster) JOIN kv b ON b.vec_id = km.vec_id JOIN kv a ON a.vec_id = query_id AND a.i = b.i GROUP BY ALL)",
+        "scoped AS (SELECT query_id, doc_id, coalesce(bm.score, 0) AS score FROM cand LEFT JOIN bm USING (query_id, doc_id))",
+        _fuse([("scoped", 0.5), ("cand", 0.5)]),
+        _ranked("fused"),
+    )
+)
+def cluster_retrieval_top3(spark, sf_dir):
+    """Cluster retrieval whose clusters come from the vectors: documents that have one, queries by every hundredth one's name."""
+    vectors, q = _vectors(spark, sf_dir)
+    docs = corpus(spark, sf_dir).join(vectors.select("doc_id"), "doc_id", "left_semi")
+    vectors = vectors.drop("cluster").join(docs.select("doc_id"), "doc_id", "left_semi")
+    q = q.join(docs.select(F.col("doc_id").alias("query_id")), "query_id", "left_semi")
+    asked_ = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("name").alias("text"))
+    return retrieve.clustered(vectors, q, index.Index.build(docs), index.query_terms(asked_))
+
+
+@query()
+def latent_hybrid_top3(spark, sf_dir):
+    """The reference's default: fusion of BM25 and latent vectors. The vectors are iterative, so there is no SQL."""
+    both = indexed(spark, sf_dir), indexed(spark, sf_dir, 12_000)
+    return retrieve.latent_hybrid(corpus(spark, sf_dir), asked(spark, sf_dir), index=both[0], latent=latent.Latent.fit(both[1]))
+
+
 # ---- evaluation
 
 GOLD = "gold AS (SELECT query_id, doc_id FROM docs JOIN q ON contains(docs.text, q.text))"
@@ -543,32 +616,17 @@ def _references(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(i.alias("id"), F.posexplode(F.array(i * 7, i * 3 + 1, F.lit(99999999).cast("long"))).alias("pos", "doc_id"))
 
 
-@query(_with(DOCS, REFS, f"SELECT id, pos::INTEGER AS pos, doc_id, left(trim(regexp_replace(text, {SP}, ' ', 'g')), 200) AS passage FROM refs JOIN docs USING (doc_id)"))
-def gold_context_lookup(spark, sf_dir):
-    found = corpus(spark, sf_dir).join(index.small(_references(spark, sf_dir)), "doc_id")
-    return found.select("id", "pos", "doc_id", F.substring(text.single_spaced("text"), 1, 200).alias("passage"))
-
-
-@query(_with(DOCS, REFS, "SELECT id, string_agg(left(text, 100), chr(10) || chr(10) ORDER BY pos) AS context FROM refs JOIN docs USING (doc_id) GROUP BY id"))
-def context_concat(spark, sf_dir):
-    found = corpus(spark, sf_dir).join(index.small(_references(spark, sf_dir)), "doc_id").select("id", "pos", F.substring("text", 1, 100).alias("t"))
-    parts = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("c"))
-    return parts.select("id", F.array_join(F.transform("c", lambda s: s["t"]), "\n\n").alias("context"))
-
-
 FULL = f"full_refs AS (SELECT id, pos::INTEGER AS pos, doc_id, left(trim(regexp_replace(text, {SP}, ' ', 'g')), {CONTEXT_CHARS}) AS passage FROM refs JOIN docs USING (doc_id))"
 
 
 @query(_with(DOCS, REFS, FULL, "SELECT * FROM full_refs WHERE passage <> ''"))
-def gold_context_lookup_full(spark, sf_dir):
-    """gold_context_lookup with the reference's limit of a context."""
+def gold_context_lookup(spark, sf_dir):
     return records.context_lookup(_references(spark, sf_dir), corpus(spark, sf_dir), CONTEXT_CHARS)
 
 
 @query(_with(DOCS, REFS, FULL, "SELECT id, string_agg(passage, chr(10) || chr(10) ORDER BY pos) AS context FROM full_refs WHERE passage <> '' GROUP BY id"))
-def context_concat_full(spark, sf_dir):
-    """context_concat with the reference's limit of a context."""
-    return records.joined_contexts(gold_context_lookup_full(spark, sf_dir))
+def context_concat(spark, sf_dir):
+    return records.joined_contexts(gold_context_lookup(spark, sf_dir))
 
 
 @query(_with(DOCS, "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 4 = 0 THEN ' ' END), ''), CASE WHEN doc_id % 2 = 0 THEN 'field ' || doc_id END, nullif(trim(name), ''), 'lookup') AS context FROM docs"))
@@ -603,18 +661,6 @@ def chunk_scores(spark, sf_dir):
     return _chunked(spark, sf_dir).select("id", F.explode("scored").alias("s")).filter(F.size("s.chunk") > 0).select("id", (-F.col("s.neg")).alias("chunk"), F.round("s.score", 6).alias("score"))
 
 
-@query(
-    _with(
-        *CHUNK,
-        "od AS (SELECT ch.id, tok, row_number() OVER (PARTITION BY ch.id ORDER BY score DESC, chunk, p) AS r FROM ch JOIN sco ON ch.id = sco.id AND ch.c = sco.chunk)",
-        "SELECT id, string_agg(tok, ' ' ORDER BY r) AS selected FROM od WHERE r <= 300 GROUP BY id",
-    )
-)
-def chunk_budget_select(spark, sf_dir):
-    df = examples(spark, sf_dir).select("id", F.col("question").alias("query"), "context")
-    return prepare.select_within_budget(df, 50, 300).select("id", "selected")
-
-
 @query(
     _with(
         *CHUNK,
@@ -622,18 +668,40 @@ def chunk_budget_select(spark, sf_dir):
         "SELECT id, string_agg(tok, ' ' ORDER BY r) AS selected FROM od WHERE r <= 1200 GROUP BY id",
     )
 )
-def chunk_budget_select_full(spark, sf_dir):
-    """chunk_budget_select with the reference's budget."""
+def chunk_budget_select(spark, sf_dir):
     df = examples(spark, sf_dir).select("id", F.col("question").alias("query"), "context")
     return prepare.select_within_budget(df, 50, 1200).select("id", "selected")
 
 
-@query("SELECT e::INTEGER AS epoch, greatest(0::DOUBLE, 0.8::DOUBLE - (e - 1) * 0.15::DOUBLE) AS easy_ratio FROM range(1, 9) t(e)")
+@query("SELECT event_id, (event_id % 20 + 1)::INTEGER AS epoch, round(greatest(0::DOUBLE, 0.8::DOUBLE - (event_id % 20) * 0.15::DOUBLE), 6) AS easy_ratio FROM events")
 def curriculum_schedule(spark, sf_dir):
-    return spark.range(1, 9).select(F.col("id").cast("int").alias("epoch")).withColumn("easy_ratio", prepare.easy_ratio("epoch", 0.8, 0.15))
+    """The share of easy queries in each event's epoch."""
+    epochs = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 20 + 1).cast("int").alias("epoch"))
+    return epochs.withColumn("easy_ratio", F.round(prepare.easy_ratio("epoch", 0.8, 0.15), 6))
 
 
-@query()
+def _sequential_draws(seed: int, rows: int) -> str:
+    """The draws of one generator in order of rows, as literal rows for DuckDB: the rule itself, row by row."""
+    r = random.Random(seed)
+    return ", ".join(f"({i}, {r.choice([50, 100, 200, 500])}, {r.random()!r}::DOUBLE)" for i in range(rows))
+
+
+CURRICULUM = [
+    EXAMPLES,
+    f"drawn(row, size, u) AS (VALUES {_sequential_draws(23, 4096)})",
+    f"ex AS (SELECT id, trim(regexp_replace(question, {SP}, ' ', 'g')) AS question, trim(regexp_replace(answer, {SP}, ' ', 'g')) AS answer, context, size, u < 0.5 AS easy FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS row FROM examples) JOIN drawn USING (row))",
+    f"ct AS (SELECT id, size, {_marks('context')} AS t, list_distinct(CASE WHEN easy THEN {_marks('answer')} ELSE {_marks('question')} END) AS qs FROM ex)",
+    "pos AS (SELECT id, size, unnest(range(len(t))) AS p, t, qs FROM ct)",
+    "ch AS (SELECT id, p // size AS c, t[p + 1] AS tok, p, qs FROM pos)",
+    "sc AS (SELECT id, c, count(DISTINCT tok) AS nd, any_value(len(qs)) AS nq, count(DISTINCT CASE WHEN list_contains(qs, tok) THEN tok END) AS ov FROM ch GROUP BY id, c)",
+    "sco AS (SELECT id, c, round(ov / greatest(nq, 1)::DOUBLE + ov / greatest(nd, 1)::DOUBLE, 9) AS score FROM sc)",
+    "od AS (SELECT ch.id, tok, row_number() OVER (PARTITION BY ch.id ORDER BY score DESC, ch.c, p) AS r FROM ch JOIN sco ON ch.id = sco.id AND ch.c = sco.c)",
+    "sel AS (SELECT id, string_agg(tok, ' ' ORDER BY r) AS context FROM od WHERE r <= 1200 GROUP BY id)",
+    "SELECT id, question, sel.context AS context, answer, answer AS reference, size::INTEGER AS chunk_size, CASE WHEN easy THEN 'answer' ELSE 'question' END AS query_mode FROM ex JOIN sel USING (id) WHERE answer <> ''",
+]
+
+
+@query(_with(*CURRICULUM))
 def curriculum_records(spark, sf_dir):
     return prepare.curriculum_records(examples(spark, sf_dir), [50, 100, 200, 500], 1200, 0.5)
 
@@ -643,50 +711,26 @@ VOCAB = [
     f"vt AS (SELECT id, 0 AS f, generate_subscripts(t, 1) AS p, unnest(t) AS token FROM (SELECT id, {_marks('prediction')} AS t FROM pairs) UNION ALL SELECT id, 1, generate_subscripts(t, 1), unnest(t) FROM (SELECT id, {_marks('reference')} AS t FROM pairs))",
     "vc AS (SELECT token, count(*) AS freq, min((id, f, p)) AS first FROM vt GROUP BY token HAVING count(*) >= 2)",
     "vocab AS (SELECT token, (row_number() OVER (ORDER BY freq DESC, first) + 3)::INTEGER AS idx, freq FROM vc UNION ALL SELECT * FROM (VALUES ('<pad>', 0, 0), ('<unk>', 1, 0), ('<bos>', 2, 0), ('<eos>', 3, 0)) AS s(token, idx, freq))",
-    "vocab500 AS (SELECT * FROM vocab WHERE idx < 500)",
+    "vocab30000 AS (SELECT * FROM vocab WHERE idx < 30000)",
 ]
 
 
-@query(_with(*VOCAB, "SELECT token, idx, freq FROM vocab500"))
+@query(_with(*VOCAB, "SELECT token, idx, freq FROM vocab30000"))
 def vocab_topn(spark, sf_dir):
-    return prepare.vocabulary(pairs(spark, sf_dir), ["prediction", "reference"], 2, 500)
-
-
-@query(
-    _with(
-        *VOCAB,
-        f"e AS (SELECT id, generate_subscripts(t, 1) AS p, unnest(t) AS token FROM (SELECT id, {_marks('prediction')} AS t FROM pairs))",
-        "l AS (SELECT id, list_concat([2], list_concat(list(coalesce(idx, 1) ORDER BY p), [3])) AS ids FROM e LEFT JOIN vocab500 USING (token) GROUP BY id)",
-        "SELECT id, list_transform(range(1, 33), lambda i: coalesce(ids[i], 0)::INTEGER) AS ids FROM l",
-    )
-)
-def encode_padded(spark, sf_dir):
-    rows = pairs(spark, sf_dir)
-    vocab = prepare.vocabulary(rows, ["prediction", "reference"], 2, 500)
-    return prepare.encode(rows.select("id", text.words_and_marks("prediction").alias("tokens")), vocab, 32, bos_eos=True)
-
-
-VOCAB_FULL = [*VOCAB[:-1], "vocab30000 AS (SELECT * FROM vocab WHERE idx < 30000)"]
-
-
-@query(_with(*VOCAB_FULL, "SELECT token, idx, freq FROM vocab30000"))
-def vocab_topn_full(spark, sf_dir):
-    """vocab_topn with the reference's size."""
     return prepare.vocabulary(pairs(spark, sf_dir), ["prediction", "reference"], 2, 30_000)
 
 
 @query(
     _with(
-        *VOCAB_FULL,
+        *VOCAB,
         f"e AS (SELECT id, generate_subscripts(t, 1) AS p, unnest(t) AS token FROM (SELECT id, {_marks('prediction')} AS t FROM pairs))",
         "l AS (SELECT id, list_concat([2], list_concat(list(coalesce(idx, 1) ORDER BY p), [3])) AS ids FROM e LEFT JOIN vocab30000 USING (token) GROUP BY id)",
         "SELECT id, list_transform(range(1, 1201), lambda i: coalesce(ids[i], 0)::INTEGER) AS ids FROM l",
     )
 )
-def encode_padded_full(spark, sf_dir):
-    """encode_padded with the reference's vocabulary and length of a context."""
+def encode_padded(spark, sf_dir):
     rows = pairs(spark, sf_dir)
-    return prepare.encode(rows.select("id", text.words_and_marks("prediction").alias("tokens")), vocab_topn_full(spark, sf_dir), 1200, bos_eos=True)
+    return prepare.encode(rows.select("id", text.words_and_marks("prediction").alias("tokens")), vocab_topn(spark, sf_dir), 1200, bos_eos=True)
 
 
 @query(
@@ -708,14 +752,14 @@ def evidence_sentence(spark, sf_dir):
 @query(
     _with(
         EXAMPLES,
-        f"t AS (SELECT id, {_marks('context')} AS c, list_slice({_marks('answer')}, 1, 3) AS n FROM examples)",
+        f"t AS (SELECT id, {_marks('context')} AS c, {_marks('answer')} AS n FROM examples)",
         "h AS (SELECT id, unnest(range(len(c) - len(n) + 1)) AS i, c, n FROM t WHERE len(n) > 0 AND len(n) <= len(c))",
         "f AS (SELECT id, min(i)::INTEGER AS start FROM h WHERE c[i + 1] = n[1] AND list_slice(c, i + 1, i + len(n)) = n GROUP BY id)",
         "SELECT id, start FROM examples LEFT JOIN f USING (id)",
     )
 )
 def subsequence_find(spark, sf_dir):
-    df = examples(spark, sf_dir).select("id", text.words_and_marks("context").alias("c"), F.slice(text.words_and_marks("answer"), 1, 3).alias("n"))
+    df = examples(spark, sf_dir).select("id", text.words_and_marks("context").alias("c"), text.words_and_marks("answer").alias("n"))
     return df.select("id", prepare.find_run("c", "n").alias("start"))
 
 
@@ -788,13 +832,56 @@ def sliding_windows(spark, sf_dir):
     return df.select("id", "w.start", F.size("w.tokens").alias("size"), F.element_at("w.tokens", 1).alias("head"))
 
 
-SPANS = "(1, 3, 5), (2, 0, 0), (3, 10, 19), (4, 39, 39)"
+@query("SELECT vec_id AS id, list_transform(range(40), lambda i: (i >= vec_id % 40 AND i <= vec_id % 40 + label)::INTEGER) AS content, list_transform(range(4), lambda i: (i = least(3, vec_id % 40 // 10))::INTEGER) AS passage FROM embeddings")
+def span_labels(spark, sf_dir):
+    """Labels of a span of label + 1 tokens of each vector's row."""
+    start = (F.col("vec_id") % 40).cast("int")
+    content, passage = prepare.span_labels(start, start + F.col("label"), 4, 10)
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), content.alias("content"), passage.alias("passage"))
 
 
-@query(f"SELECT id, list_transform(range(40), lambda i: (i >= s AND i <= e)::INTEGER) AS content, list_transform(range(4), lambda i: (i = least(3, s // 10))::INTEGER) AS passage FROM (VALUES {SPANS}) AS t(id, s, e)")
-def span_labels(spark, sf_dir):
-    content, passage = prepare.span_labels(F.col("s"), F.col("e"), 4, 10)
-    return spark.sql(f"SELECT * FROM VALUES {SPANS} AS t(id, s, e)").select("id", content.alias("content"), passage.alias("passage"))
+# a span of each labelled document: from its 40th character on, 1 to 60 characters; every seventh has none
+SPANNED = EXAMPLES + ", spanned AS (SELECT id, context, CASE WHEN id % 7 > 0 THEN 40 + id % 100 END AS s, CASE WHEN id % 7 > 0 THEN 41 + id % 100 + id % 60 END AS e FROM examples)"
+
+
+def _spanned(spark, sf_dir):
+    i = F.col("id")
+    df = examples(spark, sf_dir).withColumn("answer_start", F.when(i % 7 > 0, 40 + i % 100).cast("int"))
+    return df.withColumn("answer_end", F.when(i % 7 > 0, 41 + i % 100 + i % 60).cast("int"))
+
+
+# a context's sentences with single spaces are looked for where white space is as they have it; others stand behind the one before
+@query(
+    _with(
+        SPANNED.replace("SELECT id, context, CASE", f"SELECT id, trim(regexp_replace(context, {SP}, ' ', 'g')) AS context, CASE"),
+        "cut AS (SELECT id, context, s, e, string_split(regexp_replace(context, '([.!?。！？]) ', '\\1' || chr(1) || ' ', 'g'), chr(1)) AS p FROM spanned)",
+        "each AS (SELECT id, s, e, generate_subscripts(p, 1) AS i, unnest(p) AS part FROM cut)",
+        "placed AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM each)",
+        "lab AS (SELECT id, i, before + length(part) - length(trim(part)) AS a, before + length(part) AS b, s, e FROM placed WHERE trim(part) <> '')",
+        "SELECT id, list(CASE WHEN s IS NULL THEN NULL ELSE (a < e AND b > s)::INTEGER END ORDER BY i) AS evidence_labels FROM lab GROUP BY id",
+    )
+)
+def sentence_labels(spark, sf_dir):
+    """Which sentences of a labelled document a span touches; texts are single-spaced first."""
+    df = _spanned(spark, sf_dir).withColumn("context", text.single_spaced("context"))
+    return records.sentence_labels(df).filter("size(sentences) > 0").select("id", "evidence_labels")
+
+
+@query(
+    _with(
+        SPANNED,
+        f"tok AS (SELECT id, context, s, e, list_slice({_marks('context')}, 1, 800) AS t FROM spanned)",
+        # the character before each token: what is left of the text is cut behind it
+        rf"gap AS (SELECT id, s, e, length(context) AS n, list_slice(regexp_extract_all(lower(context), '[\s\p{{Z}}\x0b\x1c-\x1f\x85]*(?:[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x0b\x1c-\x1f\x85])'), 1, 800) AS g, t FROM tok)",
+        "each AS (SELECT id, s, e, n, generate_subscripts(t, 1) AS i, unnest(t) AS tok, unnest(g) AS own FROM gap)",
+        "ends AS (SELECT *, sum(length(own)) OVER (PARTITION BY id ORDER BY i) AS b FROM each)",
+        "hit AS (SELECT id, min(i) AS a, max(i) AS z FROM ends WHERE s < e AND e <= n AND b > s AND b - length(tok) < e GROUP BY id)",
+        "SELECT id, list_transform(range(1, 801), lambda i: coalesce(i = a, false)::INTEGER) AS start_flags, list_transform(range(1, 801), lambda i: coalesce(i = z, false)::INTEGER) AS end_flags FROM spanned LEFT JOIN hit USING (id)",
+    )
+)
+def token_flags(spark, sf_dir):
+    """The first and last of a document's 800 leading tokens, the length of an S-NET reader's context, that a span touches."""
+    return records.token_flags(_spanned(spark, sf_dir), 800).select("id", "start_flags", "end_flags")
 
 
 # ---- generation metrics
@@ -846,25 +933,15 @@ def textgen_metrics_mean(spark, sf_dir):
 
 # ---- decoding
 
-LOGITS = """SELECT * FROM VALUES
-(1, array(array(0.1D, 0.2D, 0.0D, 0.3D, 0.9D, 0.1D), array(0.0D, 0.1D, 0.2D, 0.1D, 0.3D, 0.8D), array(0.0D, 0.0D, 0.0D, 0.9D, 0.1D, 0.2D), array(0.0D, 0.0D, 0.0D, 0.1D, 0.9D, 0.2D))),
-(2, array(array(0.0D, 0.0D, 0.9D, 0.3D, 0.1D, 0.1D), array(0.9D, 0.1D, 0.2D, 0.1D, 0.3D, 0.8D), array(0.0D, 0.9D, 0.0D, 0.1D, 0.1D, 0.2D))),
-(3, array(array(0.0D, 0.0D, 0.0D, 0.5D, 0.5D, 0.1D)))
-AS t(id, logits)"""
-
-
-def _rows(sql: str, name: str, columns: str) -> str:
-    """The same literal rows for DuckDB, as a named table."""
-    values = re.sub(r"(\d)D\b", r"\1", sql.partition("VALUES")[2].rpartition("AS t(")[0]).replace("array(", "list_value(")
-    return f"{name}({columns}) AS (VALUES {values})"
-
-
-NAMES = ["<pad>", "<unk>", "<bos>", "<eos>", "điều", "luật"]
+NAMES = ["<pad>", "<unk>", "<bos>", "<eos>", "điều", "luật", "khoản", "mục"]
+#: A vector's 64 numbers as logits: of eight steps over eight tokens, or of the starts and ends of 32 places.
+STEPS = "lg AS (SELECT vec_id AS id, list_transform(range(8), lambda i: embedding[i * 8 + 1:i * 8 + 8]) AS logits FROM embeddings)"
+WINDOWS = "sr AS (SELECT vec_id // 4 AS id, (vec_id % 4)::INTEGER AS win, label % 5 AS off, 20 + label AS n_tokens, embedding[1:32] AS s, embedding[33:64] AS e, list_transform(range(24 + label % 8), lambda i: 't' || i) AS tokens FROM embeddings)"
 
 
 @query(
     _with(
-        _rows(LOGITS, "lg", "id, logits"),
+        STEPS,
         f"tk AS (SELECT id, list_transform(logits, lambda s: list_extract({NAMES}, list_position(s, list_max(s)))) AS t FROM lg)",
         "st AS (SELECT id, t, coalesce(list_position(t, '<eos>'), 0) AS stop FROM tk)",
         "SELECT id, array_to_string(list_filter(CASE WHEN stop > 0 THEN t[1:stop - 1] ELSE t END, lambda x: x NOT IN ('<pad>', '<bos>')), ' ') AS decoded FROM st",
@@ -872,47 +949,51 @@ NAMES = ["<pad>", "<unk>", "<bos>", "<eos>", "điều", "luật"]
 )
 def greedy_decode(spark, sf_dir):
     names = F.create_map(*[F.lit(x) for pair in enumerate(NAMES) for x in pair])
-    return spark.sql(LOGITS).select("id", decode.greedy_decode("logits", names).alias("decoded"))
-
-
-SPAN_ROWS = """SELECT * FROM VALUES
-(1, 0, 1, 4, array(0.1D, 0.9D, 0.3D, 0.2D, 0.1D), array(0.0D, 0.2D, 0.8D, 0.9D, 0.1D), array('a', 'b', 'c', 'd')),
-(1, 1, 0, 3, array(0.7D, 0.2D, 0.95D), array(0.1D, 0.9D, 0.2D), array('e', 'f', 'g')),
-(2, 0, 0, 3, array(0.1D, 0.2D, 0.9D), array(0.9D, 0.1D, 0.2D), array('x', 'y', 'z'))
-AS t(id, window, offset, n_tokens, start_logits, end_logits, tokens)"""
-
-
-SPAN_TABLE = _rows(SPAN_ROWS, "sr", "id, win, off, n_tokens, s, e, tokens")
+    logits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), decode.greedy_decode(logits, names).alias("decoded"))
+
+
+def _windows(spark, sf_dir):
+    label = F.col("label")
+    return table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / 4).alias("id"),
+        (F.col("vec_id") % 4).cast("int").alias("window"),
+        (label % 5).alias("offset"),
+        (20 + label).alias("n_tokens"),
+        F.slice("embedding", 1, 32).cast("array<double>").alias("start_logits"),
+        F.slice("embedding", 33, 32).cast("array<double>").alias("end_logits"),
+        F.transform(F.sequence(F.lit(0), 23 + label % 8), lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("tokens"),
+    )
 
 
-@query(_with(SPAN_TABLE, "ab AS (SELECT *, list_position(s, list_max(s)) AS a, list_position(e, list_max(e)) AS b FROM sr)", "SELECT id, win, array_to_string(tokens[a:least(greatest(a, b), len(tokens))], ' ') AS span FROM ab"))
+@query(_with(WINDOWS, "ab AS (SELECT *, list_position(s, list_max(s)) AS a, list_position(e, list_max(e)) AS b FROM sr)", "SELECT id, win, array_to_string(tokens[a:least(greatest(a, b), len(tokens))], ' ') AS span FROM ab"))
 def span_decode(spark, sf_dir):
-    return spark.sql(SPAN_ROWS).select("id", F.col("window").alias("win"), decode.span_decode("start_logits", "end_logits", "tokens").alias("span"))
+    return _windows(spark, sf_dir).select("id", F.col("window").alias("win"), decode.span_decode("start_logits", "end_logits", "tokens").alias("span"))
 
 
 @query(
     _with(
-        SPAN_TABLE,
-        "st AS (SELECT id, win, off, n_tokens, generate_subscripts(s, 1) - 1 - off AS a, unnest(s)::DOUBLE AS x FROM sr)",
-        "en AS (SELECT id, win, generate_subscripts(e, 1) - 1 - off AS b, unnest(e)::DOUBLE AS y FROM sr)",
-        "pr AS (SELECT id, win, a, b, x + y AS score, x, y FROM st JOIN en USING (id, win) WHERE a >= 0 AND b >= a AND b < n_tokens AND b - a + 1 <= 30)",
-        "SELECT id, win, a::INTEGER AS span_start, b::INTEGER AS span_end, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, win, x DESC, a, y DESC, b) AS r FROM pr) WHERE r = 1",
+        WINDOWS,
+        "st AS (SELECT id, win, off, n_tokens, generate_subscripts(s, 1) - 1 AS i, unnest(s)::DOUBLE AS x FROM sr)",
+        "en AS (SELECT id, win, off, generate_subscripts(e, 1) - 1 AS i, unnest(e)::DOUBLE AS y FROM sr)",
+        "s20 AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY id, win ORDER BY x DESC, i) <= 20)",
+        "e20 AS (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY id, win ORDER BY y DESC, i) <= 20)",
+        "pr AS (SELECT id, win, s20.i - s20.off AS a, e20.i - e20.off AS b, n_tokens, x, y FROM s20 JOIN e20 USING (id, win))",
+        "ok AS (SELECT *, x + y AS score FROM pr WHERE a >= 0 AND b >= a AND b < n_tokens AND b - a + 1 <= 30)",
+        "SELECT id, win, a::INTEGER AS span_start, b::INTEGER AS span_end, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, win, x DESC, a, y DESC, b) AS r FROM ok) WHERE r = 1",
     )
 )
 def best_span_pairs(spark, sf_dir):
-    best = decode.best_span_pairs(spark.sql(SPAN_ROWS).drop("tokens"))
+    best = decode.best_span_pairs(_windows(spark, sf_dir).drop("tokens"))
     return best.select("id", F.col("window").alias("win"), F.col("start").cast("int").alias("span_start"), F.col("end").cast("int").alias("span_end"), F.round("score", 6).alias("score"))
 
 
-EPOCHS = "('a', 1, 0.1), ('a', 2, 0.3), ('a', 3, 0.2), ('a', 4, 0.3), ('a', 5, 0.1), ('a', 6, 0.9), ('b', 1, 0.5), ('b', 2, 0.6), ('b', 3, 0.7)"
-
-
 BEFORE = "(PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
 @query(
     _with(
-        f"ep(run, epoch, score) AS (VALUES {EPOCHS})",
+        "ep AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value AS score FROM events)",
         f"bt AS (SELECT *, coalesce(score > max(score) OVER {BEFORE}, true) AS better FROM ep)",
         "ls AS (SELECT *, max(CASE WHEN better THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS last FROM bt)",
         f"sp AS (SELECT *, coalesce(max((epoch - last >= 3)::INTEGER) OVER {BEFORE}, 0) AS stopped FROM ls)",
@@ -920,5 +1001,33 @@ BEFORE = "(PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND
     )
 )
 def early_stop_epoch(spark, sf_dir):
-    df = spark.sql(f"SELECT run, epoch, CAST(score AS DOUBLE) AS score FROM VALUES {EPOCHS} AS t(run, epoch, score)")
-    return decode.early_stopping(df, 3)
+    """Each user's events as the epochs of a run, their values as its scores."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return decode.early_stopping(table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), place.alias("epoch"), F.col("value").alias("score")), 3)
+
+
+# a text is twelve vectors, eight of a prediction and four of its reference; labels are the tokens
+TOKENS = [
+    "tok AS (SELECT vec_id // 12 AS id, vec_id % 12 AS p, label, embedding AS v FROM embeddings)",
+    "idf AS (SELECT label, ln(((SELECT count(DISTINCT id) FROM tok WHERE p >= 8) + 1) / (count(DISTINCT id) + 1)::DOUBLE) AS w FROM tok WHERE p >= 8 GROUP BY label)",
+    "wt AS (SELECT id, p, v, coalesce(w, ln((SELECT count(DISTINCT id) FROM tok WHERE p >= 8) + 1)) AS w FROM tok LEFT JOIN idf USING (label))",
+    "cos AS (SELECT a.id, a.p AS i, b.p AS j, a.w AS wa, b.w AS wb, list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[]) / sqrt(list_dot_product(a.v::DOUBLE[], a.v::DOUBLE[]) * list_dot_product(b.v::DOUBLE[], b.v::DOUBLE[])) AS s FROM wt a JOIN wt b ON a.id = b.id AND a.p < 8 AND b.p >= 8)",
+    "pre AS (SELECT id, CASE WHEN sum(w) = 0 THEN 0 ELSE sum(s * w) / sum(w) END AS p FROM (SELECT id, i, max(s) AS s, any_value(wa) AS w FROM cos GROUP BY id, i) GROUP BY id)",
+    "rec AS (SELECT id, CASE WHEN sum(w) = 0 THEN 0 ELSE sum(s * w) / sum(w) END AS r FROM (SELECT id, j, max(s) AS s, any_value(wb) AS w FROM cos GROUP BY id, j) GROUP BY id)",
+    "ids AS (SELECT DISTINCT id FROM tok)",
+    "SELECT id, round(coalesce(p, 0), 5) AS precision, round(coalesce(r, 0), 5) AS recall, round(coalesce(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 0), 5) AS f1 FROM ids LEFT JOIN pre USING (id) LEFT JOIN rec USING (id)",
+]
+
+
+@query(_with(*TOKENS))
+def bert_score(spark, sf_dir):
+    """BERTScore with idf weights, the given vectors standing for a model's token vectors."""
+    tokens = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 12).alias("id"), (F.col("vec_id") % 12).alias("p"), "label", "embedding")
+    references = tokens.filter("p >= 8")
+    idf = metrics.token_idf(references, "id", "label")
+    unknown = F.log(F.lit(references.select("id").distinct().count() + 1.0))  # a token that no reference has
+    weighted = tokens.join(idf, "label", "left").withColumn("w", F.coalesce("idf", unknown))
+    side = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.struct("p", "embedding", "w"))))
+    both = weighted.groupBy("id").agg(side(F.col("p") < 8).alias("a"), side(F.col("p") >= 8).alias("b"))
+    scored = both.select("id", metrics.vector_match(F.col("a.embedding"), F.col("b.embedding"), F.col("a.w"), F.col("b.w")).alias("m"))
+    return scored.select("id", *[F.round(f"m.{c}", 5).alias(c) for c in ("precision", "recall", "f1")])

@@ -314,7 +314,7 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps(split))
     base = ["--data-dir", str(tmp_path), "--context-dir", str(folder), "--splits", "s.json"]
     for name in ("bm25", "hybrid"):
-        out = cli.main(["retrieve", *base, "--retriever", name, "--top-k", "2", "--output-dir", str(tmp_path / "out")])
+        out = cli.main(["retrieve", *base, "--retriever", name, "--top-k", "2", "--corpus-scope", "contexts", "--output-dir", str(tmp_path / "out")])
         assert out["documents"] == 3 and out["splits"]["s.json"]["hit_at_1"] == 1.0
     rows = spark.read.json(str(tmp_path / "out/s_bm25_top2")).collect()
     assert {r.question for r in rows} == {"alpha beta", "kappa"} and rows[0].retrieved_contexts[0].rank == 1
