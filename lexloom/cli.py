@@ -116,10 +116,15 @@ def prepare_files(spark: SparkSession, a: argparse.Namespace) -> dict:
         common = {"split": name, "limit": a.limit, "chars": records.CONTEXT_CHARS}
         kinds = {
             "curriculum": (common | {"sizes": sizes, "budget": a.budget, "easy": a.easy_ratio, "version": 2}, lambda e=curriculum, s=sizes: prepare.curriculum_records(e, s, a.budget, a.easy_ratio)),
+            "seq2seq": (common | {"version": 1}, lambda e=curriculum: records.seq2seq_rows(e)),
             "extractive": (common | {"version": 2}, lambda e=examples: prepare.extractive_records(e)),
         }
         for kind, (parameters, build) in kinds.items():
             out[f"{name}:{kind}"] = cache.load_or_build(spark, f"{a.cache_dir}/{kind}", parameters, build, inputs).count()
+        if a.tokenizer:
+            lengths = {"max_input_length": a.max_input_length, "max_target_length": a.max_target_length, "pad_token_id": a.pad_token_id}
+            build = lambda e=curriculum: records.seq2seq_features(records.seq2seq_rows(e), a.tokenizer, *lengths.values())
+            out[f"{name}:seq2seq_tokens"] = cache.load_or_build(spark, f"{a.cache_dir}/seq2seq_tokens", common | lengths | {"tokenizer": a.tokenizer}, build, inputs).count()
         if a.epochs:
             made = prepare.curriculum_epochs(curriculum, sizes, a.budget, a.easy_ratio, a.easy_ratio_decay, a.epochs, f"{a.cache_dir}/epochs/{name.removesuffix('.json')}")
             out[f"{name}:epochs"] = made.count()
@@ -159,6 +164,10 @@ def parser() -> argparse.ArgumentParser:
     three.add_argument("--chunk-sizes", default="50,100,200,500")
     three.add_argument("--budget", type=int, default=1200)
     three.add_argument("--easy-ratio", type=float, default=0.5)
+    three.add_argument("--tokenizer", help="a file of the tokenizers library, at the same place on each executor: write token caches as well")
+    three.add_argument("--max-input-length", type=int, default=1024)
+    three.add_argument("--max-target-length", type=int, default=256)
+    three.add_argument("--pad-token-id", type=int, default=0)
     three.add_argument("--easy-ratio-decay", type=float, default=0.25)
     three.add_argument("--epochs", type=int, default=0, help="write the records of so many training epochs as well")
     return top

@@ -13,6 +13,7 @@ from lexloom.functions.text import article_number, sentences, single_spaced, wor
 
 from .articles import article_intervals, windowed
 from .index import small
+from .store import numbered
 
 #: Characters of a context.
 CONTEXT_CHARS = 12_000
@@ -194,3 +195,31 @@ def reader_features(df: DataFrame, path: str, max_length: int, stride: int, pad_
         (F.col("start_position") + F.size("question")).alias("start_positions"),
         (F.col("end_position") + F.size("question")).alias("end_positions"),
     )
+
+
+def seq2seq_rows(examples: DataFrame, most: int = CONTEXT_CHARS) -> DataFrame:
+    """(id, question, context, answer) of a generator's training rows, single-spaced; rows that lack one of them leave."""
+    df = examples.select("id", single_spaced("question").alias("question"), F.substring(single_spaced("context"), 1, most).alias("context"), single_spaced("answer").alias("answer"))
+    return df.filter("question <> '' and context <> '' and answer <> ''")
+
+
+#: A label that no loss counts (fixed value).
+IGNORED = -100
+
+
+def seq2seq_features(rows: DataFrame, path: str, max_input: int, max_target: int, pad_id: int = 0) -> DataFrame:
+    """(id, input_ids, attention_mask, labels) of seq2seq_rows(): the prompt's and the answer's first tokens, padded; padding is no label."""
+    own = rows.select("id", encoded(prompt("question", "context"), path).alias("x"), encoded("answer", path).alias("y"))
+    ids, target = F.slice("x.ids", 1, max_input), F.slice("y.ids", 1, max_target)
+    fill = lambda value, size, to: F.array_repeat(F.lit(value), F.lit(to) - size)
+    labels = F.transform(F.concat(target, fill(pad_id, F.size(target), max_target)), lambda i: F.when(i == pad_id, F.lit(IGNORED)).otherwise(i))
+    mask = F.concat(F.array_repeat(F.lit(1), F.size(ids)), fill(0, F.size(ids), max_input))
+    return own.select("id", F.concat(ids, fill(pad_id, F.size(ids), max_input)).alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels"))
+
+
+def zipped(left: DataFrame, left_order: list[Column], right: DataFrame, right_order: list[Column], name: str = "zip") -> DataFrame:
+    """Rows of two tables side by side by their places in an order, up to the shorter one's end; adds place, from 0.
+
+    Both are numbered by sorted ranges and joined on the number, so no task orders all rows. Columns must differ.
+    """
+    return numbered(left, left_order, f"{name}-left", "place").join(numbered(right, right_order, f"{name}-right", "place"), "place")

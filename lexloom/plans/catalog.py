@@ -7,13 +7,15 @@ assistant's next one. Gold: documents that contain a benchmark text.
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Callable
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from lexloom.functions import metrics, text
-from lexloom.operators import cache, decode, evaluate, index, latent, prepare, rank, records, retrieve
+from lexloom.operators import cache, decode, evaluate, index, latent, prepare, rank, records, retrieve, store
+from lexloom.sources import json_io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -651,9 +653,9 @@ def _chunked(spark, sf_dir):
     return prepare.scored_chunks(examples(spark, sf_dir).select("id", F.col("question").alias("query"), "context"), 50)
 
 
-@query(_with(*CHUNK[:-1], "SELECT id, chunk, size FROM sc"))
+@query(_with(*CHUNK[:4], "SELECT id, c::INTEGER AS chunk, list(tok ORDER BY p) AS tokens FROM ch GROUP BY id, c"))
 def chunk_tokens(spark, sf_dir):
-    return _chunked(spark, sf_dir).select("id", F.posexplode("parts").alias("chunk", "c")).select("id", "chunk", F.size("c").alias("size")).filter("size > 0")
+    return _chunked(spark, sf_dir).select("id", F.posexplode("parts").alias("chunk", "tokens")).filter("size(tokens) > 0")
 
 
 @query(_with(*CHUNK, "SELECT id, chunk, round(score, 6) AS score FROM sco"))
@@ -820,16 +822,132 @@ def extractive_records(spark, sf_dir):
     return prepare.extractive_records(df)
 
 
-@query(_with(EXAMPLES, f"t AS (SELECT id, {_marks('context')} AS c FROM examples)", "p AS (SELECT id, c, unnest(range(greatest(ceil(len(c) / 128.0)::INTEGER, 1))) AS k FROM t)", "SELECT id, k::INTEGER AS passage, len(list_slice(c, k * 128 + 1, k * 128 + 128))::INTEGER AS size, coalesce(c[k * 128 + 1], '') AS head FROM p"))
+# a span of each labelled document: from its 40th character on, 1 to 60 characters; every seventh has none
+SPANNED = EXAMPLES + ", spanned AS (SELECT id, context, CASE WHEN id % 7 > 0 THEN 40 + id % 100 END AS s, CASE WHEN id % 7 > 0 THEN 41 + id % 100 + id % 60 END AS e FROM examples)"
+
+
+def _spanned(spark, sf_dir):
+    i = F.col("id")
+    df = examples(spark, sf_dir).withColumn("answer_start", F.when(i % 7 > 0, 40 + i % 100).cast("int"))
+    return df.withColumn("answer_end", F.when(i % 7 > 0, 41 + i % 100 + i % 60).cast("int"))
+
+
+# spans that are given: every seventh record has none; spans count in the cut and single-spaced context
+GIVEN = f"ex AS (SELECT id, question, {_spaced('answer')} AS a, left({_spaced('context')}, {CONTEXT_CHARS}) AS c FROM examples)"
+
+
+@query(
+    _with(
+        SPANNED,
+        GIVEN,
+        *CHARS[:-1],
+        CHARS[-1].replace("chars AS", "sought_chars AS"),
+        "chars AS (SELECT id, s, e FROM spanned JOIN ex USING (id) WHERE s IS NOT NULL AND e <= length(c) UNION ALL SELECT id, s, e FROM sought_chars WHERE id NOT IN (SELECT id FROM spanned WHERE s IS NOT NULL))",
+        f"tok AS (SELECT id, {_marks('c')} AS t, {_marks('a')} AS a FROM ex)",
+        rf"exact AS (SELECT id, len({_marks('left(c, s)')}) - CASE WHEN s > 0 AND regexp_full_match(substr(c, s, 2), '[\p{{L}}\p{{N}}_]{{2}}') THEN 1 ELSE 0 END AS s, len({_marks('left(c, e)')}) - 1 AS e FROM chars JOIN ex USING (id))",
+        "found AS (SELECT * FROM exact WHERE s <= e)",
+        "joined AS (SELECT id, len(a) AS n, chr(10) || array_to_string(t, chr(10)) || chr(10) AS x, chr(10) || array_to_string(a, chr(10)) || chr(10) AS y FROM tok WHERE len(a) > 0 AND id NOT IN (SELECT id FROM chars))",
+        "run AS (SELECT id, len(string_split(left(x, strpos(x, y) - 1), chr(10))) - 1 AS s, s + n - 1 AS e FROM joined WHERE strpos(x, y) > 0)",
+        "ot AS (SELECT id, t, a FROM tok WHERE id NOT IN (SELECT id FROM found) AND id NOT IN (SELECT id FROM run))",
+        *OVERLAP,
+        "spans AS (SELECT * FROM found UNION ALL SELECT * FROM run UNION ALL SELECT * FROM best)",
+        """SELECT id, array_to_string(list_slice(t, s + 1, e + 1), ' ') AS answer, s::INTEGER AS start, e::INTEGER AS "end" FROM spans JOIN tok USING (id) JOIN ex USING (id) WHERE e < 1536 AND trim(question) <> '' AND trim(ex.a) <> ''""",
+    )
+)
+def extractive_records_given(spark, sf_dir):
+    """extractive_records where most examples come with the characters of their answer."""
+    return prepare.extractive_records(_spanned(spark, sf_dir)).select("id", "answer", "start", "end")
+
+
+@query(_with(EXAMPLES, f"s AS (SELECT id, {_spaced('question')} AS question, left({_spaced('context')}, {CONTEXT_CHARS}) AS context, {_spaced('answer')} AS answer FROM examples)", "SELECT * FROM s WHERE question <> '' AND context <> '' AND answer <> ''"))
+def seq2seq_rows(spark, sf_dir):
+    return records.seq2seq_rows(examples(spark, sf_dir))
+
+
+@query(
+    _with(
+        "a AS (SELECT conv_id AS said_conv, turn AS said_turn, text AS prediction, row_number() OVER (ORDER BY conv_id, turn) - 1 AS place FROM conversations WHERE role = 'user')",
+        "b AS (SELECT conv_id AS reply_conv, turn AS reply_turn, text AS reference, row_number() OVER (ORDER BY conv_id, turn) - 1 AS place FROM conversations WHERE role = 'assistant')",
+        "SELECT * FROM a JOIN b USING (place)",
+    )
+)
+def positional_zip(spark, sf_dir):
+    """Predictions and references paired by their places alone: the n-th user turn with the n-th assistant turn."""
+    turns = table(spark, sf_dir, "conversations")
+    side = lambda role, conv, turn, name: turns.filter(F.col("role") == role).select(F.col("conv_id").alias(conv), F.col("turn").alias(turn), F.col("text").alias(name))
+    said, reply = side("user", "said_conv", "said_turn", "prediction"), side("assistant", "reply_conv", "reply_turn", "reference")
+    return records.zipped(said, [F.asc("said_conv"), F.asc("said_turn")], reply, [F.asc("reply_conv"), F.asc("reply_turn")])
+
+
+# ---- sources and sinks, over files that are written from the given tables
+
+
+def _folder(spark, name: str) -> str:
+    return f"{store.shared_folder(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
+
+
+def _split_file(spark, sf_dir) -> str:
+    """The labelled documents as one JSON object of records, in order of ids: keys k<id>, every third with an id of its own, contexts a map or a list."""
+    i = F.col("id")
+    refs = lambda x: F.struct(F.concat(F.lit("context_"), x.cast("string"), F.lit(".json")).alias("content"), (x % 9).cast("string").alias("điều"))
+    common = ["question", "answer", F.when(i % 4 == 0, F.col("context")).alias("passage")]
+    listed = F.to_json(F.struct(*common, F.array(refs(i), refs(i + 1)).alias("contexts"), F.when(i % 3 == 0, F.concat(F.lit("own"), i.cast("string"))).alias("id")))
+    mapped = F.to_json(F.struct(*common, F.create_map(F.lit("a"), refs(i), F.lit("b"), refs(i + 1)).alias("contexts"), F.when(i % 3 == 0, F.concat(F.lit("own"), i.cast("string"))).alias("id")))
+    rows = examples(spark, sf_dir).select("id", F.concat(F.lit('"k'), i.cast("string"), F.lit('": '), F.when(i % 2 == 0, listed).otherwise(mapped)).alias("value"))
+    last = rows.agg(F.max("id")).first()[0]
+    lines = rows.select("id", F.when(i < last, F.concat("value", F.lit(","))).otherwise(F.concat("value", F.lit("}"))).alias("value"))
+    head = spark.createDataFrame([(-1, "{")], "id long, value string")
+    path = _folder(spark, "split")
+    # one file is what the format is; its rows are sorted by ranges before they are put into it
+    lines.unionByName(head).orderBy("id").select("value").coalesce(1).write.text(path)
+    return path
+
+
+@query(
+    _with(
+        EXAMPLES,
+        "SELECT CASE WHEN id % 3 = 0 THEN 'own' || id ELSE 'k' || id END AS id, question, answer, CASE WHEN id % 4 = 0 AND trim(context) <> '' THEN context END AS context, 'context_' || id || '.json' AS first_content, ((id + 1) % 9)::VARCHAR AS second_article, (row_number() OVER (ORDER BY id) - 1)::INTEGER AS pos FROM examples",
+    )
+)
+def split_scan(spark, sf_dir):
+    """A split file of all labelled documents, written and read by many tasks."""
+    rows = json_io.read_split(spark, _split_file(spark, sf_dir))
+    return rows.select("id", "question", "answer", "context", F.col("contexts")[0]["content"].alias("first_content"), F.col("contexts")[1]["article"].alias("second_article"), "pos")
+
+
+@query(_with(EXAMPLES, "SELECT DISTINCT 'context_' || unnest([id, id + 1]) || '.json' AS content FROM examples"))
+def split_references(spark, sf_dir):
+    """The context files that the records of a split file refer to, each once."""
+    return json_io.context_references(json_io.read_split(spark, _split_file(spark, sf_dir)))
+
+
+@query(_with(PAIRS, "SELECT id::VARCHAR AS id, reference, prediction, 'm' || id % 3 AS model FROM pairs"))
+def predictions_scan(spark, sf_dir):
+    """Predictions written as JSON lines, half of them with their reference as answer, and read again."""
+    rows, path = pairs(spark, sf_dir), _folder(spark, "predictions")
+    own = rows.select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 2 == 0, F.col("reference")).alias("reference"), F.when(F.col("id") % 2 > 0, F.col("reference")).alias("answer"), "prediction", F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("model"))
+    json_io.write_json_lines(own, path)
+    return json_io.read_predictions(spark, path).select("id", "reference", "prediction", "model")
+
+
+@query(_with(*EVAL, "SELECT query_id, rank::INTEGER AS rank, doc_id, name FROM res JOIN docs USING (doc_id)"))
+def ranked_sink(spark, sf_dir):
+    """Ranked results written as nested JSON lines and read again."""
+    docs, path = corpus(spark, sf_dir), _folder(spark, "ranked")
+    evaluate.write_ranked(retrieve.bm25(docs, asked(spark, sf_dir), index=indexed(spark, sf_dir)), docs.select("doc_id", "name"), path)
+    rows = spark.read.schema("query_id long, retrieved_contexts array<struct<rank:int,doc_id:long,name:string>>").json(path)
+    return rows.select("query_id", F.inline("retrieved_contexts"))
+
+
+@query(_with(EXAMPLES, f"t AS (SELECT id, {_marks('context')} AS c FROM examples)", "p AS (SELECT id, c, unnest(range(greatest(ceil(len(c) / 128.0)::INTEGER, 1))) AS k FROM t)", "SELECT id, k::INTEGER AS passage, list_slice(c, k * 128 + 1, k * 128 + 128) AS tokens FROM p"))
 def passage_split(spark, sf_dir):
-    parts = examples(spark, sf_dir).select("id", F.posexplode(prepare.chunks(text.words_and_marks("context"), 128)).alias("passage", "c"))
-    return parts.select("id", "passage", F.size("c").alias("size"), F.coalesce(F.try_element_at("c", F.lit(1)), F.lit("")).alias("head"))
+    return examples(spark, sf_dir).select("id", F.posexplode(prepare.chunks(text.words_and_marks("context"), 128)).alias("passage", "tokens"))
 
 
-@query(_with(EXAMPLES, f"t AS (SELECT id, {_marks('context')} AS c FROM examples)", "p AS (SELECT id, c, unnest(range(greatest(ceil((len(c) - 200) / 136.0)::INTEGER, 0) + 1)) * 136 AS s FROM t WHERE len(c) > 0)", "SELECT id, s::INTEGER AS start, len(list_slice(c, s + 1, s + 200))::INTEGER AS size, c[s + 1] AS head FROM p"))
+@query(_with(EXAMPLES, f"t AS (SELECT id, {_marks('context')} AS c FROM examples)", "p AS (SELECT id, c, unnest(range(greatest(ceil((len(c) - 200) / 136.0)::INTEGER, 0) + 1)) * 136 AS s FROM t WHERE len(c) > 0)", "SELECT id, s::INTEGER AS start, list_slice(c, s + 1, s + 200) AS tokens FROM p"))
 def sliding_windows(spark, sf_dir):
     df = examples(spark, sf_dir).select("id", F.explode(prepare.windows(text.words_and_marks("context"), 200, 64)).alias("w"))
-    return df.select("id", "w.start", F.size("w.tokens").alias("size"), F.element_at("w.tokens", 1).alias("head"))
+    return df.select("id", "w.start", "w.tokens")
 
 
 @query("SELECT vec_id AS id, list_transform(range(40), lambda i: (i >= vec_id % 40 AND i <= vec_id % 40 + label)::INTEGER) AS content, list_transform(range(4), lambda i: (i = least(3, vec_id % 40 // 10))::INTEGER) AS passage FROM embeddings")
@@ -840,16 +958,6 @@ def span_labels(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), content.alias("content"), passage.alias("passage"))
 
 
-# a span of each labelled document: from its 40th character on, 1 to 60 characters; every seventh has none
-SPANNED = EXAMPLES + ", spanned AS (SELECT id, context, CASE WHEN id % 7 > 0 THEN 40 + id % 100 END AS s, CASE WHEN id % 7 > 0 THEN 41 + id % 100 + id % 60 END AS e FROM examples)"
-
-
-def _spanned(spark, sf_dir):
-    i = F.col("id")
-    df = examples(spark, sf_dir).withColumn("answer_start", F.when(i % 7 > 0, 40 + i % 100).cast("int"))
-    return df.withColumn("answer_end", F.when(i % 7 > 0, 41 + i % 100 + i % 60).cast("int"))
-
-
 # a context's sentences with single spaces are looked for where white space is as they have it; others stand behind the one before
 @query(
     _with(

@@ -322,7 +322,7 @@ def test_command_line(spark, tmp_path):
     got = cli.main(["evaluate", "--predictions", str(tmp_path / "p.jsonl"), "--output", str(tmp_path / "m")])
     assert got["count"] == 2 and got["rouge_l"] == 0.5 and spark.read.json(str(tmp_path / "m/examples")).count() == 2
     made = cli.main(["prepare", *base, "--cache-dir", str(tmp_path / "cache")])
-    assert made == {"s.json:curriculum": 2, "s.json:extractive": 2}
+    assert made == {"s.json:curriculum": 2, "s.json:seq2seq": 2, "s.json:extractive": 2}
     import os
     import time
 

@@ -97,8 +97,8 @@ def test_reader_features_equal_the_librarys_windows(spark, vocabulary):
         n = len(plain.encode(question or "", add_special_tokens=False).ids)
         first = cut.encode(question or "", context, add_special_tokens=False)
         for w, e in enumerate([first, *first.overflowing]):
-            own = [j for j, s in enumerate(e.sequence_ids) if s == 1]
-            if own and e.offsets[own[0]][0] <= a and e.offsets[own[-1]][1] >= z:
+            own = range(n, len(e.ids))
+            if len(own) and e.offsets[own[0]][0] <= a and e.offsets[own[-1]][1] >= z:
                 start, end = max(j for j in own if e.offsets[j][0] <= a), min(j for j in own if e.offsets[j][1] >= z)
                 if start <= end:
                     pad = 48 - len(e.ids)
@@ -183,3 +183,38 @@ def test_gold_outside_the_scope_counts(spark, tmp_path):
     rows = {r.id: r for r in spark.read.json(str(tmp_path / "o/s_bm25_top1")).collect()}
     assert set(rows) == {"a", "b"} and rows["a"].gold_contexts == ["context_0.json", "context_9.json"] and rows["a"].retrieved_contexts[0].content == "context_0.json"
     assert rows["a"].recall == 0.5 and rows["b"].precision == 0
+
+
+def test_token_rows_of_generators(spark, vocabulary):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary)
+    rows = [(1, " q  one ", "a b\n c " * 30, " the  answer!"), (2, "q", "c", "word " * 40), (3, "", "c", "a"), (4, "q", None, "a"), (5, "q", "c", " ")]
+    df = records.seq2seq_rows(spark.createDataFrame(rows, "id int, question string, context string, answer string"))
+    assert {x.id for x in df.collect()} == {1, 2}
+    for x in records.seq2seq_features(df, vocabulary, 40, 12, pad_id=7).collect():
+        _, question, context, answer = (" ".join(c.split()) if isinstance(c, str) else c for c in rows[x.id - 1])
+        ids = plain.encode(f"câu hỏi: {question} ngữ cảnh: {context}", add_special_tokens=False).ids[:40]
+        target = plain.encode(answer, add_special_tokens=False).ids[:12]
+        assert x.input_ids == ids + [7] * (40 - len(ids)) and x.attention_mask == [1] * len(ids) + [0] * (40 - len(ids))
+        assert x.labels == target + [-100] * (12 - len(target))
+
+
+def test_tables_are_zipped_by_place(spark):
+    left = spark.createDataFrame([(i, f"l{i}") for i in (5, 1, 3, 9)], "a int, x string").repartition(3)
+    right = spark.createDataFrame([(i, f"r{i}") for i in (2, 8, 4)], "b int, y string")
+    got = [(r.place, r.x, r.y) for r in records.zipped(left, [F.asc("a")], right, [F.desc("b")]).orderBy("place").collect()]
+    assert got == [(0, "l1", "r8"), (1, "l3", "r4"), (2, "l5", "r2")]
+
+
+def test_warming_writes_every_kind(spark, tmp_path, vocabulary):
+    folder = tmp_path / "contexts"
+    folder.mkdir()
+    (folder / "context_0.json").write_text(json.dumps({"name": "n", "link": "", "passage": "Mở đầu. Điều 1. alpha beta gamma words. Điều 2. delta epsilon words here."}))
+    split = [{"question": "Điều 2 nói gì?", "answer": "delta epsilon words", "contexts": [{"content": "context_0.json"}]}]
+    (tmp_path / "s.json").write_text(json.dumps(split))
+    made = cli.main(["prepare", "--data-dir", str(tmp_path), "--context-dir", str(folder), "--splits", "s.json", "--cache-dir", str(tmp_path / "k"), "--tokenizer", vocabulary, "--epochs", "2"])
+    assert made == {"s.json:curriculum": 1, "s.json:seq2seq": 1, "s.json:extractive": 1, "s.json:seq2seq_tokens": 1, "s.json:epochs": 2}
+    reader = spark.read.parquet(str(tmp_path / "k/extractive/*")).first()
+    assert reader.passage_tokens[0][:2] == ["điều", "2"], "readers get the article's window"
+    assert spark.read.parquet(str(tmp_path / "k/seq2seq/*")).first().context.startswith("Mở đầu.")
