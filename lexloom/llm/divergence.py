@@ -7,8 +7,9 @@ differ by f = floor((p - q)^2 / (p + q)). All of it is exact in integers.
 
     count    every partition counts its terms in a byte radix trie, whose leaves hold documents and counters by source; a full
              trie is streamed out, its leaves in the order of their bytes, and begun anew
-    merge    leaves are dealt out by ranges of (lang, bytes), so that equal ones meet sorted and side by side whatever their
-             frequency; those in too few documents end here
+    merge    leaves are dealt out by ranges of (lang, bytes), whose bounds a bounded sample of terms gives (they decide on the size of
+             the ranges alone), so that equal ones meet sorted and side by side whatever their frequency; those in too
+             few documents end here
     stream   a second walk over the merged leaves, in the order of their bytes, sums f for each pair of sources over blocks of terms and
              keeps the first candidates of each group by (value descending, bytes ascending); both are merged by an aggregate
              and a rank
@@ -22,31 +23,36 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import gc
+import zlib
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
 from .common import give_back, materialize
+from .wordhash import chunks, utf8
 
 #: Bytes of a term stay, A-Z in lower case, all others become spaces.
 TABLE = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 #: Leaves of a trie before it is streamed out.
-LEAVES = 250_000
+LEAVES = 300_000
+#: Bytes of text that are counted at once.
+CHUNK = 12 << 20
 #: Groups whose names and totals are broadcast to the tasks of one walk, some MB.
 GROUPS = 100_000
 #: Sources on a side of the pairs that are summed at once, and cells of a block of terms.
 TILE, CELLS = 1024, 1 << 20
 SCALE_STEPS = 3  # 10^9 as 1000 * 1000 * 1000
 
-Leaf = tuple[bytes, int, dict[str, int]]
-
-
 class Node:
-    """A run of bytes below its parent; a leaf if docs is positive."""
+    """A run of bytes below its parent; a leaf if it has counts."""
 
     __slots__ = ("label", "children", "docs", "counts")
 
@@ -64,128 +70,236 @@ class Trie:
         """The leaf of a term, made if it is new."""
         node, at, n = self.root, 0, len(term)
         while at < n:
-            if node.children is None:
-                node.children = {}
-            child = node.children.get(term[at])
+            children = node.children
+            if children is None:
+                children = node.children = {}
+            child = children.get(term[at])
             if child is None:
-                child = node.children[term[at]] = Node(term[at:])
-                node = child
+                node = children[term[at]] = Node(term[at:])
                 break
             label = child.label
             if term.startswith(label, at):
-                node, at = child, at + len(label)
+                node = child
+                at += len(label)
                 continue
-            same = 1
-            while same < len(label) and at + same < n and label[same] == term[at + same]:
+            same, most = 1, min(len(label), n - at)
+            while same < most and label[same] == term[at + same]:
                 same += 1
-            fork = node.children[term[at]] = Node(label[:same], {label[same]: child})
+            node = children[term[at]] = Node(label[:same], {label[same]: child})
             child.label = label[same:]
-            node, at = fork, at + same
+            at += same
         if node.counts is None:
             node.counts = {}
             self.leaves += 1
         return node
 
-    def add(self, docs: dict[bytes, int], counts: dict[str, dict[bytes, int]]) -> None:
-        """Adds documents of terms, and occurrences of terms by source."""
-        known = {}
-        for term, n in docs.items():
-            known[term] = leaf = self.leaf(term)
-            leaf.docs += n
-        for source, terms in counts.items():
-            for term, n in terms.items():
-                own = known[term].counts
+    def add(self, term: bytes, docs: int, sources: list[int], counts: list[int]) -> None:
+        """Adds documents and occurrences by source of a term."""
+        leaf = self.leaf(term)
+        leaf.docs += docs
+        own = leaf.counts
+        if own:
+            for source, n in zip(sources, counts, strict=True):
                 own[source] = own.get(source, 0) + n
+        else:
+            own.update(zip(sources, counts, strict=True))
 
-    def walk(self) -> Iterator[Leaf]:
+    def walk(self) -> Iterator[tuple[bytes, Node]]:
         """Leaves in the order of their bytes."""
         stack = [(self.root, b"")]
         while stack:
-            node, before = stack.pop()
-            term = before + node.label
+            node, term = stack.pop()
+            term += node.label
             if node.docs:
-                yield term, node.docs, node.counts
+                yield term, node
             if node.children:
                 stack += [(node.children[b], term) for b in sorted(node.children, reverse=True)]
 
 
-LEAF_SCHEMA = "lang string, term string, docs long, sources array<string>, counts array<long>"
+LEAF_DDL = "lang string, term string, docs long, sources array<string>, counts array<long>"
+LEAVES_DDL = f"range int, {LEAF_DDL}"
 LEAF_ARROW = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-
-
-def _leaf_batches(leaves: Iterable[tuple[str, bytes, int, dict[str, int]]], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    lang, term, docs, sources, counts = [], [], [], [], []
-
-    def batch() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(x, f.type) for x, f in zip((lang, term, docs, sources, counts), LEAF_ARROW, strict=True)], schema=LEAF_ARROW)
-
-    for name, key, n, own in leaves:
-        lang.append(name)
-        term.append(key.decode())
-        docs.append(n)
-        sources.append(list(own))
-        counts.append(list(own.values()))
-        if len(lang) == rows:
-            yield batch()
-            for x in (lang, term, docs, sources, counts):
-                x.clear()
-    if lang:
-        yield batch()
-
-
-def _count(leaves: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+Batches = Iterator[pa.RecordBatch]
+#: The first (lang, term) of each range but the first.
+Bounds = list[tuple[str, bytes]]
+
+
+def _terms(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The text that each term stands in, and the terms, of an Arrow array of texts."""
+    buf, offsets = utf8(texts)
+    cleaned = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(buf.tobytes().translate(TABLE)))
+    lists = pc.ascii_split_whitespace(cleaned)
+    flat = lists.flatten()
+    there = pc.greater(pc.binary_length(flat), 0)
+    doc = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return doc[there.to_numpy(zero_copy_only=False)], flat.filter(there).dictionary_encode()
+
+
+def _add(batch: pa.RecordBatch, tries: dict[str, Trie], code: dict[str, int]) -> None:
+    """Counts a batch of (text, lang, source) into the tries of its languages. code: numbers of sources."""
+    doc, terms = _terms(batch.column(0))
+    if not len(doc):
+        return
+    groups = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+    known = sorted(set(groups))  # of a language side by side
+    place = {g: i for i, g in enumerate(known)}
+    langs = sorted({lang for lang, _ in known})
+    lang_of = np.array([langs.index(lang) for lang, _ in known])
+    source_of = np.array([code.setdefault(source, len(code)) for _, source in known])
+    group = np.array([place[g] for g in groups])
+    words = terms.dictionary.cast(pa.large_binary()).to_pylist()
+    order = sorted(range(len(words)), key=words.__getitem__)  # neighbours in the trie one after another
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    words = [words[i] for i in order]
+    found = pc.value_counts(pa.array(rank[terms.indices.to_numpy(zero_copy_only=False)] * len(groups) + doc))
+    once, times = found.field("values").to_numpy(), found.field("counts").to_numpy()
+    cells = once // len(groups) * len(known) + group[once % len(groups)]
+    order = np.argsort(cells, kind="stable")
+    cells, times = cells[order], times[order]
+    first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    cells, counts, docs = cells[first], np.add.reduceat(times, first).tolist(), np.diff(np.append(first, len(cells)))
+    sources = source_of[cells % len(known)].tolist()
+    key = cells // len(known) * len(langs) + lang_of[cells % len(known)]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    key, docs, cuts = key[first], np.add.reduceat(docs, first), np.append(first, len(cells)).tolist()
+    into = [tries.setdefault(lang, Trie()) for lang in langs]
+    for i, (k, n) in enumerate(zip(key.tolist(), docs.tolist(), strict=True)):
+        word, lang = divmod(k, len(langs))
+        into[lang].add(words[word], n, sources[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]])
+
+
+def _lists(sizes: np.ndarray | list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
+
+
+def _stream_out(tries: dict[str, Trie], sources: list[str], bounds: Bounds, rows: int = 50_000) -> Batches:
+    """The leaves of tries with their ranges."""
+    names = pa.array(sources, pa.string())
+    for lang in sorted(tries, key=str.encode):
+        ends = [t for x, t in bounds if x == lang]
+        before = bisect_left([x.encode() for x, _ in bounds], lang.encode())
+        walk = tries[lang].walk()
+        while part := list(islice(walk, rows)):
+            terms = [t for t, _ in part]
+            own = [leaf.counts for _, leaf in part]
+            sizes = [len(c) for c in own]
+            codes = np.fromiter((k for c in own for k in c), np.int32, sum(sizes))
+            counts = np.fromiter((n for c in own for n in c.values()), np.int64, len(codes))
+            ranges = np.zeros(len(part), np.int32) + before
+            for e in ends:
+                ranges[bisect_left(terms, e) :] += 1
+            docs = np.fromiter((leaf.docs for _, leaf in part), np.int64, len(part))
+            columns = [pa.array(ranges), pa.array([lang] * len(part)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(docs), _lists(sizes, names.take(pa.array(codes))), _lists(sizes, pa.array(counts))]
+            yield pa.record_batch(columns, names=["range", *LEAF_ARROW.names])
+
+
+def _count(leaves: int, bounds: Bounds) -> Callable[[Batches], Batches]:
     """Batches of (text, lang, source) to the leaves of a partition's tries, one trie a language."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         tries: dict[str, Trie] = {}
-        for b in batches:
-            docs: dict[str, Counter] = {}
-            counts: dict[str, dict[str, Counter]] = {}
-            for text, lang, source in zip(*(b.column(i) for i in range(3)), strict=True):
-                terms = (text.as_py() or "").encode().translate(TABLE).split()
-                if not terms:
-                    continue
-                lang, source = lang.as_py() or "", source.as_py() or ""
-                docs.setdefault(lang, Counter()).update(set(terms))
-                counts.setdefault(lang, {}).setdefault(source, Counter()).update(terms)
-            for lang, own in docs.items():
-                tries.setdefault(lang, Trie()).add(own, counts[lang])
-            if sum(t.leaves for t in tries.values()) > leaves:
-                yield from _leaf_batches((lang, *x) for lang, t in tries.items() for x in t.walk())
-                tries = {}
-        yield from _leaf_batches((lang, *x) for lang, t in tries.items() for x in t.walk())
+        code: dict[str, int] = {}
+        gc.disable()  # tries have no cycles, and looking for them takes as long as building
+        try:
+            for big in batches:
+                for b in chunks(big, 0, CHUNK):
+                    _add(b, tries, code)
+                    if sum(t.leaves for t in tries.values()) > leaves:
+                        yield from _stream_out(tries, list(code), bounds)
+                        tries, code = {}, {}
+            yield from _stream_out(tries, list(code), bounds)
+        finally:
+            gc.enable()
         tries.clear()
         give_back()
 
     return run
 
 
-def _merge(least_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sorted leaves to merged ones: equal keys stand side by side."""
+def _merge(least_docs: int) -> Callable[[Batches], Batches]:
+    """Sorted leaves to merged ones: equal keys stand side by side. A batch's last key may go on in the next one and waits for it."""
+
+    def merged(b: pa.Table) -> pa.RecordBatch | None:
+        lang, term = (b.column(c).combine_chunks() for c in ("lang", "term"))
+        n = len(term)
+        new = np.ones(n, bool)
+        new[1:] = ~(pc.equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False) & pc.equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False))
+        first = np.flatnonzero(new)
+        docs = np.add.reduceat(b.column("docs").to_numpy(), first)
+        keep = docs >= least_docs
+        if not keep.any():
+            return None
+        run = np.cumsum(new) - 1
+        rows = np.flatnonzero(keep[run])
+        place = np.cumsum(keep) - 1  # of the runs that are kept
+        part = b.select(["sources", "counts"]).take(pa.array(rows)).combine_chunks()
+        lists = part.column("sources").combine_chunks()
+        names = lists.flatten().dictionary_encode()
+        owner = np.repeat(place[run[rows]], lists.value_lengths().to_numpy(zero_copy_only=False))
+        cell = owner * len(names.dictionary) + names.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        counts = np.add.reduceat(part.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)[order], starts)
+        cell = cell[starts]
+        sizes = np.bincount(cell // len(names.dictionary), minlength=int(keep.sum()))
+        at = pa.array(first[keep])
+        columns = [lang.take(at), term.take(at), pa.array(docs[keep]), _lists(sizes, names.dictionary.take(pa.array(cell % len(names.dictionary)))), _lists(sizes, pa.array(counts))]
+        return pa.RecordBatch.from_arrays(columns, schema=LEAF_ARROW)
+
+    def folded(b: pa.Table) -> pa.Table:
+        """Rows of one key as one row."""
+        own: Counter = Counter()
+        for sources, counts in zip(b.column("sources").to_pylist(), b.column("counts").to_pylist(), strict=True):
+            for source, n in zip(sources, counts, strict=True):
+                own[source] += n
+        values = [b.column("lang")[0].as_py()], [b.column("term")[0].as_py()], [pc.sum(b.column("docs")).as_py()], [list(own)], [list(own.values())]
+        return pa.table([pa.array(v, f.type) for v, f in zip(values, LEAF_ARROW, strict=True)], schema=LEAF_ARROW)
+
+    def run(batches: Batches) -> Batches:
+        waits: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = pa.Table.from_batches([b.cast(LEAF_ARROW)])
+            own = own if waits is None else pa.concat_tables([waits, own])
+            last = (own.column("lang")[-1].as_py(), own.column("term")[-1].as_py())
+            i = own.num_rows - 1
+            while i > 0 and (own.column("term")[i - 1].as_py(), own.column("lang")[i - 1].as_py()) == last[::-1]:
+                i -= 1
+            waits = folded(own.slice(i))
+            if i and (out := merged(own.slice(0, i).combine_chunks())) is not None:
+                yield out
+        if waits is not None and (out := merged(waits)) is not None:
+            yield out
+
+    return run
+
+
+def bounds_of(docs: DataFrame, ranges: int, documents: int = 2000, most: int = 50_000) -> Bounds:
+    """Where ranges of (lang, term) begin, from the terms of a bounded sample of documents."""
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, int, dict[str, int]]]:
-        key, docs, own = None, 0, {}
+    def some(batches: Batches) -> Batches:
         for b in batches:
-            for lang, term, n, sources, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (lang, term) != key:
-                    if docs >= least_docs:
-                        yield key[0], key[1].encode(), docs, own
-                    key, docs, own = (lang, term), 0, {}
-                docs += n
-                for source, c in zip(sources, counts, strict=True):
-                    own[source] = own.get(source, 0) + c
-        if docs >= least_docs:
-            yield key[0], key[1].encode(), docs, own
+            doc, terms = _terms(b.column(0))
+            langs, words = b.column(1).to_pylist(), terms.dictionary.cast(pa.large_binary()).to_pylist()
+            pairs = np.unique(terms.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(langs) + doc) if len(doc) else []
+            found = {(langs[x % len(langs)], words[x // len(langs)]) for x in pairs if zlib.crc32(words[x // len(langs)]) % 16 == 0}
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.string()), pa.array([t for _, t in found], pa.binary())], names=["lang", "term"])
 
-    return lambda batches: _leaf_batches(leaves(batches))
+    n = docs.count()
+    part = docs.select("text", "lang") if n <= documents else docs.select("text", "lang").sample(documents / n, 11)
+    terms = sorted((r.lang.encode(), bytes(r.term)) for r in part.mapInArrow(some, "lang string, term binary").distinct().limit(most).collect())
+    return sorted({(terms[len(terms) * i // ranges][0].decode(), terms[len(terms) * i // ranges][1]) for i in range(1, ranges)}, key=lambda x: (x[0].encode(), x[1])) if terms else []
 
 
 def kept_terms(docs: DataFrame, least_docs: int = 10, leaves: int = LEAVES) -> DataFrame:
-    """Merged leaves (lang, term, docs, sources, counts) of the terms in at least `least_docs` documents of a language."""
-    rows = docs.select("text", "lang", "source").mapInArrow(_count(leaves), LEAF_SCHEMA)
+    """Merged leaves (lang, term, docs, sources, counts) of the terms in at least `least_docs` documents of a language. docs: text, lang, source, without nulls."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = rows.repartitionByRange(n, "lang", "term").sortWithinPartitions("lang", "term")
-    return materialize(ranges.mapInArrow(_merge(least_docs), LEAF_SCHEMA), "leaves")
+    rows = docs.select("text", "lang", "source").mapInArrow(_count(leaves, bounds_of(docs, 4 * n)), LEAVES_DDL)
+    ranges = rows.repartition(n, "range").sortWithinPartitions("lang", "term").drop("range")
+    return materialize(ranges.mapInArrow(_merge(least_docs), LEAF_DDL), "leaves")
 
 
 def share(count: np.ndarray, total: np.ndarray | int, terms: int) -> np.ndarray:

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
@@ -227,10 +228,27 @@ def test_tries_hold_and_stream_their_terms():
     trie = divergence.Trie()
     for i in range(0, 3000, 500):
         part = terms[i : i + 500]
-        trie.add(Counter(set(part)), {"x": Counter(part[:250]), "y": Counter(part[250:])})
+        x, y = Counter(part[:250]), Counter(part[250:])
+        for t in set(part):
+            trie.add(t, 1, [s for s, c in enumerate((x, y)) if c[t]], [c[t] for c in (x, y) if c[t]])
     leaves = list(trie.walk())
-    assert [t for t, _, _ in leaves] == sorted(set(terms)) and trie.leaves == len(leaves)
-    assert {t: sum(c.values()) for t, _, c in leaves} == Counter(terms)
+    assert [t for t, _ in leaves] == sorted(set(terms)) and trie.leaves == len(leaves)
+    assert {t: sum(leaf.counts.values()) for t, leaf in leaves} == Counter(terms)
+
+
+def test_merging_meets_equal_leaves_across_batches():
+    r = random.Random(4)
+    rows = sorted(("en" if r.random() < 0.7 else "de", r.choice(["a", "b", "bb", "é"]) + r.choice(["", "c"]), r.randint(1, 3), s := r.sample(["x", "y", "z"], r.randint(1, 3)), [r.randint(1, 9) for _ in s]) for _ in range(200))
+    want = {}
+    for lang, term, docs, sources, counts in rows:
+        own = want.setdefault((lang, term), [0, Counter()])
+        own[0] += docs
+        own[1].update(dict(zip(sources, counts, strict=True)))
+    for size in (1, 3, 50, 500):
+        batches = [pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + size], strict=True), divergence.LEAF_ARROW, strict=True)], schema=divergence.LEAF_ARROW) for i in range(0, len(rows), size)]
+        got = [x for b in divergence._merge(15)(iter(batches)) for x in b.to_pylist()]
+        assert {(x["lang"], x["term"]): [x["docs"], Counter(dict(zip(x["sources"], x["counts"], strict=True)))] for x in got} == {k: v for k, v in want.items() if v[0] >= 15}
+        assert len(got) == len({(x["lang"], x["term"]) for x in got})
 
 
 def brute_audit(rows, least, top):
