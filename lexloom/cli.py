@@ -15,7 +15,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.functions import metrics
-from lexloom.operators import cache, evaluate, prepare, records, retrieve
+from lexloom.operators import cache, evaluate, prepare, records, retrieve, store
 from lexloom.operators.index import Index
 from lexloom.operators.latent import Latent
 from lexloom.sources import json_io
@@ -176,7 +176,10 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None) -> dict:
     a = parser().parse_args(arguments)
     spark = SparkSession.builder.appName("lexloom").getOrCreate()
-    result = {"retrieve": retrieve_files, "evaluate": evaluate_file, "prepare": prepare_files}[a.command](spark, a)
+    try:
+        result = {"retrieve": retrieve_files, "evaluate": evaluate_file, "prepare": prepare_files}[a.command](spark, a)
+    finally:
+        store.clear(spark)
     print(json.dumps(result, ensure_ascii=False, indent=2))
     return result
 

@@ -1,10 +1,11 @@
-"""Tables written for reuse within a job: below spark.checkpoint.dir, which all executors share."""
+"""Tables written for reuse within a job: below spark.checkpoint.dir, which all executors share. clear() removes an application's tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections import Counter
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,9 +23,33 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{shared_folder(spark)}/lexloom/{spark.sparkContext.applicationId}"
+
+
+#: How often each application has removed its tables.
+_cleared: Counter[str] = Counter()
+
+
+def cleared(spark: SparkSession) -> int:
+    """Changes with each clear(): what is kept by key belongs to one such number."""
+    return _cleared[spark.sparkContext.applicationId]
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that this application has stored; DataFrames that read them, and indexes, can no longer be used."""
+    _cleared[spark.sparkContext.applicationId] += 1
+    for t in spark.catalog.listTables():
+        if t.name.startswith("lexloom_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, computed once: written as Parquet to a fresh path and read again."""
-    path = f"{shared_folder(df.sparkSession)}/lexloom/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -32,7 +57,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def bucketed(df: DataFrame, name: str, buckets: int, by: str, order: str) -> DataFrame:
     """df, computed once: a table bucketed by a column and sorted by another, so that groups of the first need no shuffle."""
     spark, table = df.sparkSession, f"lexloom_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, by).sortBy(order).option("path", f"{shared_folder(spark)}/lexloom/{table}").saveAsTable(table)
+    df.write.bucketBy(buckets, by).sortBy(order).option("path", f"{scratch(spark)}/{table}").saveAsTable(table)
     return spark.table(table)
 
 

@@ -67,13 +67,20 @@ _indexes: dict[tuple, index.Index] = {}
 def indexed(spark: SparkSession, sf_dir: str, chars: int | None = None) -> index.Index:
     """The index of the corpus (of `chars` characters of each text), built once in a session for the files as they are."""
     files = cache.fingerprints(table(spark, sf_dir, "documents"))
-    key = (spark.sparkContext.applicationId, chars, cache.cache_key({"files": [{k: str(v) for k, v in f.items()} for f in files]}))
+    key = (spark.sparkContext.applicationId, store.cleared(spark), chars, cache.cache_key({"files": [{k: str(v) for k, v in f.items()} for f in files]}))
     if key not in _indexes:
         docs = corpus(spark, sf_dir)
         _indexes[key] = index.Index.build(docs) if chars is None else retrieve.dense_index(docs, chars)
     return _indexes[key]
 
 
+def release(spark: SparkSession) -> None:
+    """Gives up the indexes of this session and removes all that it has stored."""
+    for key in [k for k in _indexes if k[0] == spark.sparkContext.applicationId]:
+        del _indexes[key]
+    store.clear(spark)
+
+
 # ---- pieces of SQL
 
 W = r"'[\p{L}\p{N}_]+'"
@@ -883,7 +890,7 @@ def positional_zip(spark, sf_dir):
 
 
 def _folder(spark, name: str) -> str:
-    return f"{store.shared_folder(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
+    return f"{store.scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _split_file(spark, sf_dir) -> str:
