@@ -109,17 +109,31 @@ BROADCAST_VALUES = 100_000
 def hashed_sample(df: DataFrame, id_col: str, rows: int, per: str | None = None, seed: int = 17, text_col: str | None = None) -> DataFrame:
     """At most `rows` rows (for each value of `per`), those with the smallest draws: a bounded, repeatable training sample.
 
-    A draw is a hash of the id (and text), so rows that agree in it are one, however often they stand. Tables with fewer
-    different rows are kept whole. Three light passes fix the draws: distinct ones are estimated, three times too many
-    are kept and ranked, and the chosen ones meet the rows again; no text is shuffled but those of the sample.
+    A draw is a hash of the id, and, where ids repeat (fewer different ones than half the rows), of the text as well; rows that
+    agree in it are one, however often they stand. Tables with fewer different rows are kept whole. Light passes fix
+    the draws: distinct ones are estimated, three times too many are kept and ranked, and the chosen ones meet the rows
+    again; no text is shuffled but those of the sample, and none is read for the draws where ids differ.
     """
-    by = [F.lit(0).alias("_per") if per is None else F.col(per).alias("_per"), F.xxhash64(F.lit(seed), *[F.col(c) for c in (id_col, text_col) if c]).alias("_draw")]
-    own = df.select("*", *by)
-    sizes = own.groupBy("_per").agg(F.approx_count_distinct("_draw").alias("_n"))
-    few = sizes.count() <= BROADCAST_VALUES
+
+    def drawn(*columns: str) -> DataFrame:
+        draw = F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]).alias("_draw")
+        return df.select("*", (F.lit(0) if per is None else F.col(per)).alias("_per"), draw)
+
+    def sizes_of(own: DataFrame) -> tuple[DataFrame, list]:
+        """Rows and different draws of each value, and, for a bounded number of values, the same as rows here."""
+        sizes = own.groupBy("_per").agg(F.approx_count_distinct("_draw").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+        return sizes, sizes.limit(BROADCAST_VALUES + 1).collect()
+
+    own = drawn(id_col)
+    sizes, here = sizes_of(own)
+    if text_col and 2 * sum(r._n for r in here) < sum(r._rows for r in here):
+        own = drawn(id_col, text_col)
+        sizes, here = sizes_of(own)
+    groups, few = len(here), len(here) <= BROADCAST_VALUES
+    sizes = df.sparkSession.createDataFrame(here, sizes.schema) if few else sizes
     edge = sizes.select(F.col("_per").alias("_p"), (F.lit(-(2.0**63)) + F.lit(2.0**64) * 3 * rows / F.greatest("_n", F.lit(1))).alias("_edge"))
     light = own.select("_per", "_draw").join(F.broadcast(edge) if few else edge, F.col("_per").eqNullSafe(F.col("_p"))).filter(F.col("_draw") < F.col("_edge")).select("_per", "_draw").distinct()
     place = F.row_number().over(Window.partitionBy("_per").orderBy("_draw"))
     chosen = light.withColumn("_r", place).filter(F.col("_r") <= rows).select(F.col("_per").alias("_p"), F.col("_draw").alias("_d"))
-    chosen = F.broadcast(chosen) if few and chosen.count() <= 10 * BROADCAST_VALUES else chosen
+    chosen = F.broadcast(chosen) if few and groups * rows <= 10 * BROADCAST_VALUES else chosen
     return own.join(chosen, F.col("_per").eqNullSafe(F.col("_p")) & (F.col("_draw") == F.col("_d"))).dropDuplicates(["_per", "_draw"]).select(*df.columns)
