@@ -265,6 +265,12 @@ def test_gold_by_text(spark):
     assert got == {(r.query_id, i) for r in q.collect() for i, t in texts.items() if r.text is not None and t is not None and r.text in t}
 
 
+def test_sentences_keep_their_digits(spark):
+    parts = ["0 first 0.", "1 second 1.", "22 third 2!", "3"]
+    df = spark.createDataFrame([(1, "3", " ".join(parts))], "id int, question string, context string")
+    assert df.select(text.sentences("context").alias("s")).first().s == parts
+
+
 def test_labels_and_flags(spark):
     import re
 
