@@ -269,6 +269,8 @@ def test_sentences_keep_their_digits(spark):
     parts = ["0 first 0.", "1 second 1.", "22 third 2!", "3"]
     df = spark.createDataFrame([(1, "3", " ".join(parts))], "id int, question string, context string")
     assert df.select(text.sentences("context").alias("s")).first().s == parts
+    row = prepare.evidence_sentence(df).first()
+    assert (row.evidence, row.evidence_idx) == ("3", 3)
 
 
 def test_labels_and_flags(spark):
