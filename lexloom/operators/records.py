@@ -9,7 +9,7 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from lexloom.functions.text import article_number, sentences, single_spaced, words_and_marks
+from lexloom.functions.text import WORD_CHARACTER, article_number, sentences, single_spaced, words_and_marks
 
 from .articles import article_intervals, windowed
 from .index import small
@@ -87,52 +87,63 @@ def pairs_of_turns(turns: DataFrame) -> DataFrame:
     return said.join(reply, ["conv_id", "t"]).select((F.col("conv_id") * 1000 + F.col("t")).alias("id"), "prediction", "reference")
 
 
-PLACED = "array<struct<part:string,start:int,end:int>>"
+def _placed(text: Column | str, parts: Column | str, start: Column, end: Column) -> Column:
+    """Struct (before, begun): how many of the parts end at or before `start`, and how many begin before `end`.
 
+    Parts follow each other in the text: each is looked for behind the one before it, and one that is missing stands there.
+    """
 
-def _placed(text: Column | str, parts: Column | str) -> Column:
-    """Structs (part, start, end) of parts that follow each other in a text: each is looked for behind the one before it, and one that is missing stands there."""
-
-    def find(texts: pd.Series, lists: pd.Series) -> pd.Series:
+    def find(texts: pd.Series, lists: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
         out = []
-        for t, own in zip(texts, lists, strict=True):
-            at, found = 0, []
+        for t, own, a, z in zip(texts, lists, starts, ends, strict=True):
+            at, before, begun = 0, 0, 0
             for part in () if t is None or own is None else own:
-                start = t.find(part, at)
-                start = at if start < 0 else start
-                at = start + len(part)
-                found.append({"part": part, "start": start, "end": at})
-            out.append(None if t is None or own is None else found)
-        return pd.Series(out)
-
-    return F.pandas_udf(find, PLACED)(text, parts)
+                found = t.find(part, at)
+                found = at if found < 0 else found
+                at = found + len(part)
+                before += at <= a
+                begun += found < z
+            out.append((None if pd.isna(a) else before, None if pd.isna(z) else begun))
+        return pd.DataFrame(out, columns=["before", "begun"], dtype="Int32")
 
-
-def touched(placed: Column, start: Column, end: Column) -> Column:
-    """0/1 for each part: whether it shares characters with [start, end)."""
-    return F.transform(placed, lambda s: ((s["start"] < end) & (s["end"] > start)).cast("int"))
+    return F.pandas_udf(find, "struct<before:int,begun:int>")(text, parts, start.cast("double"), end.cast("double"))
 
 
 def sentence_labels(df: DataFrame) -> DataFrame:
-    """Adds sentences and evidence_labels: which sentences of `context` the characters [answer_start, answer_end) touch."""
-    df = df.withColumn("_s", _placed("context", sentences("context")))
-    return df.withColumn("sentences", F.transform("_s", lambda s: s["part"])).withColumn("evidence_labels", touched(F.col("_s"), F.col("answer_start"), F.col("answer_end"))).drop("_s")
+    """Adds sentences and evidence_labels: which sentences of `context` the characters [answer_start, answer_end) touch.
+
+    Those are neighbours, so counting is enough: the sentences that end before the span and those that begin before its end. In
+    a single-spaced text they are counted in what is left and right of these places; only other texts are searched.
+    """
+    start, end = F.col("answer_start").cast("int"), F.col("answer_end").cast("int")
+    df = df.withColumn("sentences", F.when(F.col("context").isNotNull(), sentences("context"))).withColumn("_plain", F.col("context").eqNullSafe(single_spaced("context")))
+    other = lambda c: F.when(~F.col("_plain"), F.col(c))
+    df = df.withColumn("_s", _placed(other("context"), other("sentences"), start, end))
+    context = F.col("context")
+    rest = F.size(sentences(context.substr(F.greatest(start, F.lit(0)) + 1, F.length(context))))
+    before = F.when(start.isNotNull(), F.when(F.col("_plain"), F.size("sentences") - rest).otherwise(F.col("_s.before")))
+    begun = F.when(end.isNotNull(), F.when(F.col("_plain"), F.size(sentences(context.substr(F.lit(1), end)))).otherwise(F.col("_s.begun")))
+    # a generator of one row keeps the optimizer from counting anew for every label
+    df = df.select("*", F.inline(F.array(F.struct(before.alias("_before"), begun.alias("_begun")))))
+    labels = F.transform("sentences", lambda s, i: ((i < F.col("_begun")) & (i >= F.col("_before"))).cast("int"))
+    return df.withColumn("evidence_labels", labels).drop("_plain", "_s", "_before", "_begun")
 
 
 def token_flags(df: DataFrame, most: int) -> DataFrame:
     """Adds tokens (the first `most` of context), start_flags and end_flags: 1 at the first and the last token that [answer_start, answer_end) touches.
 
-    Without a valid span all flags are 0. Arrays are padded with 0 to `most`.
+    Without a valid span all flags are 0. Arrays are padded with 0 to `most`. Both places follow from the numbers of tokens left
+    of the span's bounds, where a word that goes on over the first one counts as touched.
     """
-    df = df.withColumn("_t", _placed(F.lower("context"), F.slice(words_and_marks("context"), 1, most)))
-    valid = F.coalesce((F.col("answer_start") >= 0) & (F.col("answer_start") < F.col("answer_end")) & (F.col("answer_end") <= F.length("context")), F.lit(False))
-    hits = F.when(valid, touched(F.col("_t"), F.col("answer_start"), F.col("answer_end"))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("tokens", F.transform("_t", lambda s: s["part"])).withColumn("_h", hits)
-    first = F.array_position("_h", 1)
-    last = F.size("_h") + 1 - F.array_position(F.reverse("_h"), 1)
+    start, end, low = F.col("answer_start").cast("int"), F.col("answer_end").cast("int"), F.lower("context")
+    valid = F.coalesce((start >= 0) & (start < end) & (end <= F.length("context")), F.lit(False))
+    left = lambda at: F.size(words_and_marks(low.substr(F.lit(1), at)))
+    goes_on = (start > 0) & F.rlike(low.substr(start, F.lit(2)), F.lit(rf"^{WORD_CHARACTER}{{2}}"))
+    df = df.withColumn("tokens", F.when(F.col("context").isNotNull(), F.slice(words_and_marks("context"), 1, most)))
+    df = df.withColumn("_a", F.when(valid, left(start) - goes_on.cast("int") + 1)).withColumn("_z", F.when(valid, F.least(left(end), F.lit(most))))
     zeros = lambda n: F.array_repeat(F.lit(0), F.greatest(n, F.lit(0)).cast("int"))
-    flag = lambda at: F.when(first > 0, F.concat(zeros(at - 1), F.array(F.lit(1)), zeros(most - at))).otherwise(zeros(F.lit(most)))
-    return df.withColumn("start_flags", flag(first)).withColumn("end_flags", flag(last)).drop("_t", "_h")
+    flag = lambda at: F.when(F.col("_a") <= F.col("_z"), F.concat(zeros(at - 1), F.array(F.lit(1)), zeros(most - at))).otherwise(zeros(F.lit(most)))
+    return df.withColumn("start_flags", flag(F.col("_a"))).withColumn("end_flags", flag(F.col("_z"))).drop("_a", "_z")
 
 
 def window_features(df: DataFrame, width: int | Column, stride: int) -> DataFrame:

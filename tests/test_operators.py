@@ -291,6 +291,36 @@ def test_labels_and_flags(spark):
         records.model_columns(df, "other")
 
 
+def test_flags_and_labels_equal_a_walk_without_python(spark):
+    import re
+
+    def walk(context, parts, start, end):
+        at, out = 0, []
+        for part in parts:
+            found = context.find(part, at)
+            found = at if found < 0 else found
+            at = found + len(part)
+            out.append(found < end and at > start)
+        return [int(x) for x in out]
+
+    r = random.Random(11)
+    rows = []
+    for i in range(300):
+        t = "".join(r.choice(["ab", "7", " ", " ", ". ", "! ", "-", "é", "😀", ".", *(["  ", "\n"] if i % 3 == 0 else [])]) for _ in range(r.randint(0, 30)))
+        rows.append((i, t if i % 3 == 0 else " ".join(t.split()), r.randint(-2, 30), r.randint(-2, 40)))
+    df = spark.createDataFrame(rows, "id int, context string, answer_start int, answer_end int")
+    flags = records.token_flags(df, 9)
+    assert "Python" not in flags._jdf.queryExecution().executedPlan().toString()
+    labels = {x.id: x for x in records.sentence_labels(df).collect()}
+    for x in flags.collect():
+        assert labels[x.id].evidence_labels == walk(x.context, labels[x.id].sentences, x.answer_start, x.answer_end)
+        assert x.tokens == re.findall(r"\w+|[^\w\s]", x.context.lower())[:9]
+        hits = walk(x.context.lower(), x.tokens, x.answer_start, x.answer_end) if 0 <= x.answer_start < x.answer_end <= len(x.context) else []
+        at = [i for i, h in enumerate(hits) if h]
+        want = [[int(bool(at) and i == at[k]) for i in range(9)] for k in (0, -1)]
+        assert [x.start_flags, x.end_flags] == want
+
+
 def test_window_features_equal_a_walk(spark):
     r = random.Random(6)
     rows = []
