@@ -40,9 +40,9 @@ class Twister:
         return own["key"].copy(), int(own["pos"])
 
     def rows(self, choices: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Choices and numbers of up to `most` rows, as many as OUTPUTS outputs hold; the generator then stands behind the last of them."""
+        """Choices and numbers of up to `most` rows, as many as OUTPUTS outputs hold (fewer for few rows); the generator then stands behind the last of them."""
         before = self.get()
-        raw = self.bits.random_raw(OUTPUTS).astype(np.uint64)
+        raw = self.bits.random_raw(min(OUTPUTS, 4096 + 8 * most)).astype(np.uint64)
         drawn = raw >> np.uint64(32 - choices.bit_length())
         n = len(raw)
         # the next output, from each on, that is a choice
