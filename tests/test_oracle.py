@@ -68,3 +68,15 @@ def test_records_have_the_references_limits(spark):
     assert got.start == 1200 and [len(p) for p in got.passage_tokens] == [256] * 4 + [181]
     chosen = {r.id: len(r.selected.split(" ")) for r in catalog.QUERIES["chunk_budget_select"](spark, DATA).collect()}
     assert 300 < max(chosen.values()) <= 1200
+
+
+def test_evidence_scores_round_as_sql_does(spark, tmp_path):
+    rows = [(1, "alpha\n" + " ".join(f"w{i}" for i in range(639))), (2, "beta\nsome beta"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0],) for r in rows], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {tuple(r) for r in c.sql(catalog.ORACLE_SQL["evidence_sentence"]).fetchall()}
+    got = catalog.QUERIES["evidence_sentence"](spark, str(tmp_path)).select("id", "evidence", "evidence_idx", "evidence_score")
+    assert {tuple(r) for r in got.collect()} == want and (1.001562 in {r[3] for r in want})
