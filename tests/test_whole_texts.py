@@ -35,3 +35,11 @@ def test_expansion_takes_terms_from_whole_texts(spark, folder):
     # the only document of "alpha" has "needle" at its end
     got = found(spark, folder, "iterative_expansion_top3")
     assert {r[2] for r in got if r[0] == 1} == {1, 2, 3}
+
+
+def test_latent_vectors_hold_whole_texts(spark, folder):
+    score = {r[2]: r[3] for r in found(spark, folder, "lsa_top3") if r[0] == 2}
+    assert score[1] > 0.5 and score[2] > 0.9
+    docs, queries = catalog.corpus(spark, folder), catalog.asked(spark, folder)
+    alone = {r.doc_id: r.score for r in catalog.retrieve.lsa(docs, queries).filter("query_id = 2").collect()}
+    assert alone[1] > 0.5
