@@ -43,3 +43,11 @@ def test_latent_vectors_hold_whole_texts(spark, folder):
     docs, queries = catalog.corpus(spark, folder), catalog.asked(spark, folder)
     alone = {r.doc_id: r.score for r in catalog.retrieve.lsa(docs, queries).filter("query_id = 2").collect()}
     assert alone[1] > 0.5
+
+
+def test_rewritten_queries_meet_vectors_of_whole_texts(spark, folder):
+    score = {r[2]: r[3] for r in found(spark, folder, "rewrite_hybrid_top3") if r[0] == 2}
+    assert score[1] > 0.75  # BM25 alone gives 0.7
+    docs, queries = catalog.corpus(spark, folder), catalog.asked(spark, folder)
+    alone = {r.doc_id: r.score for r in catalog.retrieve.rewriting_hybrid(docs, queries).filter("query_id = 2").collect()}
+    assert alone == score
