@@ -1,5 +1,7 @@
 """Queries that read whole texts: what stands behind 12,000 characters counts."""
 
+import math
+
 import duckdb
 import pytest
 
@@ -51,3 +53,12 @@ def test_rewritten_queries_meet_vectors_of_whole_texts(spark, folder):
     docs, queries = catalog.corpus(spark, folder), catalog.asked(spark, folder)
     alone = {r.doc_id: r.score for r in catalog.retrieve.rewriting_hybrid(docs, queries).filter("query_id = 2").collect()}
     assert alone == score
+
+
+def test_vectors_hold_the_words_of_whole_texts(spark, folder):
+    weight = {r[1]: r[2] for r in found(spark, folder, "tfidf_vectors") if r[0] == 1}
+    idf, n = lambda df: math.log((1 + len(DOCS)) / (1 + df)) + 1, 1 + math.log(2000)
+    # names stand before texts, so that "alpha" and "beta" come twice
+    parts = {"alpha": (1 + math.log(2)) * idf(1), "beta": (1 + math.log(2)) * idf(1), "filler": n * idf(1), "needle": n * idf(3)}
+    norm = math.sqrt(sum(x * x for x in parts.values()))
+    assert weight == pytest.approx({t: x / norm for t, x in parts.items()}, abs=1e-6)
