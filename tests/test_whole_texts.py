@@ -62,3 +62,8 @@ def test_vectors_hold_the_words_of_whole_texts(spark, folder):
     parts = {"alpha": (1 + math.log(2)) * idf(1), "beta": (1 + math.log(2)) * idf(1), "filler": n * idf(1), "needle": n * idf(3)}
     norm = math.sqrt(sum(x * x for x in parts.values()))
     assert weight == pytest.approx({t: x / norm for t, x in parts.items()}, abs=1e-6)
+
+
+def test_fusion_meets_vectors_of_whole_texts(spark, folder):
+    score = {r[1]: r[2] for r in found(spark, folder, "weighted_fusion") if r[0] == 2}
+    assert score[1] > 0.55  # BM25 alone gives 0.5
